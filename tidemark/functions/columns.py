@@ -58,7 +58,7 @@ def half_open(t: Column | str, start, end) -> Column:
 
 def parse_number(raw: Column | str) -> Column:
     """Trim, decimal comma to dot, cast; anything unreadable or non-finite is NULL."""
-    return finite(F.replace(F.trim(c(raw)), F.lit(","), F.lit(".")).try_cast("double"))
+    return finite(F.translate(F.trim(c(raw)), ",", ".").try_cast("double"))
 
 
 def is_zoned(raw: Column | str) -> Column:
@@ -73,7 +73,7 @@ def parse_time(raw: Column | str) -> Column:
 def finite(x: Column | str) -> Column:
     """NaN and infinities become NULL."""
     x = c(x)
-    return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
+    return F.when(F.abs(x) < F.lit(float("inf")), x)  # NaN sorts above infinity
 
 
 def plant_of(text: Column | str, plants: dict[str, tuple[str, ...]], default: str) -> Column:

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import REGISTRY
 
-AREAS = ("series", "features")
+AREAS = ("series", "features", "ingest", "quality")
 
 
 def load():

@@ -12,7 +12,7 @@ from .registry import query, rounded
 from .series import round_all
 
 M, H, D = C.MINUTE, C.HOUR, C.DAY
-ANALYSERS = {"q": SECOND_ANALYSER, "p": ANALYSER}
+ANALYSERS = {"qa": SECOND_ANALYSER, "pa": ANALYSER}
 CONTROL_MAP = {"T": "ev.click", "F": "ev.error", "P": "ev.signup"}
 
 
@@ -98,17 +98,17 @@ def _(spark, sf):
 
 
 @query("analyser_around_sample", "J5", ORIGINS + f"""SELECT {ts_text('make_timestamp(origin)')} AS sampled,
-   round({mean_sql(ANALYSER, 'origin', -30 * M, 30 * M, 2)}, 6) AS p_level, round({mean_sql(SECOND_ANALYSER, 'origin', -30 * M, 30 * M, 2)}, 6) AS q_level FROM o""")
+   round({mean_sql(ANALYSER, 'origin', -30 * M, 30 * M, 2)}, 6) AS pa_level, round({mean_sql(SECOND_ANALYSER, 'origin', -30 * M, 30 * M, 2)}, 6) AS qa_level FROM o""")
 def _(spark, sf):
     d = X.centred_mean(lab_origins(spark, sf), clean(spark, sf), ANALYSERS)
-    return round_all(d.select(C.from_micros("origin").alias("sampled"), "p_level", "q_level"))
+    return round_all(d.select(C.from_micros("origin").alias("sampled"), "pa_level", "qa_level"))
 
 
-@query("rolling_means", "W5", ORIGINS + f"""SELECT {ts_text('make_timestamp(origin)')} AS origin, round({mean_sql(ANALYSER, 'origin', -H, 0, 3)}, 6) AS p_1h,
-   round({mean_sql(ANALYSER, 'origin', -6 * H, 0, 18)}, 6) AS p_6h, round({mean_sql(ANALYSER, 'origin', -24 * H, 0, 36)}, 6) AS p_24h FROM o""")
+@query("rolling_means", "W5", ORIGINS + f"""SELECT {ts_text('make_timestamp(origin)')} AS origin, round({mean_sql(ANALYSER, 'origin', -H, 0, 3)}, 9) AS p_1h,
+   round({mean_sql(ANALYSER, 'origin', -6 * H, 0, 18)}, 9) AS p_6h, round({mean_sql(ANALYSER, 'origin', -24 * H, 0, 36)}, 9) AS p_24h FROM o""")
 def _(spark, sf):
     d = X.rolling(lab_origins(spark, sf), clean(spark, sf), {"p": ANALYSER}, {"1h": (-H, 0, 3), "6h": (-6 * H, 0, 18), "24h": (-24 * H, 0, 36)}, width=H)
-    return round_all(d.withColumn("origin", C.from_micros("origin")))
+    return round_all(d.withColumn("origin", C.from_micros("origin")), 9)
 
 
 @query("change_over_hours", "W6 P8", ORIGINS + f"""SELECT {ts_text('make_timestamp(origin)')} AS origin,
@@ -140,9 +140,9 @@ def _(spark, sf):
 def anchor_sql(max_age, samples=10, level=5):
     return f""", lev AS (SELECT lab.t AS lt, lab.value AS lv, {mean_sql(SECOND_ANALYSER, 'lab.t', -30 * M, 30 * M, 2)} AS cq, {mean_sql(ANALYSER, 'lab.t', -30 * M, 30 * M, 2)} AS cp FROM lab),
    pub AS (SELECT o.origin, lev.*, row_number() OVER (PARTITION BY o.origin ORDER BY lt DESC) AS rn FROM (SELECT DISTINCT origin FROM o) o JOIN lev ON lt + {240 * M} <= origin AND lt >= origin - {max_age}),
-   anc AS (SELECT origin, quantile_cont(lv, 0.5) FILTER (WHERE rn <= {level}) AS level, quantile_cont(lv - cq, 0.5) FILTER (WHERE rn <= {samples}) AS offset_q,
-     quantile_cont(lv - cp, 0.5) FILTER (WHERE rn <= {samples}) AS offset_p, count(lv - cq) FILTER (WHERE rn <= {samples}) AS pairs_q, count(lv - cp) FILTER (WHERE rn <= {samples}) AS pairs_p FROM pub GROUP BY 1),
-   anchor AS (SELECT o.origin, level, offset_q, offset_p, coalesce(pairs_q, 0) AS pairs_q, coalesce(pairs_p, 0) AS pairs_p FROM (SELECT DISTINCT origin FROM o) o LEFT JOIN anc USING (origin))"""
+   anc AS (SELECT origin, quantile_cont(lv, 0.5) FILTER (WHERE rn <= {level}) AS level, quantile_cont(lv - cq, 0.5) FILTER (WHERE rn <= {samples}) AS offset_qa,
+     quantile_cont(lv - cp, 0.5) FILTER (WHERE rn <= {samples}) AS offset_pa, count(lv - cq) FILTER (WHERE rn <= {samples}) AS pairs_qa, count(lv - cp) FILTER (WHERE rn <= {samples}) AS pairs_pa FROM pub GROUP BY 1),
+   anchor AS (SELECT o.origin, level, offset_qa, offset_pa, coalesce(pairs_qa, 0) AS pairs_qa, coalesce(pairs_pa, 0) AS pairs_pa FROM (SELECT DISTINCT origin FROM o) o LEFT JOIN anc USING (origin))"""
 
 
 GRID = OBS + f""", lab AS (SELECT t, value FROM clean WHERE metric_id = '{LAB}'), e AS (SELECT min(t) AS lo, max(t) AS hi FROM clean),
@@ -154,27 +154,27 @@ def _(spark, sf):
     return X.origin_grid(clean(spark, sf)).select(C.from_micros("origin").alias("origin"))
 
 
-@query("lab_anchor", "J6", GRID + anchor_sql(6 * H) + f""" SELECT {ts_text('make_timestamp(origin)')} AS origin, round(level, 6) AS level, round(offset_q, 6) AS offset_q,
-   round(offset_p, 6) AS offset_p, pairs_q, pairs_p FROM anchor""")
+@query("lab_anchor", "J6", GRID + anchor_sql(6 * H) + f""" SELECT {ts_text('make_timestamp(origin)')} AS origin, round(level, 6) AS level, round(offset_qa, 6) AS offset_qa,
+   round(offset_pa, 6) AS offset_pa, pairs_qa, pairs_pa FROM anchor""")
 def _(spark, sf):
     o = X.origin_grid(clean(spark, sf))
     d = X.lab_anchor(o, labs(spark, sf), clean(spark, sf), ANALYSERS, max_age=6 * H)
-    return round_all(d.withColumn("origin", C.from_micros("origin")).withColumn("pairs_q", F.col("pairs_q").cast("long")).withColumn("pairs_p", F.col("pairs_p").cast("long")))
+    return round_all(d.withColumn("origin", C.from_micros("origin")).withColumn("pairs_qa", F.col("pairs_qa").cast("long")).withColumn("pairs_pa", F.col("pairs_pa").cast("long")))
 
 
-FEATURES = GRID + anchor_sql(45 * D) + f""", base AS (SELECT a.*, {asof_sql(SECOND_ANALYSER, 'a.origin', 30 * M)} AS q, {asof_sql(ANALYSER, 'a.origin', 30 * M)} AS p,
-   {mean_sql(SECOND_ANALYSER, 'a.origin', -H, 0, 3)} AS q1, {mean_sql(ANALYSER, 'a.origin', -H, 0, 3)} AS p1,
-   {mean_sql(SECOND_ANALYSER, 'a.origin', -24 * H, 0, 36)} AS q24, {mean_sql(ANALYSER, 'a.origin', -24 * H, 0, 36)} AS p24,
+FEATURES = GRID + anchor_sql(45 * D) + f""", base AS (SELECT a.*, {asof_sql(SECOND_ANALYSER, 'a.origin', 30 * M)} AS qa, {asof_sql(ANALYSER, 'a.origin', 30 * M)} AS pa,
+   {mean_sql(SECOND_ANALYSER, 'a.origin', -H, 0, 3)} AS qa1, {mean_sql(ANALYSER, 'a.origin', -H, 0, 3)} AS pa1,
+   {mean_sql(SECOND_ANALYSER, 'a.origin', -24 * H, 0, 36)} AS qa24, {mean_sql(ANALYSER, 'a.origin', -24 * H, 0, 36)} AS pa24,
    {asof_sql('ev.click', 'a.origin', 30 * M)} AS T, {asof_sql('ev.click', f'(a.origin - {H})', 30 * M)} AS T1, {asof_sql('ev.click', f'(a.origin - {3 * H})', 30 * M)} AS T3,
    {asof_sql('ev.error', 'a.origin', 30 * M)} AS F, {asof_sql('ev.error', f'(a.origin - {3 * H})', 30 * M)} AS F3,
    {asof_sql('ev.signup', 'a.origin', 30 * M)} AS P_, {asof_sql('ev.signup', f'(a.origin - {3 * H})', 30 * M)} AS P3,
    (SELECT arg_max(lab.value, lab.t) FROM lab WHERE lab.t + {240 * M} <= a.origin) AS pv, (SELECT max(lab.t) FROM lab WHERE lab.t + {240 * M} <= a.origin) AS pt FROM anchor a),
-   feat AS (SELECT origin, {fln('q + offset_q')} AS ln_q, {fln('q1 + offset_q')} AS ln_q_1h, {fln('q24 + offset_q')} AS ln_q_24h,
-   {fln('p + offset_p')} AS ln_p, {fln('p1 + offset_p')} AS ln_p_1h, {fln('p24 + offset_p')} AS ln_p_24h, {fln('level')} AS ln_level,
+   feat AS (SELECT origin, {fln('qa + offset_qa')} AS ln_qa, {fln('qa1 + offset_qa')} AS ln_qa_1h, {fln('qa24 + offset_qa')} AS ln_qa_24h,
+   {fln('pa + offset_pa')} AS ln_pa, {fln('pa1 + offset_pa')} AS ln_pa_1h, {fln('pa24 + offset_pa')} AS ln_pa_24h, {fln('level')} AS ln_level,
    CASE WHEN origin - pt <= {48 * H} THEN ln(greatest(pv, 0.3)) END AS ln_previous_lab, T - T1 AS dT_1h, T - T3 AS dT_3h, {fln('F')} - {fln('F3')} AS dlnF_3h, P_ - P3 AS dP_3h, T, F, P_ AS P,
-   pairs_q, pairs_p, level, offset_q, offset_p, q, p, CASE WHEN origin - pt <= {48 * H} THEN pv END AS previous_lab FROM base)
+   pairs_qa, pairs_pa, level, offset_qa, offset_pa, qa, pa, CASE WHEN origin - pt <= {48 * H} THEN pv END AS previous_lab FROM base)
 """
-FEATURE_COLUMNS = ["ln_q", "ln_q_1h", "ln_p", "ln_p_1h", "ln_level", "ln_previous_lab", "ln_q_24h", "ln_p_24h", "dT_1h", "dT_3h", "dlnF_3h", "dP_3h", "T", "F", "P"]
+FEATURE_COLUMNS = ["ln_qa", "ln_qa_1h", "ln_pa", "ln_pa_1h", "ln_level", "ln_previous_lab", "ln_qa_24h", "ln_pa_24h", "dT_1h", "dT_3h", "dlnF_3h", "dP_3h", "T", "F", "P"]
 MODEL_COLUMNS = FEATURE_COLUMNS[:6]
 
 
@@ -183,10 +183,10 @@ def feature_frame(spark, sf, origins=None):
     return X.anchored_features(X.origin_grid(s) if origins is None else origins, s, labs(spark, sf), ANALYSERS, CONTROL_MAP)
 
 
-@query("anchored_features", "M1 M35", FEATURES + f"SELECT {ts_text('make_timestamp(origin)')} AS origin, {', '.join(f'round({x}, 6) AS {x}' for x in FEATURE_COLUMNS)}, pairs_q, pairs_p FROM feat")
+@query("anchored_features", "M1 M35", FEATURES + f"SELECT {ts_text('make_timestamp(origin)')} AS origin, {', '.join(f'round({x}, 6) AS {x}' for x in FEATURE_COLUMNS)}, pairs_qa, pairs_pa FROM feat")
 def _(spark, sf):
     d = feature_frame(spark, sf)
-    return round_all(d.select(C.from_micros("origin").alias("origin"), *FEATURE_COLUMNS, F.col("pairs_q").cast("long").alias("pairs_q"), F.col("pairs_p").cast("long").alias("pairs_p")))
+    return round_all(d.select(C.from_micros("origin").alias("origin"), *FEATURE_COLUMNS, F.col("pairs_qa").cast("long").alias("pairs_qa"), F.col("pairs_pa").cast("long").alias("pairs_pa")))
 
 
 DYN = GRID + f""", base AS (SELECT origin, {', '.join(f"{asof_sql(m, 'o.origin', 30 * M)} AS {n}0" for n, m in {**ANALYSERS, **CONTROL_MAP}.items())},
