@@ -140,3 +140,14 @@ def islands(df: DataFrame, keys: Sequence[str], t: str, order: Sequence[str], br
     d = neighbour(df, keys, t, order, cols, width, "prev")
     d = d.withColumn("_break", F.col("prev").isNull() | F.coalesce(breaks, F.lit(True)))
     return last_where(d, keys, [t, *order], F.col("_break"), F.col(t), start)
+
+
+def value_chunks(df: DataFrame, keys: Sequence[str], value: str, pieces: int = 64) -> DataFrame:
+    """Adds ``_chunk`` so that each key is cut into about ``pieces`` equal shares along ``value``.
+
+    The cut points come from a mergeable sketch, so they follow the data; the chunk is a monotone function of the
+    value, which is all the running operators need.
+    """
+    probs = [i / pieces for i in range(1, pieces)]
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, probs, 1000).alias("_cuts"))
+    return df.join(cuts, list(keys)).withColumn(CHUNK, F.size(F.filter("_cuts", lambda x: x < F.col(value))).cast("long")).drop("_cuts")

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import REGISTRY
 
-AREAS = ("series", "features", "ingest", "quality")
+AREAS = ("series", "features", "ingest", "quality", "evaluate")
 
 
 def load():
