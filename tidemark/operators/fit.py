@@ -30,16 +30,16 @@ def support(df: DataFrame, keys: Sequence[str], columns: Sequence[str], low: flo
     """Per key and column: median, mean and population deviation after median fill, and widened support bounds."""
     long = unfolded(df, keys, columns)
     key = [*keys, "column"]
-    m = long.groupBy(*key).agg(F.count("*").alias("n"), F.count("value").alias("k"), F.avg("value").alias("mu"), F.var_pop("value").alias("var"))
+    m = long.groupBy(*key).agg(F.count("*").alias("_n"), F.count("value").alias("_k"), F.avg("value").alias("_mu"), F.var_pop("value").alias("_var"))
     q = quantiles(long, key, "value", [low, 0.5, high], ["lo", "median", "hi"], hot_rows)
     s = m.join(q, key, "left").withColumn("median", F.coalesce("median", F.lit(0.0)))
-    n, k, mu, med = F.col("n"), F.col("k"), F.coalesce("mu", F.lit(0.0)), F.col("median")
+    n, k, mu, med = F.col("_n"), F.col("_k"), F.coalesce("_mu", F.lit(0.0)), F.col("median")
     mean = (k * mu + (n - k) * med) / n
     s = s.withColumn("mean", mean)
-    spread = (k * (F.coalesce("var", F.lit(0.0)) + (mu - F.col("mean")) * (mu - F.col("mean"))) + (n - k) * (med - F.col("mean")) * (med - F.col("mean"))) / n
+    spread = (k * (F.coalesce("_var", F.lit(0.0)) + (mu - F.col("mean")) * (mu - F.col("mean"))) + (n - k) * (med - F.col("mean")) * (med - F.col("mean"))) / n
     s = s.withColumn("scale", F.when(spread > 0, F.sqrt(spread)).otherwise(1.0))
     room = margin * F.greatest(F.col("hi") - F.col("lo"), F.col("scale"))
-    return s.select(*key, "n", "median", "mean", "scale", F.coalesce(F.col("lo") - room, F.lit(0.0)).alias("lower"), F.coalesce(F.col("hi") + room, F.lit(0.0)).alias("upper"))
+    return s.select(*key, F.col("_n").alias("n"), "median", "mean", "scale", F.coalesce(F.col("lo") - room, F.lit(0.0)).alias("lower"), F.coalesce(F.col("hi") + room, F.lit(0.0)).alias("upper"))
 
 
 def support_wide(s: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

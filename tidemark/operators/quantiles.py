@@ -2,7 +2,7 @@
 
 ``percentile`` keeps every distinct value of a group in one task's memory.  That
 is right for ordinary groups and wrong for one holding a third of the table, so
-groups above ``hot_rows`` take another exact route in the same plan: a mergeable
+groups above ``hot_rows`` take another exact route: a mergeable
 sketch brackets each wanted rank, rows below the bracket are only counted, and
 just the rows inside the bracket (about 4 in 10 000) are ranked.
 """
@@ -21,21 +21,27 @@ SLACK = 2.0 / ACCURACY  # twice the sketch's guaranteed rank error
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
               names: Sequence[str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per key with a column per probability (NULL values ignored)."""
+    """One row per key with a column per probability (NULL values ignored).
+
+    Group sizes are checked first with one small aggregation; give an input that is costly to recompute as a
+    staged frame.
+    """
     names = list(names or [f"q{i}" for i in range(len(probs))])
     d = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    sizes = d.groupBy(*keys).agg(F.count("*").alias("_n"))
-    # At most total_rows / hot_rows keys pass this filter, so the broadcast is bounded.
-    hot = F.broadcast(sizes.filter(F.col("_n") > hot_rows))
+    # At most total_rows / hot_rows keys pass this filter, so its broadcast is bounded.
+    hot = d.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
+    any_hot = bool(hot.head(1))
+    rest = d.join(F.broadcast(hot), list(keys), "left_anti") if any_hot else d
     cold = (
-        d.join(hot, list(keys), "left_anti")
-        .groupBy(*keys)
+        rest.groupBy(*keys)
         .agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("_q"))
         .select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     )
+    if not any_hot:
+        return cold
     # Three ranks of room on each side for the smallest group that can come here.
     slack = max(SLACK, 3.0 / max(hot_rows, 1))
-    return cold.unionByName(_bracketed(d.join(hot, list(keys)), keys, probs, names, slack))
+    return cold.unionByName(_bracketed(d.join(F.broadcast(hot), list(keys)), keys, probs, names, slack))
 
 
 def _bracketed(d: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str], slack: float) -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import REGISTRY
 
-AREAS = ("series", "features", "ingest", "quality", "evaluate", "process")
+AREAS = ("series", "features", "ingest", "quality", "evaluate", "process", "fit")
 
 
 def load():

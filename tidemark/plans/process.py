@@ -8,6 +8,7 @@ from ..functions import columns as C
 from ..operators import features as X
 from ..operators import process as P
 from ..operators import series as S
+from ..operators.stage import staged
 from ..sources import formulas as FM
 from .adapter import ANALYSER, AT, LAB, OBS, VALID, obs, table, ts_text
 from .features import ANALYSERS, CONTROL_MAP, GRID, ORIGINS, asof_sql, clean, labs, mean_sql
@@ -230,7 +231,7 @@ def _(spark, sf):
     i = targets.join(tags, "origin").join(lx, "origin")
     texts = {"a": "20 + 0.5*T1 + 0.1*F1", "b": "80*F1/(F1+F2)", "c": "5 + 0.9*LIMS.X + 0.01*F2"}
     cells = F.array(*[F.struct(F.lit(k).alias("formula"), FM.evaluate(t)[0].alias("p")) for k, t in texts.items()])
-    k = i.select("metric_id", F.col("value").alias("y"), F.inline(cells)).filter("p IS NOT NULL").withColumn("e", F.col("p") - F.col("y"))
+    k = staged(i.select("metric_id", F.col("value").alias("y"), F.inline(cells)).filter("p IS NOT NULL").withColumn("e", F.col("p") - F.col("y")))
     key = ["metric_id", "formula"]
     k = k.join(quantiles(k, key, "e", [0.5], ["b"]), key).join(quantiles(k, key, "y", [0.5], ["m"]), key)
     r = k.groupBy(*key).agg(F.count("*").alias("n"), F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg("e").alias("bias"), F.corr("p", "y").alias("correlation"),
