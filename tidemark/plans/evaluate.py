@@ -30,7 +30,10 @@ def reg(spark, sf):
 PROB = """WITH r AS (SELECT o_orderpriority AS model, o_orderkey, o_orderdate, o_totalprice > 350000 AS event, ((o_orderkey * 37 + o_custkey) % 997) / 997.0::DOUBLE AS score,
     ((o_custkey * 11 + o_orderkey) % 499) / 499.0::DOUBLE AS other FROM orders)
 """
-EVENT = F.col("event")
+
+
+def event():
+    return F.col("event")
 
 
 def prob(spark, sf):
@@ -69,7 +72,7 @@ SCORES = PROB + """, n AS (SELECT *, count(*) OVER (PARTITION BY model, score) A
    SELECT b.model, n, round(base, 6) AS base_rate, round(brier, 6) AS brier, round(base * (1 - base), 6) AS brier_climatology, round(1 - brier / (base * (1 - base)), 6) AS brier_skill,
      round((s - p * (p + 1) / 2.0) / (p * q), 6) AS auc, alarms, round(tp / p, 6) AS recall, round(tp / alarms, 6) AS precision, round(fp / q, 6) AS false_alarm_rate FROM b JOIN u USING (model)""")
 def _(spark, sf):
-    return round_all(E.probability_metrics(prob(spark, sf), ["model"], EVENT, "score", 0.3))
+    return round_all(E.probability_metrics(prob(spark, sf), ["model"], event(), "score", 0.3))
 
 
 @query("label_score_metrics", "A13", """WITH r AS (SELECT source, quality = 1 AS event, (n_chars % 97) / 97.0 AS score FROM labels JOIN documents USING (doc_id)), n AS (SELECT *, rank() OVER (PARTITION BY source ORDER BY score) + (count(*) OVER (PARTITION BY source, score) - 1) / 2.0 AS ar FROM r),
@@ -78,12 +81,12 @@ def _(spark, sf):
 def _(spark, sf):
     d = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source", "n_chars"), "doc_id")
     d = d.select("source", (F.col("quality") == 1).alias("event"), ((F.col("n_chars") % 97) / 97.0).alias("score"))
-    return round_all(E.probability_metrics(d, ["source"], EVENT, "score", 0.3).select("source", "n", "brier", "auc"))
+    return round_all(E.probability_metrics(d, ["source"], event(), "score", 0.3).select("source", "n", "brier", "auc"))
 
 
 @query("average_ranks", "W19", SCORES + " SELECT model, round(score, 6) AS score, any_value(ties) AS ties, any_value(arank) AS rank FROM ar GROUP BY ALL")
 def _(spark, sf):
-    return E.average_ranks(E.score_table(prob(spark, sf), ["model"], EVENT, "score"), ["model"]).withColumn("score", rounded(F.col("score")))
+    return E.average_ranks(E.score_table(prob(spark, sf), ["model"], event(), "score"), ["model"]).withColumn("score", rounded(F.col("score")))
 
 
 @query("cost_metrics", "A14", PROB + """SELECT model, count(*) AS n, count(*) FILTER (WHERE event AND score >= 0.4) AS tp, count(*) FILTER (WHERE NOT event AND score >= 0.4) AS fp, count(*) FILTER (WHERE event AND score < 0.4) AS fn,
@@ -92,7 +95,7 @@ def _(spark, sf):
    CAST(10 * count(*) FILTER (WHERE event AND score < 0.4) + count(*) FILTER (WHERE NOT event AND score >= 0.4) AS DOUBLE) AS total_cost,
    round((10 * count(*) FILTER (WHERE event AND score < 0.4) + count(*) FILTER (WHERE NOT event AND score >= 0.4)) / count(*) * 100, 6) AS cost_per_100 FROM r GROUP BY 1""")
 def _(spark, sf):
-    return round_all(E.cost_metrics(prob(spark, sf), ["model"], EVENT, F.col("score") >= 0.4, F.lit(10)))
+    return round_all(E.cost_metrics(prob(spark, sf), ["model"], event(), F.col("score") >= 0.4, F.lit(10)))
 
 
 DECISIONS = PROB + """, t AS (SELECT DISTINCT model, score AS threshold FROM r UNION ALL SELECT DISTINCT model, 9.0 FROM r),
@@ -102,7 +105,7 @@ DECISIONS = PROB + """, t AS (SELECT DISTINCT model, score AS threshold FROM r U
 
 
 def decisions(spark, sf):
-    return E.alarm_decisions(E.score_table(prob(spark, sf), ["model"], EVENT, "score"), ["model"])
+    return E.alarm_decisions(E.score_table(prob(spark, sf), ["model"], event(), "score"), ["model"])
 
 
 def finite_threshold(df):
@@ -125,7 +128,7 @@ def _(spark, sf):
 @query("best_alarm_level", "A17", PROB + """, g AS (SELECT model, v.g, 2.0 * count(*) FILTER (WHERE event AND score >= v.g) / nullif(count(*) FILTER (WHERE event) + count(*) FILTER (WHERE score >= v.g), 0) AS f1
    FROM r, (VALUES (0.2), (0.25), (0.3), (0.35), (0.4), (0.5)) v(g) GROUP BY 1, 2) SELECT model, CAST(g AS DOUBLE) AS alarm_probability, round(coalesce(f1, 0), 6) AS f1 FROM g QUALIFY row_number() OVER (PARTITION BY model ORDER BY f1 DESC, g) = 1""")
 def _(spark, sf):
-    return round_all(E.best_f1(prob(spark, sf), ["model"], EVENT, "score", [0.2, 0.25, 0.3, 0.35, 0.4, 0.5]))
+    return round_all(E.best_f1(prob(spark, sf), ["model"], event(), "score", [0.2, 0.25, 0.3, 0.35, 0.4, 0.5]))
 
 
 @query("residual_quantile_function", "A18", REG + """SELECT model, CAST(k AS DOUBLE) / 100 AS probability, round(quantile_cont(y - p, 0.01), 9) AS quantile FROM r, range(1, 2) t(k) WHERE p IS NOT NULL GROUP BY 1, 2""" + "".join(
@@ -346,8 +349,8 @@ def _(spark, sf):
     alarms = {}
     for r in (1, 2, 5, 10, 20, 50):
         alarms |= {("cheap", r): F.col("score") >= 1.0 / (1 + r), ("fixed", r): F.col("score") >= 0.3, ("other", r): F.col("other") >= 1.0 / (1 + r), ("always", r): F.lit(True), ("never", r): F.lit(False)}
-    aggs = [e for (k, r), a in alarms.items() for e in (F.count_if(EVENT & a).alias(f"tp_{k}_{r}"), F.count_if(~EVENT & a).alias(f"fp_{k}_{r}"))]
-    g = d.groupBy("period").agg(F.count("*").alias("n"), F.count_if(EVENT).alias("pos"), *aggs)
+    aggs = [e for (k, r), a in alarms.items() for e in (F.count_if(event() & a).alias(f"tp_{k}_{r}"), F.count_if(~event() & a).alias(f"fp_{k}_{r}"))]
+    g = d.groupBy("period").agg(F.count("*").alias("n"), F.count_if(event()).alias("pos"), *aggs)
     cells = F.array(*[F.struct(F.lit(r).alias("ratio"), F.lit(k).alias("policy"), F.col(f"tp_{k}_{r}").alias("tp"), F.col(f"fp_{k}_{r}").alias("fp")) for k, r in alarms])
     t = g.select("period", "n", "pos", F.inline(cells)).withColumn("fn", F.col("pos") - F.col("tp")).drop("pos")
     return t.withColumn("total_cost", (F.col("ratio") * F.col("fn") + F.col("fp")).cast("double"))
