@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 SECOND = 1_000_000
@@ -34,9 +34,23 @@ def c(x: Column | str) -> Column:
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00", "Etc/GMT", "Zulu", "Universal")
+
+
 def micros(ts: Column | str) -> Column:
-    """Zone-free microseconds of a TIMESTAMP_NTZ; independent of the session zone."""
-    return F.timestamp_diff("MICROSECOND", F.expr(EPOCH), c(ts))
+    """Zone-free microseconds of a TIMESTAMP_NTZ.
+
+    TIMESTAMPDIFF reads its operands in the session zone.  In a UTC session that is exact; elsewhere the day and
+    the time of day are taken separately (both zone-free) and only the sub-second part comes from the difference.
+    """
+    ts = c(ts)
+    diff = F.timestamp_diff("MICROSECOND", F.expr(EPOCH), ts)
+    session = SparkSession.getActiveSession()
+    if session is None or session.conf.get("spark.sql.session.timeZone") in UTC_NAMES:
+        return diff
+    day = F.date_diff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    clock = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    return (day * 86400 + clock) * F.lit(SECOND) + F.pmod(diff, F.lit(SECOND))
 
 
 def from_micros(t: Column | str) -> Column:

@@ -34,7 +34,12 @@ def at(text: str):
 
 def obs(spark: SparkSession, sf: str) -> DataFrame:
     """Observation rows with the long microsecond clock ``t`` beside ``timestamp``."""
-    e = table(spark, sf, "events").select("event_id", "ts", "event_type", "value")
+    return from_events(table(spark, sf, "events"))
+
+
+def from_events(events: DataFrame) -> DataFrame:
+    """Event rows (batch or streaming) as observations."""
+    e = events.select("event_id", "ts", "event_type", "value")
     raw = micros("ts")
     t = raw - F.pmod(raw, F.lit(MINUTE))
     return e.select(
