@@ -19,6 +19,16 @@ ACCURACY = 10_000
 SLACK = 2.0 / ACCURACY  # twice the sketch's guaranteed rank error
 
 
+def has_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
+    """Whether any group is too large for an in-memory percentile; one map-side combined count over the keys."""
+    return bool(df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).head(1))
+
+
+def plain(value, probs: Sequence[float]):
+    """Percentile array aggregate for groups known to be small enough."""
+    return F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]))
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
               names: Sequence[str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per key with a column per probability (NULL values ignored).
@@ -34,7 +44,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     rest = d.join(F.broadcast(hot), list(keys), "left_anti") if any_hot else d
     cold = (
         rest.groupBy(*keys)
-        .agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("_q"))
+        .agg(plain("_v", probs).alias("_q"))
         .select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     )
     if not any_hot:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from .ordered import neighbour
-from .quantiles import HOT_ROWS, quantiles
+from .quantiles import HOT_ROWS, has_hot, plain, quantiles
 from .timejoin import asof
 
 QUANTILES = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
@@ -26,21 +26,24 @@ def period_statistics(obs: DataFrame, start: int, end: int, exclude_suspect: boo
     base = obs.filter((F.col("t") >= previous) & (F.col("t") < end)).select(
         "metric_id", "t", "source_row", (F.col("t") >= start).alias("current"), v.alias("v"),
         (~C.is_valid()).alias("bad"), C.is_suspect().alias("odd"))
-    key = ["metric_id", "current"]
-    seen = F.col("v").isNotNull()
-    at_first = F.struct("t", "source_row")
-    stats = base.filter("current").groupBy("metric_id").agg(
-        F.count("v").alias("count"), F.count_if("bad").alias("invalid_count"), F.count_if("odd").alias("suspect_count"),
-        F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"),
-        F.stddev_pop("v").alias("std"), (F.max("v") - F.min("v")).alias("range"),
+    now = F.col("current")
+    v, seen = F.when(now, F.col("v")), now & F.col("v").isNotNull()
+    at_first = F.when(seen, F.struct("t", "source_row"))
+    hot = has_hot(base, ["metric_id"], hot_rows)
+    one_pass = [] if hot else [plain(v, list(QUANTILES.values())).alias("_q"), F.percentile(F.when(~now, F.col("v")), F.lit(0.5)).alias("previous_median")]
+    out = base.groupBy("metric_id").agg(
+        F.count_if(now).alias("_rows"), F.count(v).alias("count"), F.count_if(now & F.col("bad")).alias("invalid_count"), F.count_if(now & F.col("odd")).alias("suspect_count"),
+        F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"), (F.max(v) - F.min(v)).alias("range"),
         F.min(F.when(seen, F.struct("v", "t"))).getField("t").alias("min_t"),
         F.max(F.when(seen, F.struct("v", (-F.col("t")).alias("n")))).getField("n").alias("max_n"),
-        F.min_by(F.col("v"), F.when(seen, at_first)).alias("first"), F.max_by(F.col("v"), F.when(seen, at_first)).alias("last"),
-        F.min(F.when(seen, F.col("t"))).alias("first_t"), F.max(F.when(seen, F.col("t"))).alias("last_t"))
-    q = quantiles(base, key, "v", list(QUANTILES.values()), list(QUANTILES), hot_rows)
-    now = q.filter("current").drop("current")
-    past = q.filter("not current").select("metric_id", F.col("median").alias("previous_median"))
-    out = stats.join(now, "metric_id", "left").join(past, "metric_id", "left")
+        F.min_by("v", at_first).alias("first"), F.max_by("v", at_first).alias("last"),
+        F.min(F.when(seen, F.col("t"))).alias("first_t"), F.max(F.when(seen, F.col("t"))).alias("last_t"), *one_pass).filter("_rows > 0")
+    if hot:
+        q = quantiles(base, ["metric_id", "current"], "v", list(QUANTILES.values()), list(QUANTILES), hot_rows)
+        q = q.groupBy("metric_id").agg(*[F.max(F.when(now, F.col(n))).alias(n) for n in QUANTILES], F.max(F.when(~now, F.col("median"))).alias("previous_median"))
+        out = out.join(q, "metric_id", "left")
+    else:
+        out = out.select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(QUANTILES)])
     return out.select(
         "metric_id", "count", "invalid_count", "suspect_count", "mean", "min", "max", "std", "range",
         C.from_micros("min_t").alias("min_at"), C.from_micros(-F.col("max_n")).alias("max_at"),
@@ -127,11 +130,13 @@ def downsample(obs: DataFrame, start: int, end: int, limit: int = 600, exclude_s
         F.lit(False).alias("aggregated"))
     many = rows.filter(F.col("_n") > limit).withColumn("bucket", F.floor((F.col("t") - start) / C.SECOND / F.lit(width)))
     key = ["metric_id", "bucket"]
-    marks = many.groupBy(*key, "flags").agg(F.lit(1)).groupBy(*key).agg(F.collect_set("flags").alias("fs"))
-    flags = F.array_join(F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform("fs", lambda x: F.split(x, r"\|"))), lambda x: x != ""))), "|")
-    body = many.groupBy(*key).agg(F.min("t").alias("t"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("v").alias("count"))
-    mid = quantiles(many, key, "v", [0.5], ["value"], hot_rows)
-    out = body.join(mid, key, "left").join(marks.select(*key, flags.alias("flags")), key)
+    hot = has_hot(many, key, hot_rows)
+    flags = F.flatten(F.transform(F.collect_set("flags"), lambda x: F.split(x, r"\|")))
+    flags = F.array_join(F.array_sort(F.array_distinct(F.filter(flags, lambda x: x != ""))), "|")
+    middle = [] if hot else [F.percentile("v", F.lit(0.5)).alias("value")]
+    out = many.groupBy(*key).agg(F.min("t").alias("t"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("v").alias("count"), flags.alias("flags"), *middle)
+    if hot:
+        out = out.join(quantiles(many, key, "v", [0.5], ["value"], hot_rows), key, "left")
     return few.unionByName(out.select("metric_id", "t", "value", "min", "max", "flags", "count", F.lit(True).alias("aggregated")))
 
 

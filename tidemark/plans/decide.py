@@ -8,6 +8,7 @@ from ..functions import columns as C
 from ..operators import decide as K
 from ..operators import evaluate as E
 from ..operators import quality as Q
+from ..operators.stage import staged
 from .adapter import table
 from .evaluate import reg
 from .registry import query, rounded
@@ -113,14 +114,14 @@ CONFLICT = SELECT + """, hq AS (SELECT *, regexp_matches(reasons, 'sulfur_hard_l
 
 @query("goal_conflicts", "K13", CONFLICT + " SELECT moment, code, resolution FROM cf")
 def _(spark, sf):
-    d = gated(spark, sf)
+    d = staged(gated(spark, sf))
     return K.conflicts(d, K.select_candidate(d, "moment"), "moment")
 
 
 @query("decision_status", "K18 K17", CONFLICT + """, bl AS (SELECT moment, min(code) AS blocked FROM cf WHERE resolution = 'abstain' GROUP BY 1), f AS (SELECT mo.moment, selected, CASE WHEN u = 3 THEN 'data:stale' WHEN selected IS NULL THEN 'no_admissible_option' WHEN blocked IS NOT NULL THEN 'conflict:' || blocked END AS cause FROM mo LEFT JOIN se USING (moment) LEFT JOIN bl USING (moment))
    SELECT moment, CASE WHEN cause IS NULL THEN 'recommendation' ELSE 'abstain' END AS status, cause, CASE WHEN cause IS NULL THEN selected END AS selected FROM f""")
 def _(spark, sf):
-    d = gated(spark, sf)
+    d = staged(gated(spark, sf))
     s = K.select_candidate(d, "moment")
     data = d.filter("id = 'hold'").select("moment", "data_reasons")
     return K.final_status(s, K.conflicts(d, s, "moment"), data, "moment")
@@ -128,7 +129,7 @@ def _(spark, sf):
 
 @query("consistency_checks", "K13", SELECT + " SELECT count(*) AS moments, count(*) FILTER (WHERE selected IS NOT NULL) AS selected, 0 AS selected_not_feasible, 0 AS selected_above_limit FROM se")
 def _(spark, sf):
-    d = gated(spark, sf)
+    d = staged(gated(spark, sf))
     j = K.select_candidate(d, "moment").drop("feasible").join(d.select("moment", F.col("id").alias("selected"), "feasible", "product"), ["moment", "selected"], "left")
     return j.agg(F.count("*").alias("moments"), F.count("selected").alias("selected"), F.count_if(F.col("selected").isNotNull() & ~F.col("feasible")).alias("selected_not_feasible"), F.count_if(F.col("product") > K.HARD_LIMIT).alias("selected_above_limit"))
 

@@ -8,7 +8,7 @@ from ..functions import columns as C
 from ..operators import evaluate as E
 from ..operators import features as X
 from .adapter import AT, LAB, OBS, table, ts_text, obs
-from .features import ANALYSERS, CONTROL_MAP, FEATURE_COLUMNS, GRID, ORIGINS, clean, labs
+from .features import ANALYSERS, CONTROL_MAP, FEATURE_COLUMNS, GRID, ORIGINS, clean, labs, staged_series
 from .registry import query, rounded
 from .series import round_all, us
 
@@ -378,7 +378,7 @@ def _(spark, sf):
 @query("prefix_parity", "M27", GRID + f" SELECT count(*) AS rows, 0 AS differing FROM o WHERE origin <= epoch_us(TIMESTAMP '{AT}')")
 def _(spark, sf):
     cut = us(AT)
-    s, l = clean(spark, sf), labs(spark, sf)
+    s, l = staged_series(spark, sf)
     o = X.origin_grid(s).filter(F.col("origin") <= cut)
     full = X.anchored_features(o, s, l, ANALYSERS, CONTROL_MAP)
     seen = X.anchored_features(o, s.filter(F.col("t") <= cut), l.filter(F.col("t") <= cut), ANALYSERS, CONTROL_MAP)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import features as X
 from ..operators import timejoin as TJ
+from ..operators.stage import staged
 from .adapter import ANALYSER, LAB, OBS, SECOND_ANALYSER, obs, one_per_time, ts_text
 from .registry import query, rounded
 from .series import round_all
@@ -157,8 +158,8 @@ def _(spark, sf):
 @query("lab_anchor", "J6", GRID + anchor_sql(6 * H) + f""" SELECT {ts_text('make_timestamp(origin)')} AS origin, round(level, 6) AS level, round(offset_qa, 6) AS offset_qa,
    round(offset_pa, 6) AS offset_pa, pairs_qa, pairs_pa FROM anchor""")
 def _(spark, sf):
-    o = X.origin_grid(clean(spark, sf))
-    d = X.lab_anchor(o, labs(spark, sf), clean(spark, sf), ANALYSERS, max_age=6 * H)
+    s, l = staged_series(spark, sf)
+    d = X.lab_anchor(X.origin_grid(s), l, s, ANALYSERS, max_age=6 * H)
     return round_all(d.withColumn("origin", C.from_micros("origin")).withColumn("pairs_qa", F.col("pairs_qa").cast("long")).withColumn("pairs_pa", F.col("pairs_pa").cast("long")))
 
 
@@ -178,9 +179,15 @@ FEATURE_COLUMNS = ["ln_qa", "ln_qa_1h", "ln_pa", "ln_pa_1h", "ln_level", "ln_pre
 MODEL_COLUMNS = FEATURE_COLUMNS[:6]
 
 
-def feature_frame(spark, sf, origins=None):
-    s = clean(spark, sf)
-    return X.anchored_features(X.origin_grid(s) if origins is None else origins, s, labs(spark, sf), ANALYSERS, CONTROL_MAP)
+def staged_series(spark, sf):
+    """The cleaned series as a written table (feature building reads it once per feature family) and its labs."""
+    s = staged(clean(spark, sf))
+    return s, s.filter(F.col("metric_id") == LAB).select("t", "value")
+
+
+def feature_frame(spark, sf):
+    s, l = staged_series(spark, sf)
+    return X.anchored_features(X.origin_grid(s), s, l, ANALYSERS, CONTROL_MAP)
 
 
 @query("anchored_features", "M1 M35", FEATURES + f"SELECT {ts_text('make_timestamp(origin)')} AS origin, {', '.join(f'round({x}, 6) AS {x}' for x in FEATURE_COLUMNS)}, pairs_qa, pairs_pa FROM feat")
@@ -200,7 +207,7 @@ DYN_COLUMNS = [x for n in ANALYSERS for x in (f"ln_{n}_raw", f"ln_{n}_raw_1h", f
 
 @query("dynamics_features", "M2", DYN + f"SELECT {ts_text('make_timestamp(origin)')} AS origin, {', '.join(f'round({x}, 6) AS {x}' for x in DYN_COLUMNS)} FROM dyn")
 def _(spark, sf):
-    s = clean(spark, sf)
+    s, _ = staged_series(spark, sf)
     d = X.dynamics_features(X.origin_grid(s), s, ANALYSERS, CONTROL_MAP)
     return round_all(d.select(C.from_micros("origin").alias("origin"), *DYN_COLUMNS))
 

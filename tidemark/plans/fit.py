@@ -12,7 +12,7 @@ from ..operators import risk as R
 from ..operators.stage import staged
 from .adapter import LAB, OBS, table, ts_text
 from .evaluate import REG, reg
-from .features import ANALYSERS, CONTROL_MAP, FEATURE_COLUMNS, GRID, MODEL_COLUMNS, ORIGINS, anchor_sql, clean, labs, mean_sql
+from .features import ANALYSERS, CONTROL_MAP, FEATURE_COLUMNS, GRID, MODEL_COLUMNS, ORIGINS, anchor_sql, clean, labs, mean_sql, staged_series
 from .registry import query, rounded
 from .series import round_all, us
 
@@ -105,9 +105,9 @@ def _(spark, sf):
 
 @query("lab_walk_forward", "M16 M1 M22")
 def _(spark, sf):
-    l = labs(spark, sf)
+    s, l = staged_series(spark, sf)
     o = l.select((F.col("t") - 60 * M).alias("origin"))
-    f = X.anchored_features(o, clean(spark, sf), l, ANALYSERS, CONTROL_MAP)
+    f = X.anchored_features(o, s, l, ANALYSERS, CONTROL_MAP)
     frame = f.join(l.select((F.col("t") - 60 * M).alias("origin"), C.floored_ln("value").alias("y"), (F.col("t") + 240 * M).alias("available")), "origin")
     frame = staged(frame)
     cuts = [us(f"2024-01-{d} 00:00:00") for d in ("10", "17", "24")]

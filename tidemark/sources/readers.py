@@ -65,9 +65,12 @@ def wide_to_long(df: DataFrame, plant: str, source_file: str, time: str | None =
     time = time or time_column(df.columns)
     tags = [x for x in df.columns if x not in (time, row) and not x.lower().startswith("unnamed")]
     cells = F.array(*[F.struct(F.lit(x).alias("code"), F.col(f"`{x}`").cast("string").alias("_v")) for x in tags])
-    long = df.select(F.col(time).cast("string").alias("_t"), F.col(row).alias("source_row"), F.inline(cells))
+    # The time is read once per row, before the row unfolds into its tags.
+    t = F.col(time).cast("string")
+    long = df.select(C.parse_time(t).alias("timestamp"), C.is_zoned(t).alias("zoned"), F.col(row).alias("source_row"), F.inline(cells))
+    long = long.withColumn("value", C.parse_number("_v"))
     return long.select(
-        F.concat(F.lit(f"{plant}."), "code").alias("metric_id"), *parsed(F.col("_t"), F.col("_v")),
+        F.concat(F.lit(f"{plant}."), "code").alias("metric_id"), "timestamp", "value", F.col("value").isNull().alias("invalid"), "zoned",
         F.lit(source).alias("source"), F.lit(None).cast("string").alias("unit"), F.lit(source_file).alias("source_file"), "source_row")
 
 
