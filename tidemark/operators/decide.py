@@ -293,13 +293,13 @@ def blend(components: DataFrame, key: str, additive_pct: float = 0.0, gain: floa
     mean = lambda x: F.sum(share * F.col(x)) / F.sum("share")
     f = additive_pct / 100
     g = components.groupBy(key).agg(
-        F.sum("share").alias("total"), mean("sulfur").alias("s"), mean("t95").alias("t95"), mean("cetane").alias("c"), mean("cost").alias("k"),
-        F.bool_or(F.coalesce(~enough, F.lit(False))).alias("short"), F.bool_or(enough.isNull()).alias("unknown"))
-    sulfur = F.col("s") * (1 - f) + (additive_sulfur or 0.0) * f if additive_sulfur is not None else F.col("s")
-    ok = F.abs(F.col("total") - 100) <= 1e-6
+        F.sum("share").alias("_total"), mean("sulfur").alias("_s"), mean("t95").alias("_t"), mean("cetane").alias("_c"), mean("cost").alias("_k"),
+        F.bool_or(F.coalesce(~enough, F.lit(False))).alias("_short"), F.bool_or(enough.isNull()).alias("_unknown"))
+    sulfur = F.col("_s") * (1 - f) + (additive_sulfur or 0.0) * f if additive_sulfur is not None else F.col("_s")
+    ok = F.abs(F.col("_total") - 100) <= 1e-6
     return g.select(key, ok.alias("valid_recipe"), *[F.when(ok, e).alias(n) for n, e in (
-        ("sulfur", sulfur), ("t95", F.col("t95")), ("cetane", F.col("c") + gain * additive_pct), ("cost_index", F.col("k") * (1 - f) + 100 * f))],
-        F.when(F.col("short"), False).when(F.col("unknown"), None).otherwise(True).alias("stock_met"))
+        ("sulfur", sulfur), ("t95", F.col("_t")), ("cetane", F.col("_c") + gain * additive_pct), ("cost_index", F.col("_k") * (1 - f) + 100 * f))],
+        F.when(F.col("_short"), False).when(F.col("_unknown"), None).otherwise(True).alias("stock_met"))
 
 
 def recipe_neighbours(recipes: DataFrame, shift: float = 5.0) -> DataFrame:
