@@ -203,7 +203,7 @@ def origin_grid(series: DataFrame, step: int = 30 * C.MINUTE, lead: int = 24 * C
     """Origins every ``step`` from one day after the first full hour to the last reading."""
     e = series.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     first = F.ceil(F.col("lo") / C.HOUR).cast("long") * C.HOUR + lead
-    # The range is cut per day first, so generating the grid spreads over tasks.
+    # A grid is bounded by the calendar (48 origins a day); it is unfolded per day from one row.
     days = e.select(F.explode(F.sequence(C.bucket(first, C.DAY), C.bucket("hi", C.DAY))).alias("d"), first.alias("first"), "hi")
     return days.withColumn("origin", F.explode(F.sequence(F.lit(0), F.lit(C.DAY - step), F.lit(step)))).select(
         (F.col("d") * C.DAY + F.col("origin")).alias("origin"), "first", "hi").filter(

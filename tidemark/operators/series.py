@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from .ordered import neighbour
 from .quantiles import HOT_ROWS, has_hot, plain, quantiles
+from .stage import bounded
 from .timejoin import asof
 
 QUANTILES = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
@@ -105,7 +106,7 @@ def histogram(obs: DataFrame, bins: int = 20, exclude_suspect: bool = False) ->
     """Equal-width bins between the metric's minimum and maximum; last bin closed, empty bins kept."""
     v = obs.filter(C.is_valid("value", "flags", exclude_suspect)).select("metric_id", "value")
     span = v.groupBy("metric_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    span = span.withColumn("w", F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(F.lit(1.0)))
+    span = bounded(span.withColumn("w", F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(F.lit(1.0))))
     b = F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("lo")) / F.col("w")).cast("int"))
     n = v.join(span, "metric_id").groupBy("metric_id", b.alias("bin")).agg(F.count("*").alias("n"))
     grid = span.withColumn("bin", F.explode(F.when(F.col("hi") > F.col("lo"), F.sequence(F.lit(0), F.lit(bins - 1))).otherwise(F.array(F.lit(0)))))
@@ -124,7 +125,7 @@ def downsample(obs: DataFrame, start: int, end: int, limit: int = 600, exclude_s
     rows = obs.filter((F.col("t") >= start) & (F.col("t") < end)).select(
         "metric_id", "t", "source_row", "flags", C.valid_value("value", "flags", exclude_suspect).alias("v"))
     size = rows.groupBy("metric_id").agg(F.count("*").alias("_n"))
-    rows = rows.join(F.broadcast(size), "metric_id")
+    rows = rows.join(bounded(size), "metric_id")
     few = rows.filter(F.col("_n") <= limit).select(
         "metric_id", "t", F.col("v").alias("value"), F.col("v").alias("min"), F.col("v").alias("max"), "flags", F.lit(1).cast("long").alias("count"),
         F.lit(False).alias("aggregated"))

@@ -1,10 +1,11 @@
-"""Materialise a frame that several passes read, cutting its lineage."""
+"""Materialise a frame that several passes read, and broadcast a side only after its size was checked."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,3 +24,14 @@ def staged(df: DataFrame) -> DataFrame:
     """``df`` written to the reliable checkpoint folder, so that several passes read it and lost tasks rerun from it."""
     shared_folder(df.sparkSession)
     return df.checkpoint(True)
+
+
+def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A broadcast side when ``df`` has at most ``rows`` rows, else ``df`` itself for an ordinary join.
+
+    At most ``rows + 1`` rows are read back, and a small table is then evaluated only once.
+    """
+    head = df.limit(rows + 1).collect()
+    if len(head) > rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))

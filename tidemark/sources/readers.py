@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators.stage import bounded
 
 TIME_COLUMNS = ("date", "timestamp", "datetime")
 
@@ -35,12 +36,13 @@ def with_file_row(df: DataFrame, first: int = 2, out: str = "source_row") -> Dat
     Splits of a file are numbered by their byte offset; rows inside a split by the task's running id.  The only
     table that is ordered holds one row per split.
     """
-    d = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_f", F.col("_metadata.file_path")).withColumn(
+    d = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_f", F.xxhash64("_metadata.file_path")).withColumn(
         "_b", F.col("_metadata.file_block_start"))
     split = d.groupBy("_f", "_b").agg(F.min("_id").alias("_lo"), F.count("*").alias("_n"))
     before = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     split = split.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return d.join(split, ["_f", "_b"]).withColumn(out, F.col("_id") - F.col("_lo") + F.col("_before") + first).drop("_id", "_lo", "_before", "_f", "_b")
+    # Four longs per split: a million splits (about 128 TB of text) still broadcast; beyond that the join shuffles.
+    return d.join(bounded(split, 1_000_000), ["_f", "_b"]).withColumn(out, F.col("_id") - F.col("_lo") + F.col("_before") + first).drop("_id", "_lo", "_before", "_f", "_b")
 
 
 def time_column(columns: Sequence[str]) -> str:
