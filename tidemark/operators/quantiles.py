@@ -1,7 +1,7 @@
 """Exact linear-interpolated quantiles that survive a hot group.
 
-``percentile`` keeps every distinct value of a group in one task's memory.  That
-is right for ordinary groups and wrong for one holding a third of the table, so
+Ordinary groups are ranked by a spillable sort.  That is wrong for a group holding
+a third of the table, which would be sorted by one task, so
 groups above ``hot_rows`` take another exact route: a mergeable
 sketch brackets each wanted rank, rows below the bracket are only counted, and
 just the rows inside the bracket (about 4 in 10 000) are ranked.
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 5_000_000
 ACCURACY = 10_000
+RANKED_LEVELS = 20  # beyond this many probabilities one percentile buffer is cheaper than that many conditional maxima
 SLACK = 2.0 / ACCURACY  # twice the sketch's guaranteed rank error
 
 
@@ -42,11 +43,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     hot = d.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
     any_hot = bool(hot.head(1))
     rest = d.join(F.broadcast(hot), list(keys), "left_anti") if any_hot else d
-    cold = (
-        rest.groupBy(*keys)
-        .agg(plain("_v", probs).alias("_q"))
-        .select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    )
+    cold = _ranked(rest, keys, probs, names) if len(probs) <= RANKED_LEVELS else (
+        rest.groupBy(*keys).agg(plain("_v", probs).alias("_q")).select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]))
     if not any_hot:
         return cold
     # Three ranks of room on each side for the smallest group that can come here.
@@ -54,6 +52,17 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     return cold.unionByName(_bracketed(d.join(F.broadcast(hot), list(keys)), keys, probs, names, slack))
 
 
+def _ranked(d: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Quantiles of ordinary groups by a spillable sort; several times faster than a percentile buffer of doubles."""
+    whole = Window.partitionBy(*keys)
+    r = d.withColumn("_i", F.row_number().over(whole.orderBy("_v")) - 1).withColumn("_m", F.count("*").over(whole) - 1)
+    at = lambda rank: F.max(F.when(F.col("_i") == rank, F.col("_v")))
+    aggs = [e for k, p in enumerate(probs) for e in (at(F.floor(F.col("_m") * float(p))).alias(f"_a{k}"), at(F.ceil(F.col("_m") * float(p))).alias(f"_z{k}"))]
+    g = r.groupBy(*keys).agg(F.max("_m").alias("_m"), *aggs)
+    part = lambda p: F.col("_m") * float(p) - F.floor(F.col("_m") * float(p))
+    return g.select(*keys, *[(F.col(f"_a{k}") + (F.col(f"_z{k}") - F.col(f"_a{k}")) * part(p)).alias(n) for k, (p, n) in enumerate(zip(probs, names))])
+
+
 def _bracketed(d: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str], slack: float) -> DataFrame:
     edges = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
     k = len(probs)

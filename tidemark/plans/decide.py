@@ -37,7 +37,7 @@ def moments(spark, sf):
 def policy(spark, sf):
     """The residual quantile function, a model artefact of 19 numbers, read back for the policy."""
     r = reg(spark, sf).filter("p IS NOT NULL AND y > 0 AND p > 0").select(F.lit(0).alias("g"), ((F.ln("p") - F.ln("y")) / 4).alias("r"))
-    rows = E.residual_quantiles(r, ["g"], "r", LEVELS).orderBy("probability").collect()
+    rows = sorted(E.residual_quantiles(r, ["g"], "r", LEVELS).collect(), key=lambda x: x["probability"])
     return K.Policy([x["probability"] for x in rows], [x["quantile"] for x in rows])
 
 
