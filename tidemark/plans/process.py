@@ -42,8 +42,8 @@ def _(spark, sf):
 
 
 @query("formula_registry_values", "P4", WIDE + """, k AS (SELECT t, T1, F1, F2 FROM w WHERE T1 IS NOT NULL AND F1 IS NOT NULL AND F2 IS NOT NULL)
-   SELECT '24-2000:GODT:T50' AS formula, count(*) AS n, round(sum(44.625 + 10.0224 * F2 + 0.06981 * F1 + 0.471 * T1), 4) AS total FROM k UNION ALL
-   SELECT 'AVT6:350:CFPP', count(*) FILTER (WHERE F2 <> 0), round(sum(19.27111 - 0.10582 * T1 + 0.13836 * F1 - 0.42304 * F1 / nullif(F2, 0)), 4) FROM k""")
+   SELECT '24-2000:GODT:T50' AS formula, count(*) AS n, round(sum(44.625 + 10.0224 * F2 + 0.06981 * F1 + 0.471 * T1), 4) AS total FROM k HAVING count(*) > 0 UNION ALL
+   SELECT 'AVT6:350:CFPP', count(*) FILTER (WHERE F2 <> 0), round(sum(19.27111 - 0.10582 * T1 + 0.13836 * F1 - 0.42304 * F1 / nullif(F2, 0)), 4) FROM k HAVING count(*) > 0""")
 def _(spark, sf):
     w = tag_rows(spark, sf).filter("T1 IS NOT NULL AND F1 IS NOT NULL AND F2 IS NOT NULL")
     maps = {"24-2000:GODT:T50": {"P13": "F2", "F9": "F1", "T6": "T1"}, "AVT6:350:CFPP": {"T48": "T1", "T40": "F1", "F31": "F1", "F57": "F2"}}

@@ -158,7 +158,7 @@ def _(spark, sf):
 
 
 @query("analyser_correlation", "J11 A29", OBS + """, w AS (SELECT t, max(value) FILTER (WHERE metric_id = 'ev.view') AS y, max(value) FILTER (WHERE metric_id = 'ev.click') AS click, max(value) FILTER (WHERE metric_id = 'ev.error') AS error,
-   max(value) FILTER (WHERE metric_id = 'ev.signup') AS signup FROM clean GROUP BY 1) SELECT 'click' AS name, round(corr(y, click), 6) AS r FROM w UNION ALL SELECT 'error', round(corr(y, error), 6) FROM w UNION ALL SELECT 'signup', round(corr(y, signup), 6) FROM w""")
+   max(value) FILTER (WHERE metric_id = 'ev.signup') AS signup FROM clean GROUP BY 1) SELECT name, r FROM (SELECT 'click' AS name, round(corr(y, click), 6) AS r FROM w UNION ALL SELECT 'error', round(corr(y, error), 6) FROM w UNION ALL SELECT 'signup', round(corr(y, signup), 6) FROM w) WHERE r IS NOT NULL AND NOT isnan(r)""")
 def _(spark, sf):
     names = {"y": "ev.view", "click": "ev.click", "error": "ev.error", "signup": "ev.signup"}
     w = clean(spark, sf).groupBy("t").agg(*[F.max(F.when(F.col("metric_id") == m, F.col("value"))).alias(n) for n, m in names.items()])
