@@ -76,7 +76,11 @@ def parse_number(raw: Column | str) -> Column:
 
 
 def is_zoned(raw: Column | str) -> Column:
-    return F.trim(c(raw)).rlike(r"(?i)(\d\s*z|:\d\d(\.\d+)?\s*[+-]\d\d:?\d\d)$")
+    """Ends with Z or an offset; the pattern is tried only where a cheap look finds a sign or a Z after the date."""
+    x = F.trim(c(raw))
+    clock = F.substring(x, 11, 40)
+    hint = F.contains(clock, F.lit("+")) | F.contains(clock, F.lit("-")) | F.contains(clock, F.lit("Z")) | F.contains(clock, F.lit("z"))
+    return hint & x.rlike(r"(?i)(\d\s*z|:\d\d(\.\d+)?\s*[+-]\d\d:?\d\d)$")
 
 
 def parse_time(raw: Column | str) -> Column:
