@@ -9,7 +9,7 @@ from ..operators import quality as Q
 from ..sources import catalog as K
 from ..sources import readers as R
 from ..sources import sinks as W
-from .adapter import ANALYSER, CONTROLS, END, LAB, MIDDLE, OBS, VALID, SUSPECT, ntz, obs, table, ts_text
+from .adapter import ANALYSER, CONTROLS, END, LAB, MIDDLE, OBS, VALID, SUSPECT, obs, table, ts_text
 from .registry import query, rounded
 from .series import round_all, us
 
@@ -191,8 +191,8 @@ def _(spark, sf):
     return table(spark, sf, "part").select(C.csv_safe(x).alias("text")).groupBy("text").agg(F.count("*").alias("n"))
 
 
-MERGE = """WITH a AS (SELECT l_shipdate AS timestamp, l_quantity AS x FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01' AND l_returnflag = 'A'),
-  b AS (SELECT o_orderdate AS timestamp, round(o_totalprice / 100000) AS y FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderstatus = 'P'),
+MERGE = """WITH a AS (SELECT l_shipdate AS timestamp, l_quantity AS x FROM lineitem),
+  b AS (SELECT o_orderdate AS timestamp, round(o_totalprice / 100000) AS y FROM orders),
   ga AS (SELECT timestamp, CASE WHEN min(x) = max(x) AND count(x) = count(*) THEN max(x) END AS x FROM a GROUP BY 1),
   gb AS (SELECT timestamp, CASE WHEN min(y) = max(y) AND count(y) = count(*) THEN max(y) END AS y FROM b GROUP BY 1)
 """
@@ -200,8 +200,8 @@ MERGE = """WITH a AS (SELECT l_shipdate AS timestamp, l_quantity AS x FROM linei
 
 @query("merged_telemetry", "S14", MERGE + "SELECT strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, x AS avt__x, y AS ht__y FROM ga FULL JOIN gb USING (timestamp)")
 def _(spark, sf):
-    a = table(spark, sf, "lineitem").filter((F.col("l_shipdate") < ntz("1998-01-01 00:00:00")) & (F.col("l_returnflag") == "A")).select(F.col("l_shipdate").alias("timestamp"), F.col("l_quantity").alias("x"))
-    b = table(spark, sf, "orders").filter((F.col("o_orderdate") >= ntz("1997-01-01 00:00:00")) & (F.col("o_orderstatus") == "P")).select(F.col("o_orderdate").alias("timestamp"), F.round(F.col("o_totalprice") / 100000).alias("y"))
+    a = table(spark, sf, "lineitem").select(F.col("l_shipdate").alias("timestamp"), F.col("l_quantity").alias("x"))
+    b = table(spark, sf, "orders").select(F.col("o_orderdate").alias("timestamp"), F.round(F.col("o_totalprice") / 100000).alias("y"))
     return R.merge_wide({"avt": a, "ht": b})
 
 
