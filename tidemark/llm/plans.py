@@ -1,11 +1,13 @@
 """Registered corpus queries and their DuckDB texts."""
 from __future__ import annotations
 
-from tidemark.llm import line_dedup
+from tidemark.llm import decontaminate, line_dedup
 
 QUERIES = {
+    "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 SQL = {
+    "op2_benchmark_decontamination": decontaminate.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }
