@@ -1,18 +1,21 @@
 """Registered corpus queries and their DuckDB texts."""
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, embedding_groups, line_dedup, superminhash, token_counts, url_rules
+from tidemark.llm import decontaminate, embedding_groups, line_dedup, mixing, ordinal_quality, superminhash, token_counts, url_rules
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op3_mixing": mixing.op3_mixing,
     "op4_url_rules": url_rules.op4_url_rules,
     "op7_embedding_groups": embedding_groups.op7_embedding_groups,
     "op8_superminhash": superminhash.op8_superminhash,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_ordinal_quality": ordinal_quality.op10_ordinal_quality,
 }
 SQL = {
     "op2_benchmark_decontamination": decontaminate.SQL,
+    "op3_mixing": mixing.SQL,
     "op4_url_rules": url_rules.SQL,
     "op7_embedding_groups": embedding_groups.SQL,
     "op8_superminhash": superminhash.SQL,
