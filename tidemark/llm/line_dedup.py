@@ -33,8 +33,9 @@ def lines_of(text: Column) -> Column:
 
 
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per line whose key is long enough: doc_id, the text's hash (tells rows of one doc_id apart), line number, 128-bit key hash."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+    """One row per line of a document with an id whose key is long enough: doc_id, the text's hash (tells rows of one doc_id apart), line number, 128-bit key hash."""
+    known = docs.where(F.col("doc_id").isNotNull())
+    lines = known.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     keyed = lines.select("doc_id", "row", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
     return keyed.select("doc_id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
