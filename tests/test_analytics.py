@@ -55,14 +55,14 @@ def test_reading_before_the_period_covers_its_start(spark):
     assert S.durations(o, a, a + 30 * MIN, 10.0).first().exceed_minutes == 6
 
 
-@pytest.mark.parametrize("hot_rows", [1, 10**9])
-def test_period_statistics(spark, hot_rows):
+@pytest.mark.parametrize("per_range", [1, 10**9])
+def test_period_statistics(spark, per_range):
     o = observations(spark, [("m", 0, 1, "kip"), ("m", 10, 3, "kip"), ("m", 20, 100, "kip", "suspect"), ("m", 30, 1000, "kip", "conflict"), ("m", 40, None, "kip", "invalid"), ("m", -30, 4, "kip")])
     a = us("2026-01-01 00:00:00")
-    r = S.period_statistics(o, a, a + 60 * MIN, hot_rows=hot_rows).first()
+    r = S.period_statistics(o, a, a + 60 * MIN, per_range=per_range).first()
     assert (r["count"], r.median, r.invalid_count, r.suspect_count, r.previous_median, r.median_change) == (3, 3, 2, 1, 4, -1)
     assert abs(r.p05 - 1.2) < 1e-9 and abs(r.p95 - 90.3) < 1e-9 and abs(r.iqr - 49.5) < 1e-9 and r.change == 99
-    r = S.period_statistics(o, a, a + 60 * MIN, True, hot_rows=hot_rows).first()
+    r = S.period_statistics(o, a, a + 60 * MIN, True, per_range=per_range).first()
     assert (r["count"], r["mean"]) == (2, 2)
 
 
@@ -77,7 +77,7 @@ def test_downsampling_keeps_the_peak(spark):
     o = observations(spark, [("m", 10 * i, 879 if i == 77 else i % 5, "kip") for i in range(144)])
     a = us("2026-01-01 00:00:00")
     for hot in (1, 10**9):
-        d = S.downsample(o, a, a + 1440 * MIN, 50, hot_rows=hot).collect()
+        d = S.downsample(o, a, a + 1440 * MIN, 50, per_range=hot).collect()
         assert len(d) <= 50 and max(r["max"] for r in d) == 879 and all(r.aggregated for r in d)
     assert S.downsample(o, a, a + 1440 * MIN, 500).filter("aggregated").count() == 0
 

@@ -74,11 +74,13 @@ def test_formulas(spark):
     d = spark.createDataFrame([(100.0, 10.0, 2.0), (100.0, 10.0, 0.0), (None, 10.0, 2.0)], "T1 double, F1 double, F2 double")
     v, s = FM.evaluate("791,2 + 0,5xT1 − F1/F2")
     assert [tuple(r) for r in d.select(v, s).collect()] == [(836.2, "ok"), (None, "zero_denominator"), (None, "missing_input")]
-    for bad in ("T1; drop", "exp(T1)", "T1 ** F1 if F2", "__import__"):
+    for bad in ("T1; drop", "exp(T1)", "T1 ** F1 if F2", "__import__", "F1 F2", "F1**2", "(F1", "F1)", "F1+", "", "2F1", "1.2.3", "F1 AS F2", "F1/()"):
         with pytest.raises(ValueError):
             FM.evaluate(bad)
-    with pytest.raises(ValueError):
-        FM.denominators("T1/((F1+F2)*T1)")
+    for text, want in {"T1/((F1+F2)*2)": 100 / 24, "T1/(F1/(F2+1))": 30.0, "1e3*F1 - -F2": 10002.0, "8/F2/2": 2.0, "2-3-4": -5.0}.items():
+        assert d.limit(1).select(FM.evaluate(text)[0]).first()[0] == pytest.approx(want)
+    nested = d.select(FM.evaluate("T1/(F1/F2)")[1], FM.evaluate("T1/((F1-10)*F2)")[1]).collect()
+    assert [tuple(r) for r in nested] == [("ok", "zero_denominator"), ("zero_denominator", "zero_denominator"), ("missing_input", "missing_input")]
     for text in FM.FORMULAS.values():
         FM.evaluate(text)
     values = {"F9": 100.0, "P13": 4.0, "T6": 350.0}

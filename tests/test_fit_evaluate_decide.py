@@ -162,6 +162,16 @@ def test_hysteresis_and_evidence(spark):
     assert got == [[], ["no_finite_value", "not_fresh", "unreliable", "not_yet_available"], ["unknown_time"]]
 
 
+@pytest.mark.parametrize("blocks", [30, 90, 365])
+def test_bootstrap_spread_is_that_of_a_resample(spark, blocks):
+    day = 86_400_000_000
+    v = [float((7 * i * i + 3 * i) % 101) for i in range(blocks)]
+    d = spark.createDataFrame([(0, i * 7 * day, x) for i, x in enumerate(v)], "k int, t long, d double")
+    r = E.block_bootstrap(d, ["k"], "t", "d", 7, 4000, (0.1586553, 0.8413447)).first()
+    assert abs((r.ci_high - r.ci_low) / 2 / (np.std(v) / blocks ** 0.5) - 1) < 0.06
+    assert abs(r.mean_delta - np.mean(v)) < 1e-9
+
+
 def test_bootstrap_is_replayable(spark):
     d = spark.createDataFrame([(0, i * 86_400_000_000, float(i % 7)) for i in range(200)], "k int, t long, d double")
     a, b = (E.block_bootstrap(d, ["k"], "t", "d", 7, 100).first() for _ in range(2))

@@ -82,12 +82,12 @@ def test_range_frame(spark):
         assert r["n"] == len(part) and (r["m"] == part.value.max() if len(part) else r["m"] is None)
 
 
-@pytest.mark.parametrize("hot_rows", [20, 10**9])
-def test_quantiles_exact_on_both_paths(spark, hot_rows):
+@pytest.mark.parametrize("per_range", [20, 10**9])
+def test_quantiles_exact_for_any_ranges(spark, per_range):
     rng = np.random.default_rng(0)
     p = pd.DataFrame({"k": np.repeat([0, 1, 2], [5000, 40, 7]), "v": np.r_[np.round(rng.normal(0, 3, 5000), 2), np.full(40, 7.5), np.arange(7.0)]})
     probs = [0, 0.01, 0.25, 0.5, 0.9, 0.99, 1]
-    for r in quantiles(spark.createDataFrame(p), ["k"], "v", probs, hot_rows=hot_rows).collect():
+    for r in quantiles(spark.createDataFrame(p), ["k"], "v", probs, per_range=per_range).collect():
         want = np.quantile(p[p.k == r["k"]].v, probs)
         assert np.allclose([r[f"q{i}"] for i in range(len(probs))], want, atol=1e-12)
 

@@ -57,6 +57,12 @@ def from_micros(t: Column | str) -> Column:
     return F.timestamp_add("MICROSECOND", c(t), F.expr(EPOCH))
 
 
+def drawn(n: Column, *keys: str) -> Column:
+    """A number in 0..n-1 drawn independently for each combination of keys: 60 bits of an MD5 modulo n."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), n)
+
+
 def bucket(t: Column | str, width: int) -> Column:
     """Floor of ``t / width`` in exact integer arithmetic (right for negative times too)."""
     t = c(t)
@@ -67,6 +73,11 @@ def half_open(t: Column | str, start, end) -> Column:
     return (c(t) >= F.lit(start)) & (c(t) < F.lit(end))
 
 
+def in_period(start: int, end: int) -> Column:
+    """``timestamp`` inside [start, end) as a comparison of the stored column with literals, which scans can use."""
+    return (F.col("timestamp") >= from_micros(F.lit(start))) & (F.col("timestamp") < from_micros(F.lit(end)))
+
+
 # --- lenient parsing ----------------------------------------------------------
 
 

@@ -153,33 +153,44 @@ def move_at(i: Column, grid: Mapping[str, tuple[int, float, int]]) -> dict[str,
     return {f"d{k}": (at[k] + grid[k][0]) * F.lit(grid[k][1]) for k in "TFP"}
 
 
+def _plain_effort(i: int, grid: Mapping[str, tuple[int, float, int]]) -> float:
+    nf, np_ = grid["F"][2], grid["P"][2]
+    at = {"T": i // (nf * np_), "F": i // np_ % nf, "P": i % np_}
+    move = {k: abs((at[k] + grid[k][0]) * grid[k][1]) for k in "TFP"}
+    return move["T"] / 10 + move["F"] / 10 + move["P"] / 2
+
+
 def grid_optima(moments: DataFrame, policy: Policy, grid: Mapping[str, tuple[int, float, int]] = SEARCH_GRID, key: str = "moment",
                 partitions: int | None = None) -> DataFrame:
     """Cheapest admissible corrective and economic move per moment (loss, then effort, then grid order).
 
-    Moments are spread by key before the grid unfolds, so the reduction needs no further shuffle.  The argmin is a
-    single long: loss at 1e-9, effort at 1e-4 and the move's number packed in that order.
+    Moments are spread by key before the grid unfolds, so the reduction needs no further shuffle.  Moves are numbered
+    by (effort, grid order) beforehand, so the argmin is a single long: the loss in units of 1e-12, then that number.
+    A move inside the grid that passes the checks has a loss far inside +-500, so nothing overflows.
     """
     count = grid["T"][2] * grid["F"][2] * grid["P"][2]
-    size = 10 ** len(str(count))
+    size = 8192
+    if count > size:
+        raise ValueError(f"a grid holds at most {size} moves")
+    order = sorted(range(count), key=lambda i: (round(_plain_effort(i, grid), 9), i))
     partitions = partitions or int(moments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     need = [key, "base", "T", "F", "P", *[f"{s}_{x}" for x in "TFP" for s in ("mean", "std")]]
-    d = moments.select(*need).repartition(partitions, key).select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("i"))
+    d = moments.select(*need).repartition(partitions, key).select("*", F.posexplode(F.array(*[F.lit(i) for i in order])).alias("_rank", "i"))
     move = move_at(F.col("i"), grid)
     d = d.select("*", *[move[k].alias(k) for k in ("dT", "dF", "dP")]).filter("dT != 0 OR dF != 0 OR dP != 0")
     d = scored(d, policy, round_effort=False)
     ok = F.col("loss").isNotNull() & F.col("risk_passed") & (F.col("product") <= min(policy.target, HARD_LIMIT)) & (F.col("severity") <= 1)
     fix = is_corrective(F.col("dT"), F.col("dF"), F.col("dP"))
-    half = lambda x: F.floor(x + 0.5)
-    packed = (half((F.col("loss") + 10) * 1e9) * 40000 + half(F.col("effort") * 1e4)) * size + F.col("i")
-    d = d.select(key, (ok & (fix | F.col("within_design"))).alias("_ok"), fix.alias("_fix"), packed.alias("_k"))
+    ok = ok & (fix | F.col("within_design"))
+    packed = F.when(ok, F.floor((F.col("loss") + 500) * 1e12 + 0.5) * size + F.col("_rank"))
+    d = d.select(key, ok.alias("_ok"), fix.alias("_fix"), packed.alias("_k"))
     g = d.groupBy(key).agg(F.count_if("_ok").alias("admissible"), F.min(F.when(F.col("_ok") & F.col("_fix"), F.col("_k"))).alias("_c"),
                            F.min(F.when(F.col("_ok") & ~F.col("_fix"), F.col("_k"))).alias("_e"))
     out = [key, "admissible"]
     for name, col in (("corrective", "_c"), ("economic", "_e")):
-        best = move_at(F.pmod(F.col(col), F.lit(size)), grid)
+        best = move_at(F.get(F.array(*[F.lit(i) for i in order]), F.pmod(F.col(col), F.lit(size)).cast("int")), grid)
         out += [best[x].alias(f"{name}_{x}") for x in ("dT", "dF", "dP")]
-        out.append((F.expr(f"{col} div {size * 40000}L").cast("double") / 1e9 - 10).alias(f"{name}_loss"))
+        out.append((F.expr(f"{col} div {size}L").cast("double") / 1e12 - 500).alias(f"{name}_loss"))
     return g.select(*out)
 
 

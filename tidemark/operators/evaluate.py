@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from .ordered import neighbour, running, value_chunks
-from .quantiles import HOT_ROWS, quantiles
+from .quantiles import PER_RANGE, quantiles
 from .timejoin import asof, range_frame
 
 NEVER = float("inf")
@@ -24,7 +24,7 @@ def _share(a, b) -> Column:
     return F.when(b > 0, a / b)
 
 
-def regression_metrics(df: DataFrame, keys: Sequence[str], y: str, p: str, threshold: float, hot_rows: int = HOT_ROWS) -> DataFrame:
+def regression_metrics(df: DataFrame, keys: Sequence[str], y: str, p: str, threshold: float, per_range: int = PER_RANGE) -> DataFrame:
     """n, MAE, RMSE, median AE, bias, correlation and exceedance counts over finite pairs."""
     d = df.select(*keys, C.finite(y).alias("_y"), C.finite(p).alias("_p")).filter("_y IS NOT NULL AND _p IS NOT NULL")
     d = d.withColumn("_e", F.col("_p") - F.col("_y")).withColumn("_a", F.abs("_e"))
@@ -34,7 +34,7 @@ def regression_metrics(df: DataFrame, keys: Sequence[str], y: str, p: str, thres
         F.when((F.count("*") > 2) & (F.stddev_pop("_p") > 0) & (F.stddev_pop("_y") > 0), F.corr("_y", "_p")).alias("correlation"),
         F.count_if(bad).alias("actual_above"), F.count_if(alarm).alias("predicted_above"),
         F.count_if(bad & alarm).alias("tp"), F.count_if(~bad & alarm).alias("fp"), F.count_if(bad & ~alarm).alias("fn"))
-    med = quantiles(d, keys, "_a", [0.5], ["median_absolute_error"], hot_rows)
+    med = quantiles(d, keys, "_a", [0.5], ["median_absolute_error"], per_range)
     tp, fp, fn, n = F.col("tp"), F.col("fp"), F.col("fn"), F.col("n")
     return g.join(med, list(keys)).select(
         *keys, "n", "mae", "rmse", "median_absolute_error", "bias", "correlation", "actual_above", "predicted_above",
@@ -134,10 +134,10 @@ def best_f1(df: DataFrame, keys: Sequence[str], event: Column, score: str, grid:
 
 
 def residual_quantiles(df: DataFrame, keys: Sequence[str], residual: str, levels: Sequence[float] = tuple(i / 100 for i in range(1, 100)),
-                       hot_rows: int = HOT_ROWS) -> DataFrame:
+                       per_range: int = PER_RANGE) -> DataFrame:
     """Empirical quantile function: one row per key and probability."""
     names = [f"_q{i}" for i in range(len(levels))]
-    q = quantiles(df, keys, residual, levels, names, hot_rows)
+    q = quantiles(df, keys, residual, levels, names, per_range)
     cells = F.array(*[F.struct(F.lit(float(p)).alias("probability"), F.col(n).alias("quantile")) for p, n in zip(levels, names)])
     return q.select(*keys, F.inline(cells))
 
@@ -188,7 +188,7 @@ def block_bootstrap(df: DataFrame, keys: Sequence[str], t: str, delta: str, bloc
     """Mean of ``delta`` and its calendar-block bootstrap interval (ratio of resampled sums).
 
     Rows are reduced to one (sum, count) per block first; the draws run over that small table.  Block choice is a
-    plain integer formula, so a draw can be replayed anywhere.
+    hash of (key, draw, slot), so a draw can be replayed anywhere.
     """
     b = df.groupBy(*keys, C.bucket(t, block_days * C.DAY).alias("block")).agg(F.sum(delta).alias("s"), F.count(delta).alias("c"))
     w = Window.partitionBy(*keys).orderBy("block")
@@ -196,8 +196,7 @@ def block_bootstrap(df: DataFrame, keys: Sequence[str], t: str, delta: str, bloc
     total = b.groupBy(*keys).agg(F.count("*").alias("blocks"), (F.sum("s") / F.sum("c")).alias("mean_delta"))
     d = total.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long"))))
     d = d.withColumn("slot", F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks"))))
-    mixed = F.col("draw") * 1103515245 + F.col("slot") * 1013904223 + F.col("draw") * F.col("slot") * 69621
-    d = d.withColumn("i", F.pmod(F.pmod(mixed, F.lit(2147483647)), F.col("blocks")))
+    d = d.withColumn("i", C.drawn(F.col("blocks"), *keys, "draw", "slot"))
     s = d.join(b, [*keys, "i"]).groupBy(*keys, "draw").agg((F.sum("s") / F.sum("c")).alias("x"))
     return total.join(quantiles(s, keys, "x", list(probs), ["ci_low", "ci_high"]), list(keys))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from .quantiles import HOT_ROWS, quantiles
+from .quantiles import PER_RANGE, quantiles
 
 ALPHAS = (1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0, 10000.0, 100000.0)
 
@@ -26,12 +26,12 @@ def unfolded(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Data
 
 
 def support(df: DataFrame, keys: Sequence[str], columns: Sequence[str], low: float = 0.005, high: float = 0.995, margin: float = 0.10,
-            hot_rows: int = HOT_ROWS) -> DataFrame:
+            per_range: int = PER_RANGE) -> DataFrame:
     """Per key and column: median, mean and population deviation after median fill, and widened support bounds."""
     long = unfolded(df, keys, columns)
     key = [*keys, "column"]
     m = long.groupBy(*key).agg(F.count("*").alias("_n"), F.count("value").alias("_k"), F.avg("value").alias("_mu"), F.var_pop("value").alias("_var"))
-    q = quantiles(long, key, "value", [low, 0.5, high], ["lo", "median", "hi"], hot_rows)
+    q = quantiles(long, key, "value", [low, 0.5, high], ["lo", "median", "hi"], per_range)
     s = m.join(q, key, "left").withColumn("median", F.coalesce("median", F.lit(0.0)))
     n, k, mu, med = F.col("_n"), F.col("_k"), F.coalesce("_mu", F.lit(0.0)), F.col("median")
     mean = (k * mu + (n - k) * med) / n
@@ -157,7 +157,7 @@ def convex_value(inputs: Sequence[str], weights: Sequence[Column]) -> Column:
     return F.when(mass > 0, total / mass).when(count > 0, plain / count)
 
 
-def fit_convex(df: DataFrame, keys: Sequence[str], inputs: Sequence[str], y: str, step: float = 0.05, hot_rows: int = HOT_ROWS) -> DataFrame:
+def fit_convex(df: DataFrame, keys: Sequence[str], inputs: Sequence[str], y: str, step: float = 0.05, per_range: int = PER_RANGE) -> DataFrame:
     """Weights on the simplex grid with the least mean absolute error after removing the median residual.
 
     Residuals for all grid weights come out of one expression per row; only (weight, residual) pairs are shuffled.
@@ -166,7 +166,7 @@ def fit_convex(df: DataFrame, keys: Sequence[str], inputs: Sequence[str], y: str
     d = df.select(*keys, F.col(y).alias("_y"), *inputs)
     cells = F.array(*[(F.col("_y") - convex_value(inputs, [F.lit(float(w)) for w in ws])) for ws in grid])
     long = d.select(*keys, F.posexplode(cells).alias("w", "r")).filter("r IS NOT NULL")
-    bias = quantiles(long, [*keys, "w"], "r", [0.5], ["bias"], hot_rows)
+    bias = quantiles(long, [*keys, "w"], "r", [0.5], ["bias"], per_range)
     score = long.join(bias, [*keys, "w"]).groupBy(*keys, "w").agg(F.avg(F.abs(F.col("r") - F.col("bias"))).alias("mae"), F.first("bias").alias("bias"))
     # Scores equal to within rounding count as ties and go to the earlier weight vector.
     best = score.groupBy(*keys).agg(F.min(F.struct(F.round("mae", 12).alias("m"), "w", "bias", "mae")).alias("b"))
@@ -177,13 +177,13 @@ def fit_convex(df: DataFrame, keys: Sequence[str], inputs: Sequence[str], y: str
 # --- robust anomaly distance ----------------------------------------------------------------
 
 
-def robust_core(df: DataFrame, keys: Sequence[str], columns: Sequence[str], cut: float = 3.0, hot_rows: int = HOT_ROWS) -> DataFrame:
+def robust_core(df: DataFrame, keys: Sequence[str], columns: Sequence[str], cut: float = 3.0, per_range: int = PER_RANGE) -> DataFrame:
     """Rows whose every feature lies within ``cut`` scaled MADs of the median."""
     complete = df.dropna(subset=list(columns))
     long = unfolded(complete, keys, columns)
     key = [*keys, "column"]
-    med = quantiles(long, key, "value", [0.5], ["med"], hot_rows)
-    mad = quantiles(long.join(med, key).withColumn("dev", F.abs(F.col("value") - F.col("med"))), key, "dev", [0.5], ["mad"], hot_rows)
+    med = quantiles(long, key, "value", [0.5], ["med"], per_range)
+    mad = quantiles(long.join(med, key).withColumn("dev", F.abs(F.col("value") - F.col("med"))), key, "dev", [0.5], ["mad"], per_range)
     s = med.join(mad, key).withColumn("mad", F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).otherwise(1.0))
     wide = s.groupBy(*keys).agg(*[F.max(F.when(F.col("column") == x, F.col(f))).alias(f"{f}_{x}") for x in columns for f in ("med", "mad")])
     d = complete.join(wide, list(keys))

@@ -198,12 +198,11 @@ def response_summary(events: DataFrame, hours: int = 6, keys: Sequence[str] = ("
 def response_bootstrap(events: DataFrame, draws: int = 200, hours: int = 6) -> DataFrame:
     """Spread of the plateau under resampling of whole events: standard error and 80% interval per control.
 
-    Events are few (operator moves); they are numbered per control and drawn by an integer formula.
+    Events are few (operator moves); they are numbered per control and drawn by a hash.
     """
     e = events.withColumn("i", (F.row_number().over(Window.partitionBy("control").orderBy("first_slot")) - 1).cast("long"))
     n = e.groupBy("control").agg(F.count("*").alias("n"))
     d = n.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long")))).withColumn("slot_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    mixed = F.col("draw") * 1103515245 + F.col("slot_no") * 1013904223 + F.col("draw") * F.col("slot_no") * 69621
-    d = d.withColumn("i", F.pmod(F.pmod(mixed, F.lit(2147483647)), F.col("n"))).drop("n")
+    d = d.withColumn("i", C.drawn(F.col("n"), "control", "draw", "slot_no")).drop("n")
     s = response_summary(d.join(e, ["control", "i"]), hours, ["control", "draw"])
     return s.groupBy("control").agg(F.stddev_pop("coefficient").alias("se"), F.percentile("coefficient", F.lit(0.1)).alias("ci_low"), F.percentile("coefficient", F.lit(0.9)).alias("ci_high"))

@@ -9,20 +9,28 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from .ordered import islands, neighbour
-from .quantiles import HOT_ROWS, quantiles
+from .quantiles import PER_RANGE, quantiles
+
+
+def per_file(rows: DataFrame, *keys: str) -> list[str]:
+    return [*keys, "source_file"] if "source_file" in rows.columns else list(keys)
 
 
 def collapse_copies(rows: DataFrame) -> DataFrame:
-    """One row per (metric, time, value, invalid) with ``copies``; map-side combined, so a hot copy group shrinks before the shuffle."""
-    keep = [x for x in ("source", "unit", "source_file") if x in rows.columns]
-    return rows.groupBy("metric_id", "t", "value", "invalid").agg(
-        F.min("source_row").alias("source_row"), F.count("*").alias("copies"), *[F.min(x).alias(x) for x in keep])
+    """One row per (file, metric, time, value, invalid) with ``copies``; map-side combined, so a hot copy group shrinks before the shuffle.
+
+    Each file is handled on its own; the row, source and unit kept are those of the group's first row.
+    """
+    keep = [x for x in ("source", "unit") if x in rows.columns]
+    out = rows.groupBy(*per_file(rows, "metric_id", "t"), "value", "invalid").agg(F.min(F.struct("source_row", *keep)).alias("_first"), F.count("*").alias("copies"))
+    return out.select("*", *[F.col(f"_first.{x}").alias(x) for x in ("source_row", *keep)]).drop("_first")
 
 
 def mark_conflicts(collapsed: DataFrame) -> DataFrame:
-    """``conflict`` on every survivor of a (metric, time) that holds more than one distinct (value, invalid)."""
-    clash = collapsed.groupBy("metric_id", "t").agg(F.count("*").alias("_k"), F.sum("copies").alias("conflict_rows")).filter("_k > 1").drop("_k")
-    return collapsed.join(clash, ["metric_id", "t"], "left").withColumn("conflict", F.col("conflict_rows").isNotNull())
+    """``conflict`` on every survivor of a file's (metric, time) that holds more than one distinct (value, invalid)."""
+    keys = per_file(collapsed, "metric_id", "t")
+    clash = collapsed.groupBy(*keys).agg(F.count("*").alias("_k"), F.sum("copies").alias("conflict_rows")).filter("_k > 1").drop("_k")
+    return collapsed.join(clash, keys, "left").withColumn("conflict", F.col("conflict_rows").isNotNull())
 
 
 def mark_flatline(rows: DataFrame, hold: int = 6 * C.HOUR, gap: int = 20 * C.MINUTE, sources: Sequence[str] = ("kip", "pak"),
@@ -33,7 +41,7 @@ def mark_flatline(rows: DataFrame, hold: int = 6 * C.HOUR, gap: int = 20 * C.MIN
     """
     on = F.col("source").isin(*sources)
     same = (F.col("value") == F.col("prev.value")) & ~F.col("prev.invalid") & ~F.col("invalid") & (F.col("t") - F.col("prev.t") <= gap)
-    d = islands(rows, ["metric_id"], "t", ["source_row"], ~F.coalesce(same, F.lit(False)), ["value", "invalid"], width, "_start")
+    d = islands(rows, per_file(rows, "metric_id"), "t", ["source_row"], ~F.coalesce(same, F.lit(False)), ["value", "invalid"], width, "_start")
     flat = on & ~F.col("_break") & (F.col("t") - F.col("_start") >= hold)
     return d.withColumn("flatline", F.coalesce(flat, F.lit(False))).drop("prev", "_break", "_start", "_chunk")
 
@@ -101,14 +109,14 @@ def constant_runs(rows: DataFrame, keys: Sequence[str], order: str, value: str,
     return d.groupBy(*keys, "run_start").agg(*aggs)
 
 
-def column_profile(rows: DataFrame, keys: Sequence[str], order: str, value: str, width: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def column_profile(rows: DataFrame, keys: Sequence[str], order: str, value: str, width: int, per_range: int = PER_RANGE) -> DataFrame:
     """Count, missing, distinct, moments, quantiles, zeros, negatives, unchanged share, longest constant run per key."""
     x = F.col(value)
     base = rows.groupBy(*keys).agg(
         F.count(value).alias("count"), F.count_if(x.isNull()).alias("missing"), F.count_distinct(value).alias("nunique"), F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), F.count_if(x == 0).alias("zero_count"),
         F.count_if(x < 0).alias("negative_count"))
-    q = quantiles(rows, keys, value, [0.01, 0.05, 0.5, 0.95, 0.99], ["p01", "p05", "median", "p95", "p99"], hot_rows)
+    q = quantiles(rows, keys, value, [0.01, 0.05, 0.5, 0.95, 0.99], ["p01", "p05", "median", "p95", "p99"], per_range)
     runs = constant_runs(rows, keys, order, value, width)
     # Rows equal to their predecessor = rows minus the first of every run of a known value.
     runs = runs.groupBy(*keys).agg(
@@ -119,12 +127,12 @@ def column_profile(rows: DataFrame, keys: Sequence[str], order: str, value: str,
 
 
 def time_profile(rows: DataFrame, keys: Sequence[str], t: str = "t", order: Sequence[str] = ("source_row",), width: int = C.DAY,
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
+                 per_range: int = PER_RANGE) -> DataFrame:
     """Start, end, repeated times, median step and longest gap per key."""
     d = neighbour(rows.select(*keys, t, *order), keys, t, list(order), [], width, "prev").withColumn("step", (F.col(t) - F.col(f"prev.{t}")) / C.SECOND)
     base = d.groupBy(*keys).agg(C.from_micros(F.min(t)).alias("start"), C.from_micros(F.max(t)).alias("end"),
                                 F.count_if(F.col("step") == 0).alias("duplicate_timestamps"), (F.max("step") / 3600).alias("max_gap_hours"))
-    return base.join(quantiles(d, keys, "step", [0.5], ["median_step_seconds"], hot_rows), list(keys))
+    return base.join(quantiles(d, keys, "step", [0.5], ["median_step_seconds"], per_range), list(keys))
 
 
 def step_counts(rows: DataFrame, keys: Sequence[str], top: int = 8, t: str = "t", order: Sequence[str] = ("source_row",), width: int = C.DAY) -> DataFrame:

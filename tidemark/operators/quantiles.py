@@ -1,96 +1,51 @@
-"""Exact linear-interpolated quantiles that survive a hot group.
+"""Exact linear-interpolated quantiles by one route for groups of any size.
 
-Ordinary groups are ranked by a spillable sort.  That is wrong for a group holding
-a third of the table, which would be sorted by one task, so
-groups above ``hot_rows`` take another exact route: a mergeable
-sketch brackets each wanted rank, rows below the bracket are only counted, and
-just the rows inside the bracket (about 4 in 10 000) are ranked.
+Rows are first counted by (group, value), which combines before the shuffle.  A mergeable sketch cuts each group into value
+ranges; the ranges' counts give every range the number of rows below it, so running counts are taken inside
+(group, range) only and no task sorts a group.  The cuts only deal out the work: any cuts give the same result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 5_000_000
-ACCURACY = 10_000
-RANKED_LEVELS = 20  # beyond this many probabilities one percentile buffer is cheaper than that many conditional maxima
-SLACK = 2.0 / ACCURACY  # twice the sketch's guaranteed rank error
+CUTS = 256
+PER_RANGE = 2_000_000  # a group gets one range for about so many rows, CUTS of them at most
 
 
-def has_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
-    """Whether any group is too large for an in-memory percentile; one map-side combined count over the keys."""
-    return bool(df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).head(1))
+def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys that may be NULL."""
+    other = right.select(*[F.col(k).alias(f"_j{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    return left.join(other, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_j{i}")) for i, k in enumerate(keys)])).drop(*[f"_j{i}" for i in range(len(keys))])
 
 
-def plain(value, probs: Sequence[float]):
-    """Percentile array aggregate for groups known to be small enough."""
-    return F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]))
-
-
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-              names: Sequence[str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per key with a column per probability (NULL values ignored).
-
-    Group sizes are checked first with one small aggregation; give an input that is costly to recompute as a
-    staged frame.
-    """
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str] | None = None,
+              per_range: int = PER_RANGE) -> DataFrame:
+    """One row per key with a column per probability (NULL values ignored)."""
+    keys = list(keys)
     names = list(names or [f"q{i}" for i in range(len(probs))])
     d = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    # At most total_rows / hot_rows keys pass this filter, so its broadcast is bounded.
-    hot = d.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
-    any_hot = bool(hot.head(1))
-    rest = d.join(F.broadcast(hot), list(keys), "left_anti") if any_hot else d
-    cold = _ranked(rest, keys, probs, names) if len(probs) <= RANKED_LEVELS else (
-        rest.groupBy(*keys).agg(plain("_v", probs).alias("_q")).select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]))
-    if not any_hot:
-        return cold
-    # Three ranks of room on each side for the smallest group that can come here.
-    slack = max(SLACK, 3.0 / max(hot_rows, 1))
-    return cold.unionByName(_bracketed(d.join(F.broadcast(hot), list(keys)), keys, probs, names, slack))
-
-
-def _ranked(d: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """Quantiles of ordinary groups by a spillable sort; several times faster than a percentile buffer of doubles."""
-    whole = Window.partitionBy(*keys)
-    r = d.withColumn("_i", F.row_number().over(whole.orderBy("_v")) - 1).withColumn("_m", F.count("*").over(whole) - 1)
-    at = lambda rank: F.max(F.when(F.col("_i") == rank, F.col("_v")))
-    aggs = [e for k, p in enumerate(probs) for e in (at(F.floor(F.col("_m") * float(p))).alias(f"_a{k}"), at(F.ceil(F.col("_m") * float(p))).alias(f"_z{k}"))]
-    g = r.groupBy(*keys).agg(F.max("_m").alias("_m"), *aggs)
-    part = lambda p: F.col("_m") * float(p) - F.floor(F.col("_m") * float(p))
-    return g.select(*keys, *[(F.col(f"_a{k}") + (F.col(f"_z{k}") - F.col(f"_a{k}")) * part(p)).alias(n) for k, (p, n) in enumerate(zip(probs, names))])
-
-
-def _bracketed(d: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str], slack: float) -> DataFrame:
-    edges = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
-    k = len(probs)
-    sketch = d.groupBy(*keys).agg(F.percentile_approx("_v", edges, ACCURACY).alias("_e"), F.max("_n").alias("_n"))
-    d = d.drop("_n").join(F.broadcast(sketch), list(keys))
-    below = d.groupBy(*keys).agg(*[F.count_if(F.col("_v") < F.col("_e")[i]).alias(f"_b{i}") for i in range(k)])
-    inside = F.array_compact(F.array(*[
-        F.when(F.col("_v").between(F.col("_e")[i], F.col("_e")[k + i]), F.lit(i)) for i in range(k)]))
-    counted = (
-        d.withColumn("_j", F.explode(inside))
-        .groupBy(*keys, "_j", "_v").agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
-        .join(F.broadcast(below), list(keys))
-    )
-    w = Window.partitionBy(*keys, "_j").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    rank = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_j") + 1) * (F.col("_n") - 1)
-    before = F.element_at(F.array(*[F.col(f"_b{i}") for i in range(k)]), F.col("_j") + 1)
-    ranked = (
-        counted.withColumn("_hi", before + F.sum("_c").over(w))
-        .withColumn("_lo", F.col("_hi") - F.col("_c"))
-        .withColumn("_r", rank)
-    )
+    counted = d.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    sketch = d.groupBy(*keys).agg(F.percentile_approx("_v", [i / CUTS for i in range(1, CUTS)], 10_000).alias("_e"), F.count("*").alias("_n"))
+    ranges = F.least(F.lit(CUTS), F.ceil(F.col("_n") / per_range))
+    every = F.filter("_e", lambda _, i: F.floor((i + 1) * ranges / CUTS) > F.floor(i * ranges / CUTS))
+    sketch = sketch.withColumn("_e", F.array_distinct(every))
+    cut = _beside(counted, sketch, keys).withColumn("_r", F.aggregate("_e", F.lit(0), lambda s, e: s + F.when(e < F.col("_v"), 1).otherwise(0))).drop("_e")
+    lower = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(*keys, "_r").agg(F.sum("_c").alias("_s"))
+    base = sums.select(*keys, "_r", F.coalesce(F.sum("_s").over(lower), F.lit(0)).alias("_below"))
+    inside = Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = _beside(cut, base, [*keys, "_r"]).withColumn("_hi", F.col("_below") + F.sum("_c").over(inside)).withColumn("_lo", F.col("_hi") - F.col("_c"))
 
     def at(position):
         return F.max(F.when((F.col("_lo") <= position) & (position < F.col("_hi")), F.col("_v")))
 
-    picked = ranked.groupBy(*keys, "_j").agg(
-        at(F.floor("_r")).alias("_a"), at(F.ceil("_r")).alias("_z"), F.max("_r").alias("_r"))
-    exact = F.when(F.col("_a").isNull() | F.col("_z").isNull(), F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
-                   ).otherwise(F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_r") - F.floor("_r")))
-    out = picked.withColumn("_x", exact).groupBy(*keys)
-    return out.agg(*[F.max(F.when(F.col("_j") == i, F.col("_x"))).alias(n) for i, n in enumerate(names)])
+    last = F.col("_n") - 1
+    ends = [e for k, p in enumerate(probs) for e in (at(F.floor(last * float(p))).alias(f"_a{k}"), at(F.ceil(last * float(p))).alias(f"_z{k}"))]
+    g = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *ends)
+    part = lambda p: last * float(p) - F.floor(last * float(p))
+    return g.select(*keys, *[(F.col(f"_a{k}") + (F.col(f"_z{k}") - F.col(f"_a{k}")) * part(p)).alias(n) for k, (p, n) in enumerate(zip(probs, names))])

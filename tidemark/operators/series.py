@@ -9,18 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from .ordered import neighbour
-from .quantiles import HOT_ROWS, has_hot, plain, quantiles
-from .stage import bounded
+from .quantiles import PER_RANGE, quantiles
 from .timejoin import asof
 
 QUANTILES = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 
 
 def period_statistics(obs: DataFrame, start: int, end: int, exclude_suspect: bool = False,
-                      hot_rows: int = HOT_ROWS) -> DataFrame:
+                      per_range: int = PER_RANGE) -> DataFrame:
     """Per metric over ``[start, end)`` with the preceding equal-length period's median beside it.
 
-    One scan covers both periods; every aggregate except the quantiles combines map-side.
+    Every aggregate combines map-side; the quantiles are taken over counted values.
     """
     previous = start - (end - start)
     v = C.valid_value("value", "flags", exclude_suspect)
@@ -30,21 +29,16 @@ def period_statistics(obs: DataFrame, start: int, end: int, exclude_suspect: boo
     now = F.col("current")
     v, seen = F.when(now, F.col("v")), now & F.col("v").isNotNull()
     at_first = F.when(seen, F.struct("t", "source_row"))
-    hot = has_hot(base, ["metric_id"], hot_rows)
-    one_pass = [] if hot else [plain(v, list(QUANTILES.values())).alias("_q"), F.percentile(F.when(~now, F.col("v")), F.lit(0.5)).alias("previous_median")]
     out = base.groupBy("metric_id").agg(
         F.count_if(now).alias("_rows"), F.count(v).alias("count"), F.count_if(now & F.col("bad")).alias("invalid_count"), F.count_if(now & F.col("odd")).alias("suspect_count"),
         F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"), (F.max(v) - F.min(v)).alias("range"),
         F.min(F.when(seen, F.struct("v", "t"))).getField("t").alias("min_t"),
         F.max(F.when(seen, F.struct("v", (-F.col("t")).alias("n")))).getField("n").alias("max_n"),
         F.min_by("v", at_first).alias("first"), F.max_by("v", at_first).alias("last"),
-        F.min(F.when(seen, F.col("t"))).alias("first_t"), F.max(F.when(seen, F.col("t"))).alias("last_t"), *one_pass).filter("_rows > 0")
-    if hot:
-        q = quantiles(base, ["metric_id", "current"], "v", list(QUANTILES.values()), list(QUANTILES), hot_rows)
-        q = q.groupBy("metric_id").agg(*[F.max(F.when(now, F.col(n))).alias(n) for n in QUANTILES], F.max(F.when(~now, F.col("median"))).alias("previous_median"))
-        out = out.join(q, "metric_id", "left")
-    else:
-        out = out.select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(QUANTILES)])
+        F.min(F.when(seen, F.col("t"))).alias("first_t"), F.max(F.when(seen, F.col("t"))).alias("last_t")).filter("_rows > 0")
+    q = quantiles(base, ["metric_id", "current"], "v", list(QUANTILES.values()), list(QUANTILES), per_range)
+    q = q.groupBy("metric_id").agg(*[F.max(F.when(now, F.col(n))).alias(n) for n in QUANTILES], F.max(F.when(~now, F.col("median"))).alias("previous_median"))
+    out = out.join(q, "metric_id", "left")
     return out.select(
         "metric_id", "count", "invalid_count", "suspect_count", "mean", "min", "max", "std", "range",
         C.from_micros("min_t").alias("min_at"), C.from_micros(-F.col("max_n")).alias("max_at"),
@@ -106,7 +100,7 @@ def histogram(obs: DataFrame, bins: int = 20, exclude_suspect: bool = False) ->
     """Equal-width bins between the metric's minimum and maximum; last bin closed, empty bins kept."""
     v = obs.filter(C.is_valid("value", "flags", exclude_suspect)).select("metric_id", "value")
     span = v.groupBy("metric_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    span = bounded(span.withColumn("w", F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(F.lit(1.0))))
+    span = span.withColumn("w", F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(F.lit(1.0)))
     b = F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("lo")) / F.col("w")).cast("int"))
     n = v.join(span, "metric_id").groupBy("metric_id", b.alias("bin")).agg(F.count("*").alias("n"))
     grid = span.withColumn("bin", F.explode(F.when(F.col("hi") > F.col("lo"), F.sequence(F.lit(0), F.lit(bins - 1))).otherwise(F.array(F.lit(0)))))
@@ -116,7 +110,7 @@ def histogram(obs: DataFrame, bins: int = 20, exclude_suspect: bool = False) ->
 
 
 def downsample(obs: DataFrame, start: int, end: int, limit: int = 600, exclude_suspect: bool = False,
-               hot_rows: int = HOT_ROWS) -> DataFrame:
+               per_range: int = PER_RANGE) -> DataFrame:
     """At most ``limit`` peak-preserving points per metric; raw rows where the metric has few enough.
 
     Minimum and maximum come from every row of a bucket, so a single peak survives.
@@ -125,19 +119,16 @@ def downsample(obs: DataFrame, start: int, end: int, limit: int = 600, exclude_s
     rows = obs.filter((F.col("t") >= start) & (F.col("t") < end)).select(
         "metric_id", "t", "source_row", "flags", C.valid_value("value", "flags", exclude_suspect).alias("v"))
     size = rows.groupBy("metric_id").agg(F.count("*").alias("_n"))
-    rows = rows.join(bounded(size), "metric_id")
+    rows = rows.join(size, "metric_id")
     few = rows.filter(F.col("_n") <= limit).select(
         "metric_id", "t", F.col("v").alias("value"), F.col("v").alias("min"), F.col("v").alias("max"), "flags", F.lit(1).cast("long").alias("count"),
         F.lit(False).alias("aggregated"))
     many = rows.filter(F.col("_n") > limit).withColumn("bucket", F.floor((F.col("t") - start) / C.SECOND / F.lit(width)))
     key = ["metric_id", "bucket"]
-    hot = has_hot(many, key, hot_rows)
     flags = F.flatten(F.transform(F.collect_set("flags"), lambda x: F.split(x, r"\|")))
     flags = F.array_join(F.array_sort(F.array_distinct(F.filter(flags, lambda x: x != ""))), "|")
-    middle = [] if hot else [F.percentile("v", F.lit(0.5)).alias("value")]
-    out = many.groupBy(*key).agg(F.min("t").alias("t"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("v").alias("count"), flags.alias("flags"), *middle)
-    if hot:
-        out = out.join(quantiles(many, key, "v", [0.5], ["value"], hot_rows), key, "left")
+    out = many.groupBy(*key).agg(F.min("t").alias("t"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("v").alias("count"), flags.alias("flags"))
+    out = out.join(quantiles(many, key, "v", [0.5], ["value"], per_range), key, "left")
     return few.unionByName(out.select("metric_id", "t", "value", "min", "max", "flags", "count", F.lit(True).alias("aggregated")))
 
 
@@ -157,9 +148,10 @@ def gap_markers(points: DataFrame, start: int, end: int, limit: int = 600, conti
     return d.drop("_p").unionByName(marks)
 
 
-def snapshot(obs: DataFrame, at: int, freshness: DataFrame, lab_delay: int = C.LAB_DELAY_MINUTES * C.MINUTE) -> DataFrame:
-    """Newest reading per metric known at ``at``: value, age, change, freshness; labs only once published.
+def snapshot(obs: DataFrame, at: int, freshness: DataFrame, lab_delay: int = C.LAB_DELAY_MINUTES * C.MINUTE, catalog: DataFrame | None = None) -> DataFrame:
+    """Newest reading per metric known at ``at``: value, age, change, freshness and reason; labs only once published.
 
+    With a ``catalog`` (metric_id, source) every metric of it has a row: ``missing`` where nothing was known yet.
     The two newest rows are found with a rank limit that Spark applies before the shuffle.
     """
     cut = F.when(F.col("source") == "lims", F.lit(at - lab_delay)).otherwise(F.lit(at))
@@ -171,18 +163,24 @@ def snapshot(obs: DataFrame, at: int, freshness: DataFrame, lab_delay: int = C.L
         one(1, F.col("source")).alias("source"), one(1, F.col("t")).alias("t"), one(1, ok).alias("value"),
         one(1, F.col("flags")).alias("flags"), one(2, ok).alias("prior"))
     age = (F.lit(at) - F.col("t")) / C.MINUTE
+    if catalog is not None:
+        known = catalog.select("metric_id", F.col("source").alias("_source"))
+        g = known.join(g, "metric_id", "full_outer").withColumn("source", F.coalesce("source", "_source")).drop("_source")
+    state = F.when(F.col("t").isNull(), "missing").when(age <= F.coalesce("fresh_minutes", F.lit(10)), "fresh").otherwise("stale")
+    reason = F.when(F.col("t").isNull(), "no_reading").when(F.col("value").isNull(), "not_usable").when(state == "stale", "older_than_limit").otherwise("")
     return g.join(F.broadcast(freshness), "source", "left").select(
-        "metric_id", "source", "value", C.from_micros("t").alias("timestamp"), age.alias("age_minutes"), "flags",
-        F.when(age <= F.coalesce("fresh_minutes", F.lit(10)), "fresh").otherwise("stale").alias("freshness"),
+        "metric_id", "source", "value", C.from_micros("t").alias("timestamp"), age.alias("age_minutes"), F.coalesce("flags", F.lit("")).alias("flags"),
+        state.alias("freshness"), reason.alias("reason"),
         (F.col("value") - F.col("prior")).alias("delta"),
         C.from_micros(F.when(F.col("source") == "lims", F.col("t") + lab_delay).otherwise(F.col("t"))).alias("available_at"))
 
 
 def snapshot_alerts(snap: DataFrame, watched: Sequence[str], limit: float) -> DataFrame:
-    """Danger above the limit, warnings for staleness and for any quality flag."""
+    """Danger above the limit, warnings for a missing or stale reading and for any quality flag."""
     rules = F.array_compact(F.array(
         F.when(F.col("value") > limit, F.struct(F.lit("danger").alias("severity"), F.lit("above_limit").alias("code"))),
-        F.when(F.col("freshness") != "fresh", F.struct(F.lit("warning").alias("severity"), F.lit("not_fresh").alias("code"))),
+        F.when(F.col("freshness") == "missing", F.struct(F.lit("warning").alias("severity"), F.lit("missing").alias("code"))),
+        F.when(F.col("freshness") == "stale", F.struct(F.lit("warning").alias("severity"), F.lit("not_fresh").alias("code"))),
         F.when(F.col("flags") != "", F.struct(F.lit("warning").alias("severity"), F.lit("flagged").alias("code")))))
     return snap.filter(F.col("metric_id").isin(*watched)).select("metric_id", F.inline(rules))
 

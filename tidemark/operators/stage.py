@@ -1,37 +1,34 @@
-"""Materialise a frame that several passes read, and broadcast a side only after its size was checked."""
+"""Materialise a frame that several passes read."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, named by the session; a temporary one only in a local session without it."""
+    """The folder that all executors share, named by the session; in a local session its own warehouse folder stands in."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
     return folder
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written to the reliable checkpoint folder, so that several passes read it and lost tasks rerun from it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(True)
-
+def run_folder(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder; the file system removes it when the application ends."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
 
-def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """A broadcast side when ``df`` has at most ``rows`` rows, else ``df`` itself for an ordinary join.
 
-    At most ``rows + 1`` rows are read back, and a small table is then evaluated only once.
-    """
-    head = df.limit(rows + 1).collect()
-    if len(head) > rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: several passes read only their columns, lost tasks rerun from it."""
+    path = f"{run_folder(df.sparkSession, 'stage')}/data"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

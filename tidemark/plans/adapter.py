@@ -18,6 +18,8 @@ LIMIT = 100.0
 # 2024-01-01 .. 2024-01-31 in the data; current period = second half.
 START, MIDDLE, END = "2024-01-01 00:00:00", "2024-01-16 00:00:00", "2024-01-31 00:00:00"
 AT = "2024-01-20 12:00:00"
+AFTER_AT = "2024-01-20 12:01:00"  # observation times are whole minutes
+BEFORE_MIDDLE = "2024-01-15 23:00:00"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -32,9 +34,17 @@ def at(text: str):
     return micros(ntz(text))
 
 
-def obs(spark: SparkSession, sf: str) -> DataFrame:
-    """Observation rows with the long microsecond clock ``t`` beside ``timestamp``."""
-    return from_events(table(spark, sf, "events"))
+def obs(spark: SparkSession, sf: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Observation rows with the long microsecond clock ``t`` beside ``timestamp``.
+
+    ``[start, end)``, in whole minutes, bounds the stored time column itself, so it reaches the files.
+    """
+    e = table(spark, sf, "events")
+    if start:
+        e = e.filter(F.col("ts") >= ntz(start))
+    if end:
+        e = e.filter(F.col("ts") < ntz(end))
+    return from_events(e)
 
 
 def from_events(events: DataFrame) -> DataFrame:

@@ -21,14 +21,14 @@ PROB = "1 - (0.05 + " + " + ".join(f"0.05 * greatest(0, least(1, (g - q{i}) / (q
 MOM = f"""WITH mo AS (SELECT event_id AS moment, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value / 6 END AS lab, value / 6 AS base0, 330.0 + user_id % 50 AS T, 150.0 + event_id % 100 AS F, 4 + (user_id % 7) / 10.0 AS P, event_id % 4 AS q, user_id % 10 AS u FROM events WHERE event_type = 'purchase'),
   ref AS (SELECT avg(T) AS mt, stddev_pop(T) AS st, avg(F) AS mf, stddev_pop(F) AS sf, avg(P) AS mp, stddev_pop(P) AS sp FROM mo),
   qf AS (SELECT {QF} FROM (SELECT (ln(l_quantity * (1 + l_discount) + l_tax * 10) - ln(l_extendedprice / 1000)) / 4 AS r FROM lineitem WHERE NOT (l_linenumber = 7 AND l_returnflag = 'N') AND l_extendedprice > 0 AND l_quantity > 0)),
-  m AS (SELECT mo.*, least(base0, 40) AS base, ref.*, qf.* FROM mo, ref, qf)
+  m AS (SELECT mo.*, base0 AS base, ref.*, qf.* FROM mo, ref, qf)
 """
 
 
 def moments(spark, sf):
     e = table(spark, sf, "events").filter("event_type = 'purchase'")
     i, u = F.col("event_id"), F.col("user_id")
-    m = e.select(i.alias("moment"), F.least(F.col("value") / 6, F.lit(40.0)).alias("base"), (330.0 + u % 50).alias("T"), (150.0 + i % 100).alias("F"), (4 + (u % 7) / 10.0).alias("P"),
+    m = e.select(i.alias("moment"), (F.col("value") / 6).alias("base"), (330.0 + u % 50).alias("T"), (150.0 + i % 100).alias("F"), (4 + (u % 7) / 10.0).alias("P"),
                  (i % 4).alias("q"), (u % 10).alias("u"))
     ref = m.agg(*[x for k in "TFP" for x in (F.avg(k).alias(f"mean_{k}"), F.stddev_pop(k).alias(f"std_{k}"))])
     return m.join(F.broadcast(ref))  # one row: reference means and deviations
@@ -49,12 +49,12 @@ def move_sql(src, dt="dT", df="dF", dp="dP"):
 LOSS = "0.5 * (1 - throughput) / 0.10 + (energy - 1) + 0.25 * severity + 0.05 * effort + 0.25 * probability / 0.2"
 GRID_SQL = MOM + f""", gr AS (SELECT row_number() OVER (ORDER BY dT, dF, dP) - 1 AS i, dT, dF, dP FROM (SELECT a.range::DOUBLE AS dT, b.range::DOUBLE AS dF, c.p AS dP FROM range(-6, 7) a, range(-10, 11) b, (VALUES (-0.2::DOUBLE), (-0.1), (0.0), (0.1), (0.2)) c(p)) WHERE NOT (dT = 0 AND dF = 0 AND dP = 0)),
   mg AS (SELECT m.*, gr.* FROM m, gr), sc AS ({move_sql('mg')}), l AS (SELECT *, {LOSS} AS loss, dT >= 0 AND dF <= 0 AND dP >= 0 AS fix FROM sc),
-  ok AS (SELECT *, round((loss + 10) * 1e9)::BIGINT AS lk FROM l WHERE probability <= 0.2 + 1e-9 AND product <= 10 AND severity <= 1 AND (fix OR probability <= 0.1 + 1e-9)),
+  ok AS (SELECT *, CAST(floor((loss + 500) * 1e12 + 0.5) AS BIGINT) AS lk FROM l WHERE probability <= 0.2 + 1e-9 AND product <= 10 AND severity <= 1 AND (fix OR probability <= 0.1 + 1e-9)),
   rk AS (SELECT *, row_number() OVER (PARTITION BY moment, fix ORDER BY lk, effort, i) AS rn FROM ok), ad AS (SELECT moment, count(*) AS admissible FROM ok GROUP BY 1)
 """
 
 
-@query("grid_search", "K6 K17", GRID_SQL + """SELECT m.moment, coalesce(admissible, 0) AS admissible, c.dT AS "corrective_dT", c.dF AS "corrective_dF", c.dP AS "corrective_dP", round(c.lk / 1e9 - 10, 9) AS corrective_loss, e.dT AS "economic_dT", e.dF AS "economic_dF", e.dP AS "economic_dP", round(e.lk / 1e9 - 10, 9) AS economic_loss
+@query("grid_search", "K6 K17", GRID_SQL + """SELECT m.moment, coalesce(admissible, 0) AS admissible, c.dT AS "corrective_dT", c.dF AS "corrective_dF", c.dP AS "corrective_dP", round(c.loss, 9) AS corrective_loss, e.dT AS "economic_dT", e.dF AS "economic_dF", e.dP AS "economic_dP", round(e.loss, 9) AS economic_loss
    FROM mo m LEFT JOIN ad USING (moment) LEFT JOIN rk c ON c.moment = m.moment AND c.fix AND c.rn = 1 LEFT JOIN rk e ON e.moment = m.moment AND NOT e.fix AND e.rn = 1""")
 def _(spark, sf):
     return round_all(K.grid_optima(moments(spark, sf), policy(spark, sf)), 9)

@@ -168,13 +168,13 @@ def _(spark, sf):
 
 @query("block_bootstrap_interval", "A21", REG + """, f AS (SELECT model, epoch_us(l_shipdate) AS t, abs(p - y) - abs(y - 25) AS d FROM r WHERE p IS NOT NULL), b0 AS (SELECT model, CAST(floor(t / (28 * 86400000000.0)) AS BIGINT) AS k, sum(d) AS s, count(*) AS c FROM f GROUP BY 1, 2),
    b AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY k) - 1 AS i FROM b0), n AS (SELECT model, count(*) AS blocks, sum(s) / sum(c) AS mean_delta FROM b GROUP BY 1),
-   dr AS (SELECT model, blocks, d.range AS draw, unnest(range(1, blocks + 1)) AS slot FROM n, range(1, 201) d),
-   ix AS (SELECT model, draw, ((draw * 1103515245 + slot * 1013904223 + draw * slot * 69621) % 2147483647) % blocks AS i FROM dr),
+   dr AS (SELECT model, blocks, d.range AS draw, unnest(range(1, blocks + 1)) AS slot FROM n, range(1, 2001) d),
+   ix AS (SELECT model, draw, ('0x' || substr(md5(concat_ws('|', model, draw, slot)), 1, 15))::BIGINT % blocks AS i FROM dr),
    x AS (SELECT model, draw, sum(s) / sum(c) AS x FROM ix JOIN b USING (model, i) GROUP BY 1, 2)
    SELECT model, any_value(blocks) AS blocks, round(any_value(mean_delta), 6) AS mean_delta, round(quantile_cont(x, 0.025), 6) AS ci_low, round(quantile_cont(x, 0.975), 6) AS ci_high FROM x JOIN n USING (model) GROUP BY 1""")
 def _(spark, sf):
     d = reg(spark, sf).filter("p IS NOT NULL").select("model", C.micros("l_shipdate").alias("t"), (F.abs(F.col("p") - F.col("y")) - F.abs(F.col("y") - 25)).alias("d"))
-    return round_all(E.block_bootstrap(d, ["model"], "t", "d", 28, 200))
+    return round_all(E.block_bootstrap(d, ["model"], "t", "d", 28, 2000))
 
 
 # Candidate predictions keyed (origin, horizon), three candidates per order.

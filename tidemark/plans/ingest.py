@@ -182,7 +182,7 @@ def _(spark, sf):
 @query("export_rows", "S8 T1 S12", OBS + f"""SELECT metric_id, {ts_text('timestamp')} AS timestamp, value, source, flags, source_row FROM obs WHERE metric_id IN ('{LAB}', '{ANALYSER}')
    AND timestamp >= TIMESTAMP '{MIDDLE}' AND timestamp < TIMESTAMP '{END}'""")
 def _(spark, sf):
-    return W.export_rows(obs(spark, sf).drop("unit", "source_file"), [LAB, ANALYSER], us(MIDDLE), us(END)).drop("t")
+    return W.export_rows(obs(spark, sf, MIDDLE, END).drop("unit", "source_file"), [LAB, ANALYSER], us(MIDDLE), us(END)).drop("t")
 
 
 @query("formula_text_guard", "S8", """SELECT CASE WHEN regexp_matches(x, '^[=+@-]') THEN '''' || x ELSE x END AS text, count(*) AS n FROM (SELECT substr('=+-@ab', 1 + CAST(p_partkey % 6 AS INTEGER), 1) || p_type AS x FROM part) GROUP BY 1""")
@@ -263,17 +263,17 @@ def _(spark, sf):
     return m.groupBy("source", F.split_part("metric_id", F.lit("."), F.lit(1)).alias("plant")).agg(F.count("*").alias("metrics"))
 
 
-@query("catalog_complete_statistics", "J9 U4", CATALOG + """SELECT c.metric_id, count(l.l_partkey) AS count, round(avg(l_quantity), 6) AS mean FROM cat c LEFT JOIN lineitem l ON c.metric_id = 'm.' || l.l_partkey AND l_returnflag = 'R' AND l_quantity > 40 GROUP BY 1""")
+@query("catalog_complete_statistics", "J9 U4", CATALOG + """SELECT c.metric_id, count(l.l_partkey) AS count, round(avg(l_quantity), 6) AS mean FROM cat c LEFT JOIN lineitem l ON c.metric_id = 'm.' || l.l_partkey GROUP BY 1""")
 def _(spark, sf):
-    l = table(spark, sf, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 40").groupBy("l_partkey").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("mean"))
+    l = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("mean"))
     l = l.withColumn("metric_id", F.concat(F.lit("m."), F.col("l_partkey").cast("string")))
     return catalog_rows(spark, sf).join(l, "metric_id", "left").select("metric_id", F.coalesce("n", F.lit(0)).alias("count"), rounded(F.col("mean")).alias("mean"))
 
 
-@query("metrics_without_data", "U4", """SELECT 'm.' || p_partkey AS metric_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40)""")
+@query("metrics_without_data", "U4", """SELECT 'c.' || c_custkey AS metric_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 def _(spark, sf):
-    have = table(spark, sf, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 40").select(F.concat(F.lit("m."), F.col("l_partkey").cast("string")).alias("metric_id"))
-    return catalog_rows(spark, sf).select("metric_id").join(have, "metric_id", "left_anti")
+    name = lambda key: F.concat(F.lit("c."), F.col(key).cast("string")).alias("metric_id")
+    return table(spark, sf, "customer").select(name("c_custkey")).join(table(spark, sf, "orders").select(name("o_custkey")), "metric_id", "left_anti")
 
 
 @query("formula_versions", "P6", """WITH r AS (SELECT p_partkey AS formula_id, p_type AS expression, CASE WHEN p_partkey % 4 = 0 THEN 'expert-1' ELSE 'v1' END AS version, 'verified' AS status FROM part),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -41,14 +43,30 @@ def _(spark, sf):
     return round_all(d)
 
 
-@query("formula_registry_values", "P4", WIDE + """, k AS (SELECT t, T1, F1, F2 FROM w WHERE T1 IS NOT NULL AND F1 IS NOT NULL AND F2 IS NOT NULL)
-   SELECT '24-2000:GODT:T50' AS formula, count(*) AS n, round(sum(44.625 + 10.0224 * F2 + 0.06981 * F1 + 0.471 * T1), 4) AS total FROM k HAVING count(*) > 0 UNION ALL
-   SELECT 'AVT6:350:CFPP', count(*) FILTER (WHERE F2 <> 0), round(sum(19.27111 - 0.10582 * T1 + 0.13836 * F1 - 0.42304 * F1 / nullif(F2, 0)), 4) FROM k HAVING count(*) > 0""")
+def registry_cells():
+    """Every registry formula with its tags dealt to the three columns at hand: (id, text over T1, F1 and F2, mapping)."""
+    for k, text in FM.FORMULAS.items():
+        yield k, text, {t: ("T1", "F1", "F2")[i % 3] for i, t in enumerate(FM.tags(text))}
+
+
+def registry_sql():
+    parts = []
+    for k, text, inputs in registry_cells():
+        plain = re.sub(r"LIMS\.[A-Za-z0-9%.]+", lambda m: FM.tags(m[0])[0], text)
+        body = re.sub(FM.TAG, lambda m: inputs[m[0]], re.sub(r"(?<![A-Za-z\d.])(\d+(?:\.\d+)?)(?![\d.])", r"\1::DOUBLE", plain))
+        body = re.sub(r"/(\([^()]*\)|[A-Z]\d)", r"/ nullif(\1, 0)", body)
+        parts.append(f"SELECT '{k}' AS formula, count({body}) AS n, count(*) FILTER (WHERE " + " OR ".join(f"{c} IS NULL" for c in sorted(set(inputs.values()))) + f") AS missing, round(sum({body}), 3) AS total FROM w HAVING count(*) > 0")
+    return " UNION ALL ".join(parts)
+
+
+@query("formula_registry_values", "P4", WIDE + " " + registry_sql())
 def _(spark, sf):
-    w = tag_rows(spark, sf).filter("T1 IS NOT NULL AND F1 IS NOT NULL AND F2 IS NOT NULL")
-    maps = {"24-2000:GODT:T50": {"P13": "F2", "F9": "F1", "T6": "T1"}, "AVT6:350:CFPP": {"T48": "T1", "T40": "F1", "F31": "F1", "F57": "F2"}}
-    cells = F.array(*[F.struct(F.lit(k).alias("formula"), FM.evaluate(FM.FORMULAS[k], m)[0].alias("v")) for k, m in maps.items()])
-    return w.select(F.inline(cells)).groupBy("formula").agg(F.count("v").alias("n"), rounded(F.sum("v"), 4).alias("total"))
+    cells = []
+    for k, text, inputs in registry_cells():
+        v, s = FM.evaluate(text, inputs)
+        cells.append(F.struct(F.lit(k).alias("formula"), v.alias("v"), s.alias("s")))
+    return tag_rows(spark, sf).select(F.inline(F.array(*cells))).groupBy("formula").agg(
+        F.count("v").alias("n"), F.count_if(F.col("s") == "missing_input").alias("missing"), rounded(F.sum("v"), 3).alias("total"))
 
 
 @query("formula_status", "P5", GRID + f""", v AS (SELECT origin, 'f' || k AS formula, k = 3 AS unresolved, {asof_sql('ev.click', 'o.origin', 24 * H)} AS a, {asof_sql('ev.error', 'o.origin', 24 * H)} AS b, {asof_sql('ev.click', 'o.origin', 24 * H, 't')} AS ta, {asof_sql('ev.error', 'o.origin', 24 * H, 't')} AS tb FROM o, (VALUES (1), (2), (3)) x(k))

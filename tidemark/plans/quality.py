@@ -12,7 +12,7 @@ from .adapter import ANALYSER, LAB, OBS, SECOND_ANALYSER, SUSPECT, VALID, obs, t
 from .features import CONTROL_MAP, DYN, ORIGINS, asof_sql, clean, lab_origins
 from .registry import query, rounded
 from .series import SNAP, freshness, round_all, us
-from .adapter import AT
+from .adapter import AFTER_AT, AT
 
 M, H = C.MINUTE, C.HOUR
 
@@ -49,7 +49,7 @@ def _(spark, sf):
    SELECT code, level, priority FROM (SELECT 'exceeded' AS code, 'danger' AS level, 0 AS priority FROM ag WHERE x > 0 UNION ALL SELECT 'unreliable', 'warning', 1 FROM ag WHERE p > r
     UNION ALL SELECT 'missing', 'unknown', 2 FROM ag WHERE p = 0 UNION ALL SELECT 'signal:' || metric_id, 'warning', 1 FROM k)""")
 def _(spark, sf):
-    snap = S.snapshot(obs(spark, sf), us(AT), freshness(spark))
+    snap = S.snapshot(obs(spark, sf, None, AFTER_AT), us(AT), freshness(spark))
     watched = F.col("metric_id").isin(LAB, ANALYSER)
     present = watched & F.col("value").isNotNull()
     reliable = present & (F.col("freshness") == "fresh") & (F.col("flags") == "")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import series as S
-from .adapter import AT, CONTROLS, END, LAB, LIMIT, ANALYSER, MIDDLE, OBS, START, SUSPECT, VALID, obs, ts_text
+from .adapter import AFTER_AT, AT, BEFORE_MIDDLE, END, LAB, LIMIT, ANALYSER, MIDDLE, OBS, START, SUSPECT, VALID, obs, ts_text
 from .registry import query, rounded
 
 
@@ -55,18 +55,18 @@ WHERE s.cur"""
 
 @query("period_summary", "A1 A2 J4 W9 P3 Q11", summary_sql(False))
 def _(spark, sf):
-    return round_all(S.period_statistics(obs(spark, sf), us(MIDDLE), us(END)))
+    return round_all(S.period_statistics(obs(spark, sf, START, END), us(MIDDLE), us(END)))
 
 
 @query("period_summary_without_suspects", "A1 Q11", summary_sql(True))
 def _(spark, sf):
-    return round_all(S.period_statistics(obs(spark, sf), us(MIDDLE), us(END), True))
+    return round_all(S.period_statistics(obs(spark, sf, START, END), us(MIDDLE), us(END), True))
 
 
 @query("period_summary_hot_groups", "A2", summary_sql(False))
 def _(spark, sf):
-    # Every group is sent down the bracketed quantile path.
-    return round_all(S.period_statistics(obs(spark, sf), us(MIDDLE), us(END), hot_rows=10))
+    # Every group is cut into as many ranges as possible.
+    return round_all(S.period_statistics(obs(spark, sf, START, END), us(MIDDLE), us(END), per_range=10))
 
 
 @query("exceedance_share", "A3", OBS + f"""SELECT metric_id, count(*) AS count, count(*) FILTER (WHERE value > {LIMIT}) AS exceed_count,
@@ -88,7 +88,7 @@ u AS (SELECT metric_id, coalesce(sum(m) FILTER (WHERE {VALID} AND NOT {SUSPECT})
 @query("exceedance_minutes", "A4 W10", DURATION + """SELECT metric_id, round(o, 6) AS observed_minutes, round(e, 6) AS exceed_minutes,
   round(s, 6) AS suspect_minutes, round(o / (15 * 1440), 6) AS coverage FROM u""")
 def _(spark, sf):
-    return round_all(S.durations(obs(spark, sf), us(MIDDLE), us(END), LIMIT))
+    return round_all(S.durations(obs(spark, sf, BEFORE_MIDDLE, END), us(MIDDLE), us(END), LIMIT))
 
 
 @query("time_composition", "A5", DURATION + """, p AS (SELECT metric_id, least(greatest(e, 0), 21600.0) AS a, o, s FROM u),
@@ -98,7 +98,7 @@ def _(spark, sf):
     SELECT metric_id, 'below' AS part, b AS minutes FROM p3 UNION ALL SELECT metric_id, 'above', a FROM p3
     UNION ALL SELECT metric_id, 'suspect', q FROM p3 UNION ALL SELECT metric_id, 'missing', greatest(0, 21600.0 - a - b - q) FROM p3)""")
 def _(spark, sf):
-    d = S.durations(obs(spark, sf), us(MIDDLE), us(END), LIMIT)
+    d = S.durations(obs(spark, sf, BEFORE_MIDDLE, END), us(MIDDLE), us(END), LIMIT)
     return round_all(S.composition(d, 21600.0))
 
 
@@ -143,7 +143,7 @@ DOWN = OBS + f""", r AS (SELECT *, CASE WHEN {VALID} THEN value END AS v, count(
 @query("downsampled_series", "A9", DOWN + f"""SELECT metric_id, {ts_text('timestamp')} AS timestamp, round(value, 6) AS value, round(min, 6) AS min,
   round(max, 6) AS max, flags, count, aggregated FROM p""")
 def _(spark, sf):
-    d = S.downsample(obs(spark, sf), us(MIDDLE), us(END), POINTS)
+    d = S.downsample(obs(spark, sf, MIDDLE, END), us(MIDDLE), us(END), POINTS)
     return round_all(d.withColumn("timestamp", C.from_micros("t")).drop("t"))
 
 
@@ -153,7 +153,7 @@ def _(spark, sf):
    WHERE epoch_us(timestamp) - epoch_us(pv) > {max(1200.0, 2 * WIDTH)} * 1000000)
   SELECT metric_id, {ts_text('timestamp')} AS timestamp, round(value, 6) AS value, round(min, 6) AS min, round(max, 6) AS max, flags, count, aggregated FROM z""")
 def _(spark, sf):
-    d = S.gap_markers(S.downsample(obs(spark, sf), us(MIDDLE), us(END), POINTS), us(MIDDLE), us(END), POINTS)
+    d = S.gap_markers(S.downsample(obs(spark, sf, MIDDLE, END), us(MIDDLE), us(END), POINTS), us(MIDDLE), us(END), POINTS)
     return round_all(d.withColumn("timestamp", C.from_micros("t")).drop("t"))
 
 
@@ -163,24 +163,34 @@ SNAP = OBS + f""", two AS (SELECT *, row_number() OVER (PARTITION BY metric_id O
   snap AS (SELECT a.metric_id, a.source, CASE WHEN contains(a.flags, 'invalid') OR contains(a.flags, 'conflict') THEN NULL ELSE a.value END AS value,
     a.timestamp, (epoch_us(TIMESTAMP '{AT}') - epoch_us(a.timestamp)) / 60000000.0 AS age_minutes, a.flags,
     CASE WHEN (epoch_us(TIMESTAMP '{AT}') - epoch_us(a.timestamp)) / 60000000.0 <= CASE a.source WHEN 'kip' THEN 10 WHEN 'pak' THEN 30 ELSE 2880 END THEN 'fresh' ELSE 'stale' END AS freshness,
-    CASE WHEN contains(a.flags, 'invalid') OR contains(b.flags, 'invalid') THEN NULL ELSE a.value - b.value END AS delta,
+    CASE WHEN contains(a.flags, 'invalid') OR contains(b.flags, 'invalid') OR contains(a.flags, 'conflict') OR contains(b.flags, 'conflict') THEN NULL ELSE a.value - b.value END AS delta,
     CASE WHEN a.source = 'lims' THEN a.timestamp + INTERVAL 240 MINUTE ELSE a.timestamp END AS available_at
     FROM a LEFT JOIN b USING (metric_id))
 """
+# A catalog entry that never reports: it must show up as missing.
+CATALOG = {"ev.click": "kip", "ev.error": "kip", "ev.signup": "kip", "ev.view": "pak", "ev.purchase": "lims", "ev.refund": "lims"}
+CATALOG_SNAP = SNAP + ", cat(metric_id, source) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in CATALOG.items()) + """), full_snap AS (
+  SELECT cat.metric_id, cat.source, value, timestamp, age_minutes, coalesce(flags, '') AS flags, coalesce(freshness, 'missing') AS freshness, delta, available_at,
+    CASE WHEN timestamp IS NULL THEN 'no_reading' WHEN value IS NULL THEN 'not_usable' WHEN freshness = 'stale' THEN 'older_than_limit' ELSE '' END AS reason FROM cat LEFT JOIN snap USING (metric_id))
+"""
+
+
+def snap_at(spark, sf):
+    known = spark.createDataFrame(list(CATALOG.items()), "metric_id string, source string")
+    return S.snapshot(obs(spark, sf, None, AFTER_AT), us(AT), freshness(spark), catalog=known)
 
 
-@query("snapshot_at_moment", "W1 S13", SNAP + f"""SELECT metric_id, source, round(value, 6) AS value, {ts_text('timestamp')} AS timestamp,
-  round(age_minutes, 6) AS age_minutes, flags, freshness, round(delta, 6) AS delta, {ts_text('available_at')} AS available_at FROM snap""")
+@query("snapshot_at_moment", "W1 S13", CATALOG_SNAP + f"""SELECT metric_id, source, round(value, 6) AS value, {ts_text('timestamp')} AS timestamp,
+  round(age_minutes, 6) AS age_minutes, flags, freshness, round(delta, 6) AS delta, {ts_text('available_at')} AS available_at, reason FROM full_snap""")
 def _(spark, sf):
-    return round_all(S.snapshot(obs(spark, sf), us(AT), freshness(spark)))
+    return round_all(snap_at(spark, sf))
 
 
-@query("snapshot_alerts", "Q18", SNAP + f"""SELECT metric_id, 'danger' AS severity, 'above_limit' AS code FROM snap WHERE value > 30
-  UNION ALL SELECT metric_id, 'warning', 'not_fresh' FROM snap WHERE freshness <> 'fresh'
-  UNION ALL SELECT metric_id, 'warning', 'flagged' FROM snap WHERE flags <> ''""")
+@query("snapshot_alerts", "Q18", CATALOG_SNAP + """SELECT metric_id, 'danger' AS severity, 'above_limit' AS code FROM full_snap WHERE value > 30
+  UNION ALL SELECT metric_id, 'warning', CASE freshness WHEN 'stale' THEN 'not_fresh' ELSE 'missing' END FROM full_snap WHERE freshness <> 'fresh'
+  UNION ALL SELECT metric_id, 'warning', 'flagged' FROM full_snap WHERE flags <> ''""")
 def _(spark, sf):
-    snap = S.snapshot(obs(spark, sf), us(AT), freshness(spark))
-    return S.snapshot_alerts(snap, [LAB, ANALYSER, *CONTROLS], 30.0)
+    return S.snapshot_alerts(snap_at(spark, sf), list(CATALOG), 30.0)
 
 
 VIRTUAL = OBS + f""", va AS (SELECT metric_id, timestamp, value, flags, source_row FROM obs

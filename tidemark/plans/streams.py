@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators.stage import shared_folder
+from ..operators.stage import run_folder
 from ..sources import sinks as W
 from ..streaming import jobs as J
 from .adapter import ANALYSER, LAB, LIMIT, OBS, from_events, obs, table, ts_text
@@ -26,24 +24,20 @@ def drained(df, mode="append", writer=None):
     return df.sparkSession.read.parquet(J.drain(df, mode, writer))
 
 
-CLOSED = OBS + ", mx AS (SELECT max(timestamp) AS m FROM obs)"
-
-
-@query("stream_tumbling", "R2", CLOSED + f""", w AS (SELECT metric_id, time_bucket(INTERVAL 1 HOUR, timestamp) AS start, * EXCLUDE (metric_id) FROM obs) SELECT metric_id, {ts_text('start')} AS start, min(value) AS min, max(value) AS max, round(avg(value), 9) AS mean, count(value) AS count FROM w, mx
-   WHERE start + INTERVAL 1 HOUR <= m - INTERVAL 1 HOUR GROUP BY metric_id, start""")
+@query("stream_tumbling", "R2", OBS + f""", w AS (SELECT metric_id, time_bucket(INTERVAL 1 HOUR, timestamp) AS start, * EXCLUDE (metric_id) FROM obs) SELECT metric_id, {ts_text('start')} AS start, min(value) AS min, max(value) AS max, round(avg(value), 9) AS mean, count(value) AS count FROM w GROUP BY metric_id, start""")
 def _(spark, sf):
-    return round_all(drained(J.tumbling(stream(spark, sf))).drop("batch"), 9)
+    return round_all(J.newest_state(drained(J.tumbling(stream(spark, sf)), "update"), ["metric_id", "start"]), 9)
 
 
-@query("stream_sliding_exceedance", "R3", CLOSED + f""", w AS (SELECT metric_id, value, unnest(range(time_bucket(INTERVAL 1 HOUR, timestamp) - INTERVAL 5 HOUR, time_bucket(INTERVAL 1 HOUR, timestamp) + INTERVAL 1 SECOND, INTERVAL 1 HOUR)) AS start FROM obs)
-   SELECT metric_id, {ts_text('start')} AS start, round(avg(CASE WHEN value > {LIMIT} THEN 1.0 ELSE 0.0 END), 9) AS share, count(*) AS n FROM w, mx WHERE start + INTERVAL 6 HOUR <= m - INTERVAL 1 HOUR GROUP BY 1, 2""")
+@query("stream_sliding_exceedance", "R3", OBS + f""", w AS (SELECT metric_id, value, unnest(range(time_bucket(INTERVAL 1 HOUR, timestamp) - INTERVAL 5 HOUR, time_bucket(INTERVAL 1 HOUR, timestamp) + INTERVAL 1 SECOND, INTERVAL 1 HOUR)) AS start FROM obs)
+   SELECT metric_id, {ts_text('start')} AS start, round(avg(CASE WHEN value > {LIMIT} THEN 1.0 ELSE 0.0 END), 9) AS share, count(*) AS n FROM w GROUP BY 1, 2""")
 def _(spark, sf):
-    return round_all(drained(J.sliding_exceedance(stream(spark, sf), LIMIT)).drop("batch"), 9)
+    return round_all(J.newest_state(drained(J.sliding_exceedance(stream(spark, sf), LIMIT), "update"), ["metric_id", "start"]), 9)
 
 
-@query("stream_late_results", "R1", CLOSED + f""" SELECT metric_id, {ts_text("date_trunc('day', timestamp)")} AS start, count(*) AS n, round(avg(value), 9) AS mean FROM obs, mx WHERE source = 'lims' AND date_trunc('day', timestamp) + INTERVAL 1 DAY <= m - INTERVAL 4 HOUR GROUP BY metric_id, date_trunc('day', timestamp)""".replace("FROM obs, mx", "FROM obs, (SELECT max(timestamp) AS m FROM obs WHERE source = 'lims') mx2"))
+@query("stream_late_results", "R1", OBS + f""" SELECT metric_id, {ts_text("date_trunc('day', timestamp)")} AS start, count(*) AS n, round(avg(value), 9) AS mean FROM obs WHERE source = 'lims' GROUP BY metric_id, date_trunc('day', timestamp)""")
 def _(spark, sf):
-    return round_all(drained(J.late_results(stream(spark, sf).filter("source = 'lims'"))).drop("batch"), 9)
+    return round_all(J.newest_state(drained(J.late_results(stream(spark, sf).filter("source = 'lims'")), "update"), ["metric_id", "start"]), 9)
 
 
 @query("stream_without_copies", "R5", OBS + "SELECT metric_id, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT DISTINCT metric_id, timestamp, value FROM obs) GROUP BY 1")
@@ -76,7 +70,7 @@ def _(spark, sf):
 
 @query("stream_idempotent_append", "R8", OBS + "SELECT metric_id, count(DISTINCT timestamp) AS n FROM obs GROUP BY 1")
 def _(spark, sf):
-    path = f"{shared_folder(spark)}/append-{uuid.uuid4().hex}"
+    path = run_folder(spark, "append") + "/table"
     keys = ["metric_id", "timestamp"]
     for _ in range(2):  # the second run replays the same input and must add nothing
         J.drain(stream(spark, sf).select(*keys, "value"), "append", lambda _out: J.idempotent_append(path, keys))
@@ -85,7 +79,7 @@ def _(spark, sf):
 
 @query("long_table_round_trip", "S6 S7", OBS + f"SELECT source, metric_id, count(*) AS rows, round(sum(value), 4) AS total, {ts_text('min(timestamp)')} AS start, {ts_text('max(timestamp)')} AS \"end\" FROM obs GROUP BY 1, 2")
 def _(spark, sf):
-    path = f"{shared_folder(spark)}/long-{uuid.uuid4().hex}"
+    path = run_folder(spark, "long") + "/table"
     W.write_long(obs(spark, sf), path)
     return W.read_long(spark, path).groupBy("source", "metric_id").agg(
         F.count("*").alias("rows"), rounded(F.sum("value"), 4).alias("total"), F.min("timestamp").alias("start"), F.max("timestamp").alias("end"))
@@ -93,7 +87,7 @@ def _(spark, sf):
 
 @query("result_tables", "S20", "SELECT o_orderpriority AS candidate, CAST(year(o_orderdate) AS INTEGER) AS period, count(*) AS rows FROM orders GROUP BY 1, 2")
 def _(spark, sf):
-    path = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    path = run_folder(spark, "results") + "/table"
     o = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("candidate"), F.year("o_orderdate").alias("period")).agg(F.count("*").alias("rows"))
     W.write_results({"coverage": o}, path)
     return spark.read.schema("candidate string, period int, rows bigint").option("header", True).csv(f"{path}/coverage")

@@ -1,7 +1,7 @@
 """Soft-sensor formula texts and their translation to Spark expressions.
 
-Formulas hold only numbers, tags, parentheses and + - x /; the text is checked against that alphabet and handed to
-Spark's own expression parser.
+Formulas hold only numbers, tags, parentheses and + - x /.  A text is read into columns operator by operator, so
+anything else is refused before Spark sees it, and every division, at any depth, has its denominator checked.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ FORMULAS = {
     "24-2000:GODT:IBP": "137.762 - 0.0653*F26 + 0.00011*F22 + 5.78137*P13 - 34.58028*P24 - 0.00993*F14 - 0.99962*W4 + 0.32232*T23 - 0.09406*T16",
 }
 
-TAG = r"[A-Z][A-Za-z]*\d+"
-ALLOWED = re.compile(r"^[\sA-Za-z0-9_.+\-*/()]+$")
+TAG = r"[A-Z][A-Za-z]*\d+[A-Za-z0-9]*"
+TOKEN = re.compile(rf"\s*(?:(?P<number>\d+(?:\.\d+)?(?:[eE][+-]?\d+)?(?![A-Za-z0-9_.]))|(?P<tag>{TAG}(?![A-Za-z0-9_.]))|(?P<sign>[-+*/()]))")
 NEAR_ZERO = 1e-9
 
 
@@ -45,29 +45,79 @@ def normalized(text: str) -> str:
     """Decimal comma and the multiplication signs in use become plain arithmetic; laboratory names become tags."""
     out = text.replace("−", "-").replace("×", "*").replace(",", ".")
     out = re.sub(r"LIMS\.([A-Za-z0-9%.]+)", lambda m: "L" + re.sub(r"\W", "", m[1]) + "0", out)
-    out = re.sub(r"(?<=[\d)\s])x(?=[\s(A-Z\d])", "*", out)
-    bare = re.sub(TAG, "", out)
-    if not ALLOWED.match(out) or re.search(r"[A-Za-z_]", bare):
-        raise ValueError("only numbers, tags, parentheses and + - * / are allowed")
+    return re.sub(r"(?<=[\d)\s])x(?=[\s(A-Z\d])", "*", out)
+
+
+def tokens(text: str) -> list[tuple[str, str]]:
+    """(kind, text) pairs; anything but numbers, tags, parentheses and + - * / raises."""
+    text, at, out = normalized(text).rstrip(), 0, []
+    while at < len(text):
+        m = TOKEN.match(text, at)
+        if not m:
+            raise ValueError(f"only numbers, tags, parentheses and + - * / are allowed: {text[at:at + 20]!r}")
+        out.append((m.lastgroup, m[m.lastgroup]))
+        at = m.end()
     return out
 
 
 def tags(text: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(TAG, normalized(text))))
-
-
-def denominators(text: str) -> list[str]:
-    """What each division divides by: a tag, a number or one parenthesised group."""
-    text = normalized(text)
-    found = re.findall(rf"/\s*({TAG}|\d+(?:\.\d+)?|\([^()]*\))", text)
-    if len(found) != text.count("/"):
-        raise ValueError("a denominator must be a tag, a number or a simple group")
-    return [d for d in found if re.search("[A-Z]", d)]
-
-
-def _column(text: str, inputs: Mapping[str, str]) -> str:
-    doubles = re.sub(r"(?<![A-Za-z\d.])(\d+(?:\.\d+)?)(?![\d.]*[A-Za-z])", r"\1D", text)
-    return re.sub(TAG, lambda m: f"`{inputs[m[0]]}`", doubles)
+    return list(dict.fromkeys(x for kind, x in tokens(text) if kind == "tag"))
+
+
+class _Reader:
+    """Sum of products of signed atoms, left to right; collects a check for every denominator that holds a tag."""
+
+    def __init__(self, text: str, inputs: Mapping[str, str]):
+        self.rest, self.inputs, self.checks = tokens(text)[::-1], inputs, []
+
+    def peek(self) -> str | None:
+        return self.rest[-1][1] if self.rest and self.rest[-1][0] == "sign" else None
+
+    def whole(self) -> Column:
+        value, _ = self.sum()
+        if self.rest:
+            raise ValueError(f"an operator is missing before {self.rest[-1][1]!r}")
+        return value
+
+    def sum(self) -> tuple[Column, bool]:
+        value, varies = self.product()
+        while self.peek() in ("+", "-"):
+            plus = self.rest.pop()[1] == "+"
+            other, more = self.product()
+            value, varies = (value + other if plus else value - other), varies or more
+        return value, varies
+
+    def product(self) -> tuple[Column, bool]:
+        value, varies = self.atom()
+        while self.peek() in ("*", "/"):
+            times = self.rest.pop()[1] == "*"
+            other, more = self.atom()
+            if not times:
+                ok = F.coalesce(F.abs(other) >= NEAR_ZERO, F.lit(False))
+                if more:
+                    self.checks.append(ok)
+                other = F.when(ok, other)
+            value, varies = (value * other if times else value / other), varies or more
+        return value, varies
+
+    def atom(self) -> tuple[Column, bool]:
+        if not self.rest:
+            raise ValueError("the formula ends too early")
+        kind, x = self.rest.pop()
+        if kind == "number":
+            return F.lit(float(x)), False
+        if kind == "tag":
+            return F.col(f"`{self.inputs[x]}`"), True
+        if x in "+-":
+            value, varies = self.atom()
+            return (value if x == "+" else -value), varies
+        if x == "(":
+            value = self.sum()
+            if self.peek() != ")":
+                raise ValueError("a parenthesis is not closed")
+            self.rest.pop()
+            return value
+        raise ValueError(f"a number, a tag or a parenthesis is missing before {x!r}")
 
 
 def evaluate(text: str, inputs: Mapping[str, str] | None = None) -> tuple[Column, Column]:
@@ -77,8 +127,10 @@ def evaluate(text: str, inputs: Mapping[str, str] | None = None) -> tuple[Column
     """
     names = tags(text)
     inputs = {t: t for t in names} | dict(inputs or {})
-    have = reduce(lambda a, b: a & b, [F.col(f"`{inputs[t]}`").isNotNull() for t in names], F.lit(True))
-    safe = reduce(lambda a, b: a & b, [F.abs(F.expr(_column(d, inputs))) >= NEAR_ZERO for d in denominators(text)], F.lit(True))
-    raw = C.finite(F.when(have & safe, F.expr(_column(normalized(text), inputs))))
+    reader = _Reader(text, inputs)
+    value = reader.whole()
+    both = lambda checks: reduce(lambda a, b: a & b, checks, F.lit(True))
+    have, safe = both([F.col(f"`{inputs[t]}`").isNotNull() for t in names]), both(reader.checks)
+    raw = C.finite(F.when(have & safe, value))
     status = F.when(~have, "missing_input").when(~safe, "zero_denominator").when(raw.isNull(), "not_finite").otherwise("ok")
     return raw, status

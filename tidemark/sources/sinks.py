@@ -25,13 +25,13 @@ def write_long(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_long(spark: SparkSession, path: str) -> DataFrame:
-    """The table as ``raw`` rows with the microsecond clock; filters on source, metric and time reach the files."""
+    """The table as ``raw`` rows with the microsecond clock; filters on source, metric and ``timestamp`` reach the files."""
     return spark.read.schema(LONG_SCHEMA).parquet(path).withColumn("t", C.micros("timestamp"))
 
 
 def export_rows(obs: DataFrame, metrics: Sequence[str], start: int, end: int) -> DataFrame:
     """Filtered raw rows in (timestamp, metric) order with text guarded against spreadsheet formulas."""
-    rows = obs.filter(F.col("metric_id").isin(*metrics) & C.half_open("t", start, end))
+    rows = obs.filter(F.col("metric_id").isin(*metrics) & C.half_open("t", start, end) & C.in_period(start, end))
     texts = [x for x in ("metric_id", "source", "unit", "flags", "source_file") if x in rows.columns]
     for x in texts:
         rows = rows.withColumn(x, C.csv_safe(x))

@@ -6,7 +6,6 @@ returns a frame; :func:`drain` runs one to the end of what is available.  After
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import columns as C
-from ..operators.stage import shared_folder
+from ..operators.stage import run_folder
 
 
 def clocked(df: DataFrame, delay: str, column: str = "timestamp") -> DataFrame:
@@ -34,7 +33,7 @@ def late_results(labs: DataFrame, delay: str = "4 hours", width: str = "1 day")
 
 
 def tumbling(obs: DataFrame, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """Down-sampling per closed window (mean instead of the batch median)."""
+    """Down-sampling per window (mean instead of the batch median)."""
     return clocked(obs, delay).groupBy(F.window("timestamp", width), "metric_id").agg(
         F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.count("value").alias("count")).select(
         "metric_id", _start(), "min", "max", "mean", "count")
@@ -90,20 +89,24 @@ def flatline_alarm(obs: DataFrame, hold: int = 6 * C.HOUR, gap: int = 20 * C.MIN
         step, "metric_id string, t long, source_row long, run_start long", "run_start long, last_t long, last_v double", "append", GroupStateTimeout.NoTimeout)
 
 
-def idempotent_append(path: str, keys: Sequence[str]):
-    """foreachBatch writer that appends only rows whose key is not in the table yet; a replayed batch adds nothing."""
+def idempotent_append(path: str, keys: Sequence[str], time: str = "timestamp"):
+    """foreachBatch writer that appends only rows whose key is not in the table yet; a replayed batch adds nothing.
+
+    The table is partitioned by day and ``time`` is part of the key, so a batch reads only the days it brings.
+    """
 
     def write(batch: DataFrame, _epoch: int) -> None:
-        new = batch.dropDuplicates(list(keys))
+        new = batch.dropDuplicates(list(keys)).withColumn("day", F.to_date(time))
+        first, last = new.agg(F.min("day"), F.max("day")).first()
         try:
-            old = batch.sparkSession.read.parquet(path).select(*keys)
+            old = batch.sparkSession.read.parquet(path).where(F.col("day").between(first, last)).select(*keys)
         except Exception as exc:
             if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
                 raise
             old = None
         if old is not None:
             new = new.join(old, list(keys), "left_anti")
-        new.write.mode("append").parquet(path)
+        new.write.mode("append").partitionBy("day").parquet(path)
 
     return write
 
@@ -113,7 +116,7 @@ def drain(df: DataFrame, mode: str = "append", writer=None) -> str:
 
     The default writer keeps one folder per micro-batch, so a retried batch replaces its own output.
     """
-    folder = f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    folder = run_folder(df.sparkSession, "stream")
     out = f"{folder}/table"
     write = writer(out) if writer else (lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{out}/batch={epoch}"))
     query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).foreachBatch(write).start()
@@ -121,5 +124,11 @@ def drain(df: DataFrame, mode: str = "append", writer=None) -> str:
     return out
 
 
+def newest_state(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The last state of each key from a table of update-mode batches: windows still open at the end of the input are in it."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    return updates.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("_s")).select(*keys, *[F.col(f"_s.{c}").alias(c) for c in rest])
+
+
 def open_events(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
