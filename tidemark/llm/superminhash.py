@@ -6,9 +6,10 @@
 2. Equal sets fold into the class of their smallest doc_id; only class representatives go on.
 3. Star round: a bucket's members are paired with its smallest member, the two leaders that share most bands are kept, pairs whose
    signatures agree too rarely drop out, the rest are verified on full sets and grouped.
-4. Rest round: buckets that still hold several groups are compared whole, in blocks of at most about 2 x BLOCK rows, between
-   members of different groups only; what passes is verified too. It runs first for each row's two nearest, then for all.
-   Pairs inside a group can't change it, so no link between different texts is lost and no bucket is expanded into all its pairs.
+4. Rest round: buckets that still hold several groups are compared whole, in blocks of about BLOCK rows against BLOCK rows, between
+   members of different groups only and each pair in the first band it shares. Rows with a partner whose signature agrees often
+   enough meet again in their blocks with their full sets; a task verifies the pairs, most alike first, joins groups by union-find
+   and gives out the links that joined some. Pairs inside a group can't change it, so no link is lost, and no pair is written out.
 Full sets are worked out again from the texts of the documents in some pair; they are never stored for all.
 """
 from __future__ import annotations
@@ -30,6 +31,7 @@ BANDS, ROWS = 32, 4
 SIGNATURE = BANDS * ROWS
 LEADERS = 2
 BLOCK = 512
+BLOCK_ELEMENTS = 4_000_000  # set elements in a block, about
 BROADCAST_IDS = 1_000_000
 SLACK = 5.8  # standard errors below the threshold at which signatures still go to verification
 WORDS_KEPT = 500_000  # word hashes kept by a task
@@ -123,8 +125,8 @@ def in_reach(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def blocks(batches: Iterator[pd.DataFrame], least: int, percent: int, top: int | None) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (key, i, j): pairs of different groups within each block whose signatures agree often enough."""
+def by_block(batches: Iterator[pd.DataFrame], work) -> Iterator[pd.DataFrame]:
+    """batches: rows sorted by (key, i, j). work gets the whole rows of some blocks and the places where blocks begin and end."""
     held = None
     for rows in batches:
         rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
@@ -132,29 +134,64 @@ def blocks(batches: Iterator[pd.DataFrame], least: int, percent: int, top: int |
         edge = np.flatnonzero((ident[1:] != ident[:-1]).any(axis=1)) + 1
         held = rows.iloc[edge[-1] if len(edge) else 0:]
         if len(edge):
-            yield _pairs(rows.iloc[: edge[-1]], [0, *edge], least, percent, top)
+            yield work(rows.iloc[: edge[-1]], [0, *edge])
     if held is not None and len(held):
-        yield _pairs(held, [0, len(held)], least, percent, top)
+        yield work(held, [0, len(held)])
 
 
-def _pairs(rows: pd.DataFrame, edges, least: int, percent: int, top: int | None) -> pd.DataFrame:
+def candidates(rows: pd.DataFrame, edges, least: int, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(x, ys, equal slots): row places within a block, of different groups and fit lengths, whose signatures agree often enough and
+    that share no earlier band: each pair turns up in one bucket only."""
     sig = np.frombuffer(b"".join(rows["sig"]), dtype="uint32").reshape(len(rows), SIGNATURE)
-    rep, group, n, left = rows["rep"].to_numpy(), rows["component"].to_numpy(), rows["n"].to_numpy(), rows["part"].to_numpy() == rows["i"].to_numpy()
-    right = rows["part"].to_numpy() == rows["j"].to_numpy()
-    out = []
+    bands = np.stack(rows["bands"].to_numpy())
+    group, n, band = rows["component"].to_numpy(), rows["n"].to_numpy(), rows["band"].to_numpy()
+    left, right = rows["part"].to_numpy() == rows["i"].to_numpy(), rows["part"].to_numpy() == rows["j"].to_numpy()
+    twice = rows["i"].to_numpy() == rows["j"].to_numpy()
     for a, b in zip(edges[:-1], edges[1:]):
-        x, y = a + np.flatnonzero(left[a:b]), a + np.flatnonzero(right[a:b])
-        if not len(x) or not len(y):
+        right_side = a + np.flatnonzero(right[a:b])
+        for x in a + np.flatnonzero(left[a:b]):
+            y = right_side[right_side > x] if twice[a] else right_side  # left and right are the same rows there
+            y = y[(group[y] != group[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
+            y = y[~(bands[y, : band[a]] == bands[x, : band[a]]).any(axis=1)] if band[a] else y
+            same = (sig[y] == sig[x]).sum(axis=1)
+            if (ok := same >= least).any():
+                yield x, y[ok], same[ok]
+
+
+def with_partners(rows: pd.DataFrame, edges, least: int, percent: int) -> pd.DataFrame:
+    """The rows that some candidate pair of their block needs."""
+    need = np.zeros(len(rows), dtype=bool)
+    for x, y, _ in candidates(rows, edges, least, percent):
+        need[x] = True
+        need[y] = True
+    return rows.loc[need, ["key", "i", "j", "rep"]]
+
+
+def links_within(rows: pd.DataFrame, edges, least: int, percent: int) -> pd.DataFrame:
+    """Verified links that join the groups of each block; pairs that earlier ones have joined already are passed over."""
+    group, rep = rows["component"].to_numpy(), rows["rep"].to_numpy()
+    sets = [np.frombuffer(s, dtype="uint64") for s in rows["set"]]
+    pairs = [(-int(k), int(x), int(y)) for x, ys, same in candidates(rows, edges, least, percent) for y, k in zip(ys, same)]
+    parent: dict[int, int] = {}
+
+    def find(g: int) -> int:
+        while (up := parent.get(g, g)) != g:
+            parent[g] = parent.get(up, up)
+            g = up
+        return g
+
+    out = []
+    for _, x, y in sorted(pairs):
+        p, q = find(int(group[x])), find(int(group[y]))
+        if p == q:
             continue
-        ok = (group[x][:, None] != group[y]) & (np.minimum(n[x][:, None], n[y]) * 100 >= np.maximum(n[x][:, None], n[y]) * percent)
-        for p in np.flatnonzero(ok.any(axis=1)):
-            q = np.flatnonzero(ok[p])
-            same = (sig[y[q]] == sig[x[p]]).sum(axis=1)
-            q, same = q[same >= least], same[same >= least]
-            if top is not None and len(q) > top:
-                q = q[np.argsort(-same, kind="stable")[:top]]
-            out += [(min(rep[x[p]], r), max(rep[x[p]], r)) for r in rep[y[q]]]
-    return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+        small, large = sorted((sets[x], sets[y]), key=len)
+        at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+        inter = int((large[at] == small).sum())
+        if inter * 100 >= (len(small) + len(large) - inter) * percent:
+            parent[max(p, q)] = min(p, q)
+            out.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 class NearDuplicates:
@@ -167,17 +204,18 @@ class NearDuplicates:
         real = self.signed.where("n > 0 and doc_id is not null")
         folded = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
         self.classes = staged(folded, "classes")
-        rows = self.classes.select("rep", "n", F.explode("bands").alias("key"))
+        rows = self.classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
         full = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("lead"), F.min(F.struct("rep", "n"))["n"].alias("lead_n"))
         self.buckets = staged(rows.join(full.where("size > 1 and lead is not null"), "key"), "buckets")
 
-    def sets(self, pairs: DataFrame) -> DataFrame:
+    def sets(self, pairs: DataFrame, as_bytes: bool = False) -> DataFrame:
         """(rep, set) for every document in some pair, from its text. Few ids go out as a broadcast; many are shuffled."""
         ids = staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
         small = ids.count() <= BROADCAST_IDS
         texts = self.docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
         size = self.shingle
-        full = F.pandas_udf(lambda s: pd.Series([shingle_set(t, size).view("int64") for t in s]), "array<long>")
+        shown = (lambda x: x.tobytes()) if as_bytes else (lambda x: x.view("int64"))
+        full = F.pandas_udf(lambda s: pd.Series([shown(shingle_set(t, size)) for t in s]), "binary" if as_bytes else "array<long>")
         return staged(texts.select(F.col("doc_id").alias("rep"), full("text").alias("set")), "sets")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -200,31 +238,35 @@ class NearDuplicates:
             F.substring("x", i * 4 + 1, F.lit(4)) == F.substring("y", i * 4 + 1, F.lit(4)), 1).otherwise(0))
         return both.where(slots >= agreement(self.percent)).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
 
-    def rest_pairs(self, group: DataFrame, top: int | None) -> DataFrame:
-        """Candidate pairs between groups, from the buckets that still hold several."""
-        rows = self.buckets.select("key", "rep", "n").join(group, F.col("rep") == F.col("node"), "left")
-        rows = rows.select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"),
+    def rest_links(self, group: DataFrame) -> DataFrame:
+        """Verified links between groups, from the buckets that still hold several."""
+        rows = self.buckets.select("key", "band", "rep", "n").join(group, F.col("rep") == F.col("node"), "left")
+        rows = rows.select("key", "band", "rep", "n", F.coalesce("component", "rep").alias("component"))
+        mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.min("band").alias("band"), F.sum("n").alias("elements"),
                                         F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("total"), F.bit_xor(F.xxhash64(F.lit(2), "rep")).alias("mixed")).where("low < high")
-        once = mixed.groupBy("size", "total", "mixed").agg(F.min("key").alias("key"))  # buckets of the same members are compared once
-        once = once.select("key", F.ceil(F.col("size") / self.block).cast("int").alias("parts"))
-        dealt = rows.join(once, "key").join(self.classes.select("rep", "sig"), "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        # of buckets with the same members the one of the first band is compared
+        once = mixed.groupBy("size", "total", "mixed").agg(F.min(F.struct("band", "key"))["key"].alias("key"), F.max("elements").alias("elements"))
+        parts = F.greatest(F.ceil(F.col("size") / self.block), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int")
+        once = once.select("key", parts.alias("parts"))
+        dealt = rows.join(once, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
         # block pair (i, j), i <= j, gets the rows of parts i and j
-        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        dealt = dealt.withColumn("other", other).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-        dealt = dealt.select("key", "i", "j", "part", "rep", "n", "component", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        least, percent = agreement(self.percent), self.percent
-        return dealt.mapInPandas(lambda b: blocks(b, least, percent, top), "a long, b long")
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other", "parts")
+        dealt = staged(dealt, "blocks")
+        least, percent, order = agreement(self.percent), self.percent, ["key", "i", "j"]
+        signs = self.classes.select("rep", "sig", "bands")
+        full = dealt.join(signs, "rep").repartition(*order).sortWithinPartitions(*order)
+        need = full.mapInPandas(lambda b: by_block(b, lambda r, e: with_partners(r, e, least, percent)), "key long, i int, j int, rep long")
+        need = staged(need, "needed")
+        sets = self.sets(need.select(F.col("rep").alias("a"), F.col("rep").alias("b")), as_bytes=True)
+        full = dealt.join(need, [*order, "rep"]).join(signs, "rep").join(sets, "rep").repartition(*order).sortWithinPartitions(*order)
+        return staged(full.mapInPandas(lambda b: by_block(b, lambda r, e: links_within(r, e, least, percent)), "a long, b long"), "links")
 
     def groups(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept: one row per row of docs."""
         links = self.verified(self.star_pairs())
         group = staged(components(links), "group")
-        for top in (LEADERS, None):
-            more = self.verified(self.rest_pairs(group, top))
-            if not more.isEmpty():
-                links = links.union(more)
-                group = staged(components(links), "group")
+        group = staged(components(links.union(self.rest_links(group))), "group")
         known = self.classes.select("s1", "s2", "rep").join(group, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
         real = self.signed.where("n > 0 and doc_id is not null").join(known, ["s1", "s2"]).select("doc_id", "n", "component_id")
         # rows that share a doc_id are one node
