@@ -30,7 +30,7 @@ PERCENT = 80
 BANDS, ROWS = 32, 4
 SIGNATURE = BANDS * ROWS
 LEADERS = 2
-BLOCK = 512
+BLOCK = 2_048
 BLOCK_ELEMENTS = 4_000_000  # set elements in a block, about
 BROADCAST_IDS = 1_000_000
 SLACK = 5.8  # standard errors below the threshold at which signatures still go to verification
