@@ -68,8 +68,8 @@ def test_pipeline_stages(spark, tmp_path):
     line = "this notice stands in a great many documents of the corpus\n"
     item = "which of the nine planets named here was found last of all by far"
     docs = [(i, line + t if i % 4 == 0 else t, "en", f"src{i % 5}", len(t), "extra") for i, t, _ in rows]
-    clean = " ".join(f"good{k}" for k in range(40))
-    docs += [(1000, clean, "en", "src1", 1, "e"), (1001, clean, "en", "src1", 1, "e"), (1002, clean + " " + item, "de", "src2", 1, "e"), (1003, None, None, None, None, None), (1004, "", "en", "src1", 0, "e")]
+    clean = " ".join(sorted(max((t for _, t, g in rows if g == 2), key=len).split()))
+    docs += [(1000, clean, "en", "src1", 1, "e"), (1001, clean, "en", "src1", 1, "e"), (1002, " ".join(reversed(clean.split())) + " " + item, "de", "src2", 1, "e"), (1003, None, None, None, None, None), (1004, "", "en", "src1", 0, "e")]
     schema = "doc_id long, text string, lang string, source string, n_chars long, kept string"
     sf = str(tmp_path)
     spark.createDataFrame(docs, schema).write.parquet(f"{sf}/documents.parquet")
