@@ -28,6 +28,7 @@ KEEP_TAIL = 2  # a document is kept when its grade is at least this ...
 KEEP_PROBABILITY = 0.5  # ... with at least this probability
 TOKENS = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 KEPT = 500_000
+FIT_ROWS = 1_024
 PREFIX = 4
 
 
@@ -66,30 +67,35 @@ class Model:
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> Model:
     """Full-batch Adam on the cumulative-link likelihood; thresholds stay ordered by construction (first one and positive gaps)."""
-    top = max(1, int(grades.max(initial=0)))
-    flat = np.concatenate(rows) if rows else np.empty(0, dtype="int64")
+    top, n = max(1, int(grades.max(initial=0))), len(rows)
+    flat = np.concatenate(rows).astype("int32") if n else np.empty(0, dtype="int32")  # BITS of 30 fit
+    sizes = [len(r) for r in rows]
     slots, counts = np.unique(flat, return_counts=True)
     slots = slots[counts >= MIN_DOCS]
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    at = np.searchsorted(slots, flat)
-    known = (at < len(slots)) & (slots[np.minimum(at, max(0, len(slots) - 1))] == flat) if len(slots) else np.zeros(len(flat), dtype=bool)
-    at, owner = at[known], owner[known]
-    n, d = len(rows), len(slots)
+    at = np.searchsorted(slots, flat).astype("int32")
+    known = slots[np.minimum(at, len(slots) - 1)] == flat if len(slots) else np.zeros(len(flat), dtype=bool)
+    at, owner, d = at[known], np.repeat(np.arange(n, dtype="int32"), sizes)[known], len(slots)
+    del flat, known, counts
     if not n:
         return Model(slots, np.zeros(0), np.arange(top, dtype="float64"))
+    edges = [*range(0, n, FIT_ROWS), n]
+    blocks = [(a, b, *np.searchsorted(owner, [a, b])) for a, b in zip(edges[:-1], edges[1:])]  # keeps what a step allocates small
     p = np.zeros(d + top)
     p[d] = -2.0
     first, second = np.zeros_like(p), np.zeros_like(p)
     low, high = np.maximum(grades - 1, 0), np.minimum(grades, top - 1)
     for step in range(1, steps + 1):
         theta = p[d] + np.concatenate([[0.0], np.cumsum(np.exp(p[d + 1:]))])
-        score = np.bincount(owner, p[at], n)
+        score = np.concatenate([np.bincount(owner[x:y] - a, p[at[x:y]], b - a) for a, b, x, y in blocks])
         upper = np.where(grades < top, 1 / (1 + np.exp(np.clip(score - theta[high], -50, 50))), 1.0)
         lower = np.where(grades > 0, 1 / (1 + np.exp(np.clip(score - theta[low], -50, 50))), 0.0)
         mass = np.maximum(upper - lower, 1e-12)
         du, dl = upper * (1 - upper) / mass, lower * (1 - lower) / mass
         g = np.zeros_like(p)
-        g[:d] = np.bincount(at, ((du - dl) / n)[owner], d) + penalty * p[:d]
+        pull = (du - dl) / n
+        for _, _, x, y in blocks:
+            g[:d] += np.bincount(at[x:y], pull[owner[x:y]], d)
+        g[:d] += penalty * p[:d]
         to_theta = (np.bincount(low, dl * (grades > 0), top) - np.bincount(high, du * (grades < top), top)) / n
         g[d] = to_theta.sum()
         after = np.cumsum(to_theta[::-1])[::-1]
@@ -135,7 +141,7 @@ def train(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE) -> Model | N
     rows = rows.dropDuplicates(["doc_id", "slots"]).orderBy("doc_id", "slots").limit(sample).collect()
     if not rows:
         return None
-    return fit([np.frombuffer(r.slots, dtype="int32").astype("int64") for r in rows], np.array([r.grade for r in rows]))
+    return fit([np.frombuffer(r.slots, dtype="int32") for r in rows], np.array([r.grade for r in rows]))
 
 
 def rate(docs: DataFrame, model: Model | None, tail: int = KEEP_TAIL, probability: float = KEEP_PROBABILITY, text: str = "text") -> DataFrame:
