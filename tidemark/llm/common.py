@@ -49,6 +49,21 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+HOT = 10_000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, how: str = "inner") -> DataFrame:
+    """rows joined with keyed, a staged table with one row per key whose column n counts at most the key's rows in `rows`.
+
+    Keys with 1/HOT of all rows or more are HOT at most, so they are broadcast and their rows stay where they are; the
+    rest are joined by key, where none can fill a task.
+    """
+    often = F.col(n) * HOT >= rows.count()
+    hot, cold = F.broadcast(keyed.where(often)), keyed.where(~often)
+    rest = rows.join(F.broadcast(keyed.where(often).select(*on)), on, "left_anti").join(cold, on, how)
+    return rows.join(hot, on).unionByName(rest)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Remove the files of a staged frame that nothing reads any more."""
     spark = df.sparkSession

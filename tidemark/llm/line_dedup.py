@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANKS, ascii_lower, drop_staged, staged, table
+from tidemark.llm.common import BLANKS, ascii_lower, drop_staged, join_counted, staged, table
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -102,7 +102,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """
     hashes = staged(line_hashes(docs.select("doc_id", "text"), min_chars), "lines")
     keys = repeated_lines(hashes, docs, min_docs, batches)
-    hit = hashes.join(keys, KEY).where(F.col("doc_id") != F.col("holder"))
+    hit = join_counted(hashes, staged(keys, "keys"), KEY, "n_docs").where(F.col("doc_id") != F.col("holder"))
     drops = hit.groupBy(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).agg(F.collect_set("pos").alias("_drop"))
     full = docs.drop("n_lines", "n_dropped").withColumn("_row", F.xxhash64("text"))
     full = full.join(drops, (F.col("doc_id") == F.col("_d")) & (F.col("_row") == F.col("_r")), "left")

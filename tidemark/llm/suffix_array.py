@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import staged, table
+from tidemark.llm.common import join_counted, staged, table
 from tidemark.llm.superminhash import _WORDS, STEP, mix
 
 LENGTH = 50
@@ -74,12 +74,12 @@ def suffixes(docs: DataFrame, run: int, length: int) -> DataFrame:
 def chains(found: DataFrame, run: int) -> DataFrame:
     """(doc_id, start, stop, other, shift): word ranges equal to those of document `other` at start - shift."""
     def run_ends(rows: DataFrame, key: str) -> DataFrame:
-        ends = rows.groupBy(key).agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max(F.struct("doc_id", "pos")).alias("last"))
-        return ends.where(F.col("first.doc_id") < F.col("last.doc_id"))
+        ends = rows.groupBy(key).agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max(F.struct("doc_id", "pos")).alias("last"), F.count("*").alias("n"))
+        return staged(ends.where(F.col("first.doc_id") < F.col("last.doc_id")), "runs")
 
     partner = F.when(F.col("doc_id") == F.col("first.doc_id"), F.col("last")).otherwise(F.col("first"))
-    met = staged(found.join(run_ends(found, "key"), "key").select("doc_id", "pos", partner.alias("near"), F.when(F.col("wide") == 0, F.xxhash64("doc_id", "pos")).otherwise(F.col("wide")).alias("wide")), "met")
-    met = met.join(run_ends(met, "wide"), "wide", "left").withColumn("to", F.coalesce(partner, F.col("near")))
+    met = staged(join_counted(found, run_ends(found, "key"), ["key"], "n").select("doc_id", "pos", partner.alias("near"), F.when(F.col("wide") == 0, F.xxhash64("doc_id", "pos")).otherwise(F.col("wide")).alias("wide")), "met")
+    met = join_counted(met, run_ends(met, "wide"), ["wide"], "n", "left").withColumn("to", F.coalesce(partner, F.col("near")))
     met = met.select("doc_id", "pos", F.col("to.doc_id").alias("other"), (F.col("pos") - F.col("to.pos")).alias("shift"))
     row = Window.partitionBy("doc_id", "other", "shift").orderBy("pos")
     fresh = F.when(F.col("pos") - F.lag("pos").over(row) <= run, 0).otherwise(1)
