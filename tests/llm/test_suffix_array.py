@@ -54,3 +54,20 @@ def test_long_runs_of_one_word_and_empty_tables(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {(r.doc_id, r.start, r.stop) for r in repeated_passages(docs).collect()} == brute(rows, 50)
     assert repeated_passages(docs.limit(0)).count() == 0
+
+
+def test_boilerplate_of_a_third_document_hides_no_passage(spark):
+    r = random.Random(5)
+    text = lambda n: ["".join(r.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(n)]
+    rows, doc = [], 1000
+    for n in (50, 52, 57, 64):
+        for shared in (35, 40, 45, 49):
+            for skip in range(0, n - shared + 1, 5):
+                passage = text(n)
+                rows += [(doc + k, " ".join(text(8) + passage + text(8))) for k in (1, 2)]
+                # smaller and larger documents hold only a part of it
+                rows += [(doc - 1000 if k else doc + 3, " ".join(text(9) + passage[skip:skip + shared] + text(9))) for k in (0, 1)]
+                doc += 4
+    docs = spark.createDataFrame([(i * 4 if i < 1000 else 10_000 + i, t) for i, t in rows], "doc_id long, text string")
+    rows = [tuple(x) for x in docs.collect()]
+    assert {(x.doc_id, x.start, x.stop) for x in repeated_passages(docs).collect()} == brute(rows, 50)

@@ -1,14 +1,16 @@
 """Repeated passages by sparse suffix arrays.
 
 Words stand between blanks, A-Z lower-cased. Of all suffixes only those at minimisers are kept: positions whose GRAM-word hash is
-the smallest of some WINDOW neighbouring ones (the first of equals). Both copies of a passage of `length` words select the same
-places, the first of them at most WINDOW - 1 words in, so its suffixes agree on at least length - WINDOW + 1 words: the run key.
-1. Suffixes are brought together by run key; aggregation before the shuffle leaves each run's first and last suffix, and runs
-   within one document go. Each suffix is compared with the first of its run (that of the first document with the last): of the run
-   that agrees on `length` words, if another document is in it, else of the run of the run key.
-2. Neighbouring suffixes of a document that match the same partner at the same distance are chained.
-3. Chains are extended to the left and to the right, word by word, against the partner's words around its end points.
-What reaches `length` words is a repeated passage. A run is never gathered: its rows only meet its two end suffixes.
+the smallest of some WINDOW neighbouring ones (the first of equals). Each window of `length` words belongs to the minimiser of its
+first WINDOW grams, at most WINDOW - 1 words in, so all copies of a window belong to suffixes that agree on length - WINDOW + 1
+words: the run key. The windows of one suffix start at neighbouring words; the text from the first one's start to the last one's
+end is its block.
+1. Suffixes are brought together by run key; runs within one document go. If all blocks of a run are equal, each of its documents
+   holds all windows of the block, and the run's documents are their holders.
+2. The windows of the other runs are hashed one by one and brought together by that hash.
+3. The windows found in two documents, overlapping and touching ones joined, are the repeated passages.
+Every window meets all its copies, whatever else its documents share. A run is never gathered: its rows only meet one row with its
+first and last document.
 """
 from __future__ import annotations
 
@@ -24,7 +26,6 @@ from tidemark.llm.superminhash import _WORDS, STEP, mix
 LENGTH = 50
 GRAM = 5
 WINDOW = 16
-CONTEXT = 32  # words kept beside a chain; more than WINDOW + GRAM, what two copies can share beyond their common suffixes
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 BACK = pow(BASE, -1, 2**64)
 
@@ -34,109 +35,99 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(_WORDS.__getitem__, words), dtype="uint64", count=len(words))
 
 
+def span_hashes(h: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hashes of the words from starts up to stops, excluded."""
+    up, down = (np.concatenate([np.ones(1, dtype="uint64"), np.cumprod(np.full(len(h), np.uint64(b)))]) for b in (BASE, BACK))
+    sums = np.concatenate([np.zeros(1, dtype="uint64"), np.cumsum(mix(h * STEP) * up[:-1])])
+    return mix((sums[stops] - sums[starts]) * down[starts])
+
+
 def run_hashes(h: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of `size` words."""
-    n = len(h)
-    if n < size:
-        return np.empty(0, dtype="uint64")
-    up, down = (np.concatenate([np.ones(1, dtype="uint64"), np.cumprod(np.full(n, np.uint64(b)))]) for b in (BASE, BACK))
-    sums = np.concatenate([np.zeros(1, dtype="uint64"), np.cumsum(mix(h * STEP) * up[:n])])
-    return mix((sums[size:] - sums[: n - size + 1]) * down[: n - size + 1])
+    starts = np.arange(max(0, len(h) - size + 1))
+    return span_hashes(h, starts, starts + size)
 
 
-def minimisers(h: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> np.ndarray:
-    """Sorted positions that are the first smallest GRAM-word hash of some window of neighbouring ones."""
-    g = run_hashes(h, gram)
-    if len(g) < window:
-        return np.empty(0, dtype="int64")
-    view = np.lib.stride_tricks.sliding_window_view(g, window)
-    return np.unique(np.arange(len(view)) + view.argmin(axis=1))
+def owners(h: np.ndarray, length: int, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(minimiser, lo, hi): the windows of `length` words starting at lo..hi belong to the minimiser, the first smallest of their
+    first `window` gram hashes. Each window start of the text is in one row."""
+    n = len(h) - length + 1
+    if n < 1:
+        return (np.empty(0, dtype="int64"),) * 3
+    view = np.lib.stride_tricks.sliding_window_view(run_hashes(h, gram), window)[:n]
+    at = np.arange(n) + view.argmin(axis=1)
+    lo = np.flatnonzero(np.diff(at, prepend=-1))
+    return at[lo], lo, np.append(lo[1:], n) - 1
 
 
-def suffixes(docs: DataFrame, run: int, length: int) -> DataFrame:
-    """(doc_id, pos, key, wide): the retained suffixes with the hashes of their first `run` and `length` words (0: fewer)."""
+def suffixes(docs: DataFrame, length: int) -> DataFrame:
+    """(doc_id, lo, hi, key, block): the retained suffixes by the windows that belong to them, with the hashes of their run key and block."""
+    run = length - WINDOW + 1
 
-    @F.pandas_udf("pos array<int>, key array<long>, wide array<long>")
+    @F.pandas_udf("lo array<int>, hi array<int>, key array<long>, block array<long>")
     def retained(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             h = word_hashes(t)
-            at = minimisers(h)
-            at = at[at + run <= len(h)]
-            wide = np.concatenate([run_hashes(h, length), np.zeros(length, dtype="uint64")])
-            out.append((at.astype("int32"), run_hashes(h, run)[at].view("int64"), wide[at].view("int64")))
-        return pd.DataFrame(out, columns=["pos", "key", "wide"])
+            at, lo, hi = owners(h, length)
+            key, block = span_hashes(h, at, at + run), span_hashes(h, lo, hi + length)
+            out.append((lo.astype("int32"), hi.astype("int32"), key.view("int64"), block.view("int64")))
+        return pd.DataFrame(out, columns=["lo", "hi", "key", "block"])
 
     got = docs.select("doc_id", retained("text").alias("s"))
-    return got.select("doc_id", F.explode_outer(F.arrays_zip("s.pos", "s.key", "s.wide")).alias("s")).select("doc_id", "s.pos", "s.key", "s.wide").where("pos is not null and doc_id is not null")
+    rows = got.select("doc_id", F.explode_outer(F.arrays_zip("s.lo", "s.hi", "s.key", "s.block")).alias("s"))
+    return rows.select("doc_id", "s.lo", "s.hi", "s.key", "s.block").where("lo is not null and doc_id is not null")
 
 
-def chains(found: DataFrame, run: int) -> DataFrame:
-    """(doc_id, start, stop, other, shift): word ranges equal to those of document `other` at start - shift."""
-    def run_ends(rows: DataFrame, key: str) -> DataFrame:
-        ends = rows.groupBy(key).agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max(F.struct("doc_id", "pos")).alias("last"), F.count("*").alias("n"))
-        return staged(ends.where(F.col("first.doc_id") < F.col("last.doc_id")), "runs")
+def windows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(doc_id, lo, wide): the windows starting in the ranges of wanted(doc_id, lo, hi), with their hashes."""
 
-    partner = F.when(F.col("doc_id") == F.col("first.doc_id"), F.col("last")).otherwise(F.col("first"))
-    met = staged(join_counted(found, run_ends(found, "key"), ["key"], "n").select("doc_id", "pos", partner.alias("near"), F.when(F.col("wide") == 0, F.xxhash64("doc_id", "pos")).otherwise(F.col("wide")).alias("wide")), "met")
-    met = join_counted(met, run_ends(met, "wide"), ["wide"], "n", "left").withColumn("to", F.coalesce(partner, F.col("near")))
-    met = met.select("doc_id", "pos", F.col("to.doc_id").alias("other"), (F.col("pos") - F.col("to.pos")).alias("shift"))
-    row = Window.partitionBy("doc_id", "other", "shift").orderBy("pos")
-    fresh = F.when(F.col("pos") - F.lag("pos").over(row) <= run, 0).otherwise(1)
-    met = met.withColumn("fresh", fresh).withColumn("chain", F.sum("fresh").over(row.rowsBetween(Window.unboundedPreceding, 0)))
-    return met.groupBy("doc_id", "other", "shift", "chain").agg(F.min("pos").alias("start"), (F.max("pos") + run).alias("stop")).drop("chain")
+    @F.pandas_udf("lo array<int>, wide array<long>")
+    def hashed(texts: pd.Series, los: pd.Series, his: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, lo, hi in zip(texts, los, his):
+            h = word_hashes(t)
+            n = max(0, len(h) - length + 1)
+            edges = np.zeros(n + 1, dtype="int64")
+            np.add.at(edges, np.minimum(lo, n), 1)
+            np.add.at(edges, np.minimum(np.asarray(hi) + 1, n), -1)
+            at = np.flatnonzero(np.cumsum(edges[:n]) > 0)
+            out.append((at.astype("int32"), span_hashes(h, at, at + length).view("int64")))
+        return pd.DataFrame(out, columns=["lo", "wide"])
 
+    lists = wanted.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set(F.struct("lo", "hi")).alias("at"))
+    rows = docs.join(lists, F.col("doc_id") == F.col("_d")).select("doc_id", hashed("text", F.col("at.lo"), F.col("at.hi")).alias("s"))
+    return rows.select("doc_id", F.explode(F.arrays_zip("s.lo", "s.wide")).alias("s")).select("doc_id", "s.lo", "s.wide")
 
-def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For wanted (doc_id, start, stop): the hashes of the words before start (nearest first) and from stop on, CONTEXT at most."""
 
-    @F.pandas_udf("array<struct<before:binary,after:binary>>")
-    def beside(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
-        out = []
-        for t, a, b in zip(texts, starts, stops):
-            h = word_hashes(t).astype("uint32")
-            out.append([{"before": h[max(0, i - CONTEXT):i][::-1].tobytes(), "after": h[j:j + CONTEXT].tobytes()} for i, j in zip(a, b)])
-        return pd.Series(out)
+def held(docs: DataFrame, length: int) -> DataFrame:
+    """(doc_id, lo, hi, low, high): the windows starting at lo..hi, of which low and high are the first and the last holder, two documents."""
+    def holders(rows: DataFrame, key: str, *more) -> DataFrame:
+        ends = rows.groupBy(key).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"), *more)
+        return staged(ends.where(F.col("low") < F.col("high")), "runs")
 
-    lists = wanted.distinct().groupBy(F.col("doc_id").alias("_d")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("at"))
-    rows = docs.select("doc_id", "text").join(lists, F.col("doc_id") == F.col("_d"))
-    rows = rows.select("doc_id", "at", beside("text", F.col("at.start"), F.col("at.stop")).alias("c"))
-    return rows.select("doc_id", F.explode(F.arrays_zip("at", "c")).alias("x")).select("doc_id", "x.at.start", "x.at.stop", "x.c.before", "x.c.after")
+    found = staged(suffixes(docs, length), "suffixes")
+    runs = holders(found, "key", (F.min("block") == F.max("block")).alias("same"))
+    met = staged(join_counted(found, runs, ["key"], "n").select("doc_id", "lo", "hi", "low", "high", "same"), "met")
+    single = staged(windows(docs, met.where("not same").select("doc_id", "lo", "hi"), length), "windows")
+    ones = join_counted(single, holders(single, "wide"), ["wide"], "n")
+    return met.where("same").select("doc_id", "lo", "hi", "low", "high").union(ones.select("doc_id", "lo", F.col("lo").alias("hi"), "low", "high"))
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, start, stop, n_words, other_id, first): one row per repeated passage and document, in word places, stop excluded.
 
-    A passage of at least `length` words that also stands in another document; other_id is the smallest such document found, and
-    `first` says that no smaller document was found to hold it, so that the others may drop theirs. The ends are those of the match
-    with the partner compared; a third document that happens to share a few words more beside them doesn't move them. Overlapping and touching passages
-    of a document are one row. Null, empty and short texts give no row, nor do repeats inside one document alone. Rows that share
-    a doc_id count as one document, rows without one are left out. Empty tables give an empty one; further columns are not read.
+    A passage is a stretch of words of which each lies in a window of `length` words that also stands in another document;
+    overlapping and touching ones of a document are one row. Every such window is found. other_id is the smallest other document
+    that holds a window of the passage (for windows that no smaller document holds the largest one counts), and `first` says
+    that no smaller document holds any. Windows are told apart by 64-bit hashes. Null, empty and short texts give no row, nor do
+    repeats inside one document alone. Rows that share a doc_id count as one document, rows without one are left out. Empty tables
+    give an empty one; further columns are not read.
     """
     if length < WINDOW + GRAM:
         raise ValueError(f"length must be at least {WINDOW + GRAM} words")
-    docs = docs.select("doc_id", "text")
-    run = length - WINDOW + 1
-    found = staged(suffixes(docs, run, length), "suffixes")
-    parts = staged(chains(found, run), "chains")
-    own = parts.select("doc_id", "start", "stop")
-    there = parts.select(F.col("other").alias("doc_id"), (F.col("start") - F.col("shift")).alias("start"), (F.col("stop") - F.col("shift")).alias("stop"))
-    sides = staged(contexts(docs, own.union(there)), "contexts")
-    theirs = sides.select(F.col("doc_id").alias("other"), F.col("start").alias("ostart"), F.col("stop").alias("ostop"), F.col("before").alias("obefore"), F.col("after").alias("oafter"))
-    both = parts.withColumn("ostart", F.col("start") - F.col("shift")).withColumn("ostop", F.col("stop") - F.col("shift"))
-    both = both.join(sides, ["doc_id", "start", "stop"]).join(theirs, ["other", "ostart", "ostop"])
-
-    @F.pandas_udf("int")
-    def shared(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = np.zeros(len(a), dtype="int32")
-        for k, (x, y) in enumerate(zip(a, b)):
-            n = min(len(x), len(y)) // 4
-            same = np.frombuffer(x, dtype="uint32", count=n) == np.frombuffer(y, dtype="uint32", count=n)
-            out[k] = n if same.all() else int(same.argmin())
-        return pd.Series(out)
-
-    full = both.select("doc_id", "other", (F.col("start") - shared("before", "obefore")).alias("start"), (F.col("stop") + shared("after", "oafter")).alias("stop"))
-    full = full.where(F.col("stop") - F.col("start") >= length)
+    other = F.when(F.col("low") < F.col("doc_id"), F.col("low")).otherwise(F.col("high"))
+    full = held(docs.select("doc_id", "text"), length).select("doc_id", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"), other.alias("other"))
     by = Window.partitionBy("doc_id").orderBy("start", "stop", "other")
     upto = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
     full = full.withColumn("fresh", F.when(F.col("start") <= upto, 0).otherwise(1)).withColumn("span", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
