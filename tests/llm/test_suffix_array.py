@@ -71,3 +71,33 @@ def test_boilerplate_of_a_third_document_hides_no_passage(spark):
     docs = spark.createDataFrame([(i * 4 if i < 1000 else 10_000 + i, t) for i, t in rows], "doc_id long, text string")
     rows = [tuple(x) for x in docs.collect()]
     assert {(x.doc_id, x.start, x.stop) for x in repeated_passages(docs).collect()} == brute(rows, 50)
+
+
+def test_one_copy_is_first_for_every_part_of_a_joined_passage(spark):
+    r = random.Random(6)
+    text = lambda n: ["".join(r.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(n)]
+    head, body, long = text(60), text(70), text(200)
+    rows = [(1, " ".join(head + text(5))), (100, " ".join(head + body + text(5))), (900, " ".join(text(7) + body))]
+    # the smallest holder changes inside overlapping passages, back and forth
+    rows += [(2000, " ".join(long[:80])), (2001, " ".join(long)), (2002, " ".join(long)), (1999, " ".join(text(3) + long[60:130]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in repeated_passages(docs).collect()}
+    assert {(x.doc_id, x.start, x.stop) for x in got.values()} == brute(rows, 50)
+    assert {i: x.first for i, x in got.items()} == {1: True, 100: True, 900: False, 1999: True, 2000: True, 2001: True, 2002: False}
+    assert [tuple(x) for x in got[100].stretches] == [(0, 60, 1, False), (60, 130, 900, True)]
+    assert [tuple(x) for x in got[900].stretches] == [(7, 77, 100, False)]
+    rows += [(5000 + i, t) for i, t in corpus(3)[:-1]]
+    cut, after, holders = {}, set(), defaultdict(set)
+    for x in repeated_passages(spark.createDataFrame(rows, docs.schema)).collect():
+        assert [s.start for s in x.stretches] == [x.start, *[s.stop for s in x.stretches][:-1]] and x.stretches[-1].stop == x.stop
+        assert x.first == any(s.first for s in x.stretches) and all(s.first == (x.doc_id < s.other_id) for s in x.stretches)
+        cut.setdefault(x.doc_id, []).extend((s.start, s.stop) for s in x.stretches if not s.first)
+    for i, t in rows:
+        w = (t or "").lower().split()
+        smaller = {v for j, u in rows if j < i for v in (u or "").lower().split()}
+        assert all(set(w[a:b]) <= smaller for a, b in cut.get(i, ()))
+        left = [None if any(a <= p < b for a, b in cut.get(i, ())) else x for p, x in enumerate(w)]
+        for p in range(len(w) - 49):
+            holders[tuple(w[p:p + 50])].add(i)
+            after.add(tuple(left[p:p + 50]))
+    assert all(w in after for w, ids in holders.items() if len(ids) > 1)  # one whole copy of each is left

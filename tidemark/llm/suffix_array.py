@@ -8,7 +8,8 @@ end is its block.
 1. Suffixes are brought together by run key; runs within one document go. If all blocks of a run are equal, each of its documents
    holds all windows of the block, and the run's documents are their holders.
 2. The windows of the other runs are hashed one by one and brought together by that hash.
-3. The windows found in two documents, overlapping and touching ones joined, are the repeated passages.
+3. The windows found in two documents, overlapping and touching ones joined, are the repeated passages; inside them, neighbouring
+   windows with the same smallest holder are a stretch.
 Every window meets all its copies, whatever else its documents share. A run is never gathered: its rows only meet one row with its
 first and last document.
 """
@@ -115,24 +116,36 @@ def held(docs: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, start, stop, n_words, other_id, first): one row per repeated passage and document, in word places, stop excluded.
+    """(doc_id, start, stop, n_words, other_id, first, stretches): one row per repeated passage and document, in word places, stop excluded.
 
     A passage is a stretch of words of which each lies in a window of `length` words that also stands in another document;
-    overlapping and touching ones of a document are one row. Every such window is found. other_id is the smallest other document
-    that holds a window of the passage (for windows that no smaller document holds the largest one counts), and `first` says
-    that no smaller document holds any. Windows are told apart by 64-bit hashes. Null, empty and short texts give no row, nor do
-    repeats inside one document alone. Rows that share a doc_id count as one document, rows without one are left out. Empty tables
-    give an empty one; further columns are not read.
+    overlapping and touching ones of a document are one row. Every such window is found. A passage can be made of parts with
+    different holders, so `stretches`, (start, stop, other_id, first) in order, cuts it without gap or overlap where the smallest
+    holder changes. `first` says that no smaller document holds the stretch, so that the others may drop theirs; words in
+    windows of both kinds are in the first stretch, so one whole copy of every window is left. other_id is the stretch's smallest
+    holder, or for that document itself the last holder of a window (the smallest of them). The row is `first` if a stretch is,
+    with other_id the smallest of those stretches, else of all. Windows are told apart by 64-bit hashes. Null, empty and short
+    texts give no row, nor do repeats inside one document alone. Rows that share a doc_id count as one document, rows without
+    one are left out. Empty tables give an empty one; further columns are not read.
     """
     if length < WINDOW + GRAM:
         raise ValueError(f"length must be at least {WINDOW + GRAM} words")
-    other = F.when(F.col("low") < F.col("doc_id"), F.col("low")).otherwise(F.col("high"))
-    full = held(docs.select("doc_id", "text"), length).select("doc_id", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"), other.alias("other"))
-    by = Window.partitionBy("doc_id").orderBy("start", "stop", "other")
-    upto = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    full = full.withColumn("fresh", F.when(F.col("start") <= upto, 0).otherwise(1)).withColumn("span", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    out = full.groupBy("doc_id", "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("other").alias("other_id"))
-    return out.select("doc_id", "start", "stop", (F.col("stop") - F.col("start")).alias("n_words"), "other_id", (F.col("doc_id") < F.col("other_id")).alias("first"))
+    rows = held(docs.select("doc_id", "text"), length).select("doc_id", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"), "low", "high")
+    by = Window.partitionBy("doc_id").orderBy("start", "stop", "low", "high")
+    past, upto = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.unboundedPreceding, 0)
+    apart = F.coalesce(F.col("start") > F.max("stop").over(past), F.lit(True))
+    rows = rows.withColumn("apart", apart.cast("int")).withColumn("cut", (apart | (F.col("low") != F.lag("low").over(by))).cast("int"))
+    rows = rows.withColumn("span", F.sum("apart").over(upto)).withColumn("part", F.sum("cut").over(upto))
+    parts = rows.groupBy("doc_id", "span", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.first("low").alias("low"), F.min("high").alias("high"))
+    parts = parts.withColumn("first", F.col("low") == F.col("doc_id")).withColumn("other_id", F.when(F.col("first"), F.col("high")).otherwise(F.col("low")))
+    along = Window.partitionBy("doc_id", "span").orderBy("part")
+    kept = F.max(F.when(F.col("first"), F.col("stop"))).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    start, stop = F.greatest("start", kept), F.when(F.col("first"), F.col("stop")).otherwise(F.least("stop", F.lead("start").over(along)))
+    parts = parts.select("doc_id", "span", "start", "stop", "other_id", "first", F.struct(start.alias("start"), stop.alias("stop"), "other_id", "first").alias("s"))
+    own = F.min(F.when(F.col("first"), F.col("other_id")))
+    out = parts.groupBy("doc_id", "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.coalesce(own, F.min("other_id")).alias("other_id"),
+                                              F.max("first").alias("first"), F.array_sort(F.collect_list(F.when(F.col("s.start") < F.col("s.stop"), F.col("s")))).alias("stretches"))
+    return out.select("doc_id", "start", "stop", (F.col("stop") - F.col("start")).alias("n_words"), "other_id", "first", "stretches")
 
 
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
