@@ -48,3 +48,20 @@ def test_values_keep_format_validity_and_links(spark):
     assert mail[1] == mail[2] and re.fullmatch(r"[a-z0-9]{3}\.[a-z0-9]{6}", mail[1]) and mail[1] != "joe.smith1"
     assert any(r.text == "x " * 40000 + one[2] for r in got[7])
     assert out.limit(0).count() == 0 and pseudonymise(docs.limit(0)).columns == out.columns
+
+
+def test_no_phone_is_left_behind(spark):
+    form = re.compile(r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}")
+    phones = [f"+1 ({a:03}) {m:03}-{n:04}" for a in (0, 17, 100, 199, 200, 555, 999) for m in (0, 99, 199, 200, 713, 999) for n in (0, 7713, 9999)]
+    docs = spark.createDataFrame([(i, f"call {p}, or {phones[-1 - i]}") for i, p in enumerate(phones)], "doc_id long, text string")
+    out = sorted(pseudonymise(docs).collect())
+    new = {p: form.findall(r.text)[0] for p, r in zip(phones, out)}
+    assert sum(p in r.text for p, r in zip(phones, out)) == 0 and all(r.n_values == 2 and r.n_invalid == 0 for r in out)
+    assert all(form.findall(r.text)[1] == new[phones[-1 - i]] for i, r in enumerate(out)) and len(set(new.values())) == len(phones)
+    usual = re.compile(r"\+1 \([2-9][0-9]{2}\) [2-9]")  # area code and exchange of 200 or more, or not
+    assert all(bool(usual.match(p)) == bool(usual.match(q)) for p, q in new.items())
+    area, mid, line = 17, 555, 7713
+    top, last = divmod(plain_feistel((area * 1000 + mid) * 10_000 + line, 60_000, 60_000, "phone", 1), 10_000)
+    area, mid = divmod(top, 1000) if top < 200_000 else (200 + (top - 200_000) // 200, (top - 200_000) % 200)
+    text = pseudonymise(spark.createDataFrame([(1, "+1 (017) 555-7713")], "doc_id long, text string")).first().text
+    assert text == f"+1 ({area:03}) {mid:03}-{last:04}"

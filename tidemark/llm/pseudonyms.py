@@ -6,7 +6,7 @@ permutation of the domain: a pseudonym is again a valid value of the same format
 every document. Kinds are keyed apart. Built-in functions only; no shuffle.
 
 card: 13-19 digits with a right Luhn digit: the first digit and the length stay, the check digit is worked out anew.
-phone: +1 (aaa) eee-nnnn with aaa and eee in 200..999.  ip: dotted quad, parts 0..255 without leading zeros.
+phone: +1 (aaa) eee-nnnn; those with aaa and eee in 200..999 are permuted among themselves, and so are all others.  ip: dotted quad, parts 0..255 without leading zeros.
 ssn: aaa-gg-nnnn, aaa 001..899 but 666, gg 01..99, nnnn 0001..9999.
 date: yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, mm/dd/yyyy that exist, 1900 to 2099.
 email: the letters and digits before the @, in runs of at most 11, lower-cased.
@@ -23,7 +23,7 @@ ROUNDS = 8
 # fixed formats
 FORMS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "phone": r"\+1 \([2-9][0-9]{2}\) [2-9][0-9]{2}-[0-9]{4}(?![0-9])",
+    "phone": r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])",
     "date": r"(?<![0-9A-Za-z./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|(?:19|20)[0-9]{2}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9A-Za-z/-]|\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
@@ -91,9 +91,16 @@ def card(v: Column, key: str) -> Column:
 def phone(v: Column, key: str) -> Column:
     d = F.regexp_replace(v, r"[^0-9]", "")
     area, mid, line = (_int(F.substring(d, i, n)) for i, n in ((2, 3), (5, 3), (8, 4)))
-    x = feistel(((area - 200) * 800 + mid - 200) * 10_000 + line, 80_000, 80_000, key, "phone")
-    top = F.call_function("div", x, F.lit(10_000).cast("long"))
-    return F.concat(F.lit("+1 ("), (F.call_function("div", top, F.lit(800).cast("long")) + 200).cast("string"), F.lit(") "), (top % 800 + 200).cast("string"), F.lit("-"), _zeros(x % 10_000, 4))
+    # area code and exchange as one number: 800 * 800 usual ones, and the others, 200 * 1000 with a low area code before 800 * 200
+    usual, low = (area >= 200) & (mid >= 200), area < 200
+    other = F.when(low, area * 1000 + mid).otherwise(200_000 + (area - 200) * 200 + mid)
+    top = F.when(usual, (area - 200) * 800 + mid - 200).otherwise(other)
+    half = F.when(usual, 80_000).otherwise(60_000)
+    x = feistel(top * 10_000 + line, half, half, key, "phone", F.when(usual, 0).otherwise(1))
+    top, div = F.call_function("div", x, F.lit(10_000).cast("long")), lambda n, d: F.call_function("div", n, F.lit(d).cast("long"))
+    area = F.when(usual, div(top, 800) + 200).when(top < 200_000, div(top, 1000)).otherwise(div(top - 200_000, 200) + 200)
+    mid = F.when(usual, top % 800 + 200).when(top < 200_000, top % 1000).otherwise((top - 200_000) % 200)
+    return F.concat(F.lit("+1 ("), _zeros(area, 3), F.lit(") "), _zeros(mid, 3), F.lit("-"), _zeros(x % 10_000, 4))
 
 
 def ssn(v: Column, key: str) -> Column:
