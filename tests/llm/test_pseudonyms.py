@@ -65,3 +65,11 @@ def test_no_phone_is_left_behind(spark):
     area, mid = divmod(top, 1000) if top < 200_000 else (200 + (top - 200_000) // 200, (top - 200_000) % 200)
     text = pseudonymise(spark.createDataFrame([(1, "+1 (017) 555-7713")], "doc_id long, text string")).first().text
     assert text == f"+1 ({area:03}) {mid:03}-{last:04}"
+
+
+def test_values_without_two_neighbouring_digits_are_found(spark):
+    rows = [(1, "8.8.8.8"), (2, "from 1.1.1.1 on"), (3, "8.8.8.8, 1.1.1.1 and 2020-02-29"), (4, "version 1.2 of 3")]
+    got = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first, second = got[1].text, got[2].text.split()[1]
+    assert got[3].text.startswith(f"{first}, {second} and ") and first != "8.8.8.8" and second != "1.1.1.1"
+    assert [got[i].n_values for i in (1, 2, 3, 4)] == [1, 1, 3, 0] and got[4].text == rows[3][1]

@@ -165,7 +165,8 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     columns named n_values or n_invalid are replaced; empty tables give empty ones.
     """
     rest = docs.drop("n_values", "n_invalid")
-    has = F.coalesce(F.col("text").rlike("[0-9]{2}|@") & F.col("text").rlike(ANY), F.lit(False))
+    # every match of ANY holds two digits side by side or across a dot, or an @
+    has = F.coalesce(F.col("text").rlike("[0-9][.]?[0-9]|@") & F.col("text").rlike(ANY), F.lit(False))
     found = F.when(has, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     rows = rest.withColumn("_found", found)
     rows = rows.withColumn("_new", F.transform("_found", lambda v: pseudonym(v, key)))
