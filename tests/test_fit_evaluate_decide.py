@@ -176,3 +176,29 @@ def test_bootstrap_is_replayable(spark):
     d = spark.createDataFrame([(0, i * 86_400_000_000, float(i % 7)) for i in range(200)], "k int, t long, d double")
     a, b = (E.block_bootstrap(d, ["k"], "t", "d", 7, 100).first() for _ in range(2))
     assert a == b and a.ci_low <= a.mean_delta <= a.ci_high
+
+
+@pytest.mark.parametrize("query, module, operator, names", [
+    ("huber_ridge", "fit", "huber_ridge", ["delta", "iterations", "tolerance"]), ("walk_forward", "fit", "walk_forward", ["alphas"]),
+    ("lab_walk_forward", "fit", "walk_forward", ["alphas"]), ("step_response_spread", "process", "response_bootstrap", ["draws"])])
+def test_queries_without_sql_run_the_operators_full_job(spark, monkeypatch, query, module, operator, names):
+    import importlib
+    import inspect
+
+    from tidemark.plans import load
+    plan = load()[query].plan
+    ops = importlib.import_module(f"tidemark.operators.{module}")
+    signature = inspect.signature(getattr(ops, operator))
+
+    class Called(Exception):
+        pass
+
+    def stop(*args, **named):
+        bound = signature.bind(*args, **named)
+        bound.apply_defaults()
+        raise Called({n: bound.arguments[n] for n in names})
+
+    monkeypatch.setattr(ops, operator, stop)
+    with pytest.raises(Called) as call:
+        plan(spark, "/root/testdata/sf0.001")
+    assert call.value.args[0] == {n: signature.parameters[n].default for n in names}

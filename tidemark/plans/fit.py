@@ -99,7 +99,7 @@ def _(spark, sf):
 
 @query("walk_forward", "M16 M20")
 def _(spark, sf):
-    p = M_.walk_forward(dated(spark, sf), XS, "y", "origin", "available", [us(x) for x in CUTS], us("2002-01-01 00:00:00"), (1.0, 100.0, 10000.0), 100.0)
+    p = M_.walk_forward(dated(spark, sf), XS, "y", "origin", "available", [us(x) for x in CUTS], us("2002-01-01 00:00:00"), preregistered=100.0)
     return round_all(p.groupBy("cutoff", "alpha", "basis").agg(F.count("*").alias("rows"), F.avg(F.abs(F.col("y") - F.col("prediction"))).alias("mae")), 6)
 
 
@@ -111,7 +111,7 @@ def _(spark, sf):
     frame = f.join(l.select((F.col("t") - 60 * M).alias("origin"), C.floored_ln("value").alias("y"), (F.col("t") + 240 * M).alias("available")), "origin")
     frame = staged(frame)
     cuts = [us(f"2024-01-{d} 00:00:00") for d in ("10", "17", "24")]
-    p = M_.walk_forward(frame, MODEL_COLUMNS, "y", "origin", "available", cuts, us("2024-01-31 00:00:00"), (1.0, 100.0, 10000.0), 30.0)
+    p = M_.walk_forward(frame, MODEL_COLUMNS, "y", "origin", "available", cuts, us("2024-01-31 00:00:00"))
     return round_all(p.groupBy("cutoff", "alpha", "basis").agg(F.count("*").alias("rows"), F.avg(F.abs(F.col("y") - F.col("prediction"))).alias("log_mae")), 4)
 
 
@@ -131,7 +131,7 @@ def _(spark, sf):
 
 @query("huber_ridge", "M13")
 def _(spark, sf):
-    _, coef = M_.huber_ridge(lines(spark, sf), ["model"], XS, "y", 10.0, iterations=8, tolerance=1e-6)
+    _, coef = M_.huber_ridge(lines(spark, sf), ["model"], XS, "y", 10.0)
     return round_all(coef.select("model", "alpha", *[F.col("coef")[i].alias(n) for i, n in enumerate(["intercept", *XS])]), 4)
 
 

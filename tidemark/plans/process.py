@@ -222,7 +222,7 @@ def _(spark, sf):
 
 @query("step_response_spread", "W17 A21")
 def _(spark, sf):
-    return round_all(P.response_bootstrap(steps(spark, sf, True), 100, 4), 9)
+    return round_all(P.response_bootstrap(steps(spark, sf, True), hours=4), 9)
 
 
 # Soft-sensor backtest: formulas against candidate laboratory series.
