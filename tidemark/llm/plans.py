@@ -2,7 +2,8 @@
 from __future__ import annotations
 
 from tidemark.llm import (
-    decontaminate, embedding_groups, line_dedup, mixing, ordinal_quality, pseudonyms, suffix_array, superminhash, token_counts, url_rules,
+    decontaminate, embedding_groups, line_dedup, mixing, ordinal_quality, periodic_runs, pseudonyms, suffix_array, superminhash, token_counts,
+    url_rules,
 )
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op8_superminhash": superminhash.op8_superminhash,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_ordinal_quality": ordinal_quality.op10_ordinal_quality,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
 }
 SQL = {
     "op2_benchmark_decontamination": decontaminate.SQL,
