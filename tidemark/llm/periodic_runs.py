@@ -29,7 +29,6 @@ TIMES = 3
 MIN_WORDS = 24
 SMALL = 8
 AT_ONCE = 200_000  # words of short texts handled together
-PIECE = 1 << 20  # bytes of a text split at once
 WORD = r"[^\x20\x09-\x0D]+"
 NONE = np.uint64(2**64 - 1)
 

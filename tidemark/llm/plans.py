@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from tidemark.llm import (
-    decontaminate, embedding_groups, line_dedup, mixing, ordinal_quality, periodic_runs, pseudonyms, suffix_array, superminhash, token_counts,
+    decontaminate, embedding_groups, line_dedup, mixing, ordinal_quality, packing, periodic_runs, pseudonyms, suffix_array, superminhash, token_counts,
     url_rules,
 )
 
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_ordinal_quality": ordinal_quality.op10_ordinal_quality,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op13_packing": packing.op13_packing,
 }
 SQL = {
     "op2_benchmark_decontamination": decontaminate.SQL,
