@@ -2,8 +2,8 @@
 from __future__ import annotations
 
 from tidemark.llm import (
-    decontaminate, embedding_groups, line_dedup, mixing, ordinal_quality, packing, periodic_runs, pseudonyms, suffix_array, superminhash, token_counts,
-    url_rules,
+    decontaminate, embedding_groups, line_dedup, mixing, ordinal_quality, packing, periodic_runs, prefix_trie, pseudonyms, suffix_array, superminhash,
+    token_counts, url_rules,
 )
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_ordinal_quality": ordinal_quality.op10_ordinal_quality,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_packing": packing.op13_packing,
 }
 SQL = {
@@ -27,4 +28,5 @@ SQL = {
     "op7_embedding_groups": embedding_groups.SQL,
     "op8_superminhash": superminhash.SQL,
     "op9_line_dedup": line_dedup.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
 }
