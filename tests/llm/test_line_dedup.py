@@ -1,7 +1,7 @@
 import random
 from collections import defaultdict
 
-from tidemark.llm.line_dedup import LineRuns, dedup_lines
+from tidemark.llm.line_dedup import LineRuns, dedup_lines, id_batches
 
 BLANK = " \t\n\x0b\f\r"
 
@@ -51,3 +51,13 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert dedup_lines(docs).columns == ["doc_id", "text", "lang", "n_lines", "n_dropped"] and dedup_lines(docs).count() == 0
 
+
+def test_ids_over_the_whole_range_and_one_far_away(spark):
+    line = "a line of text that is long enough"
+    for ids in ([-9_200_000_000_000_000_000 + k * 2_300_000_000_000_000_000 for k in range(9)], [*range(40), 9_000_000_000_000_000_000]):
+        data = [(i, f"{line}\n{i}") for i in ids] + [(None, line)]
+        docs = spark.createDataFrame(data, "doc_id long, text string")
+        got = sorted([(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in dedup_lines(docs, 20, 3, 4).collect()], key=str)
+        assert got == brute(data, 20, 3)
+        sizes = docs.where("doc_id is not null").groupBy(id_batches(docs, 4).alias("b")).count().collect()
+        assert max(r["count"] for r in sizes) <= len(ids) // 2

@@ -75,12 +75,10 @@ class LineRuns:
 
 
 def id_batches(docs: DataFrame, batches: int) -> Column:
-    """Batch number of a doc_id, 0 for the largest ids; equal widths of the id range."""
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None or batches < 2:
-        return F.lit(0)
-    width = (high - low) // batches + 1
-    return F.coalesce(F.floor((F.lit(high) - F.col("doc_id")) / width).cast("int"), F.lit(0))
+    """Batch number of a doc_id, 0 for the largest ids; cut at approximate quantiles, so any spread of ids gives batches alike in size."""
+    shares = [b / batches for b in range(1, batches)]
+    cuts = docs.agg(F.percentile_approx("doc_id", shares, 1000)).first()[0] if shares else None
+    return F.coalesce(sum(((F.col("doc_id") <= F.lit(c)).cast("int") for c in set(cuts or [])), F.lit(0)), F.lit(0))
 
 
 def repeated_lines(hashes: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
