@@ -1,10 +1,16 @@
 import hashlib
+import random
 import re
 from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
-from tidemark.llm.pseudonyms import KEY, ROUNDS, feistel, pseudonymise
+from tidemark.llm import pseudonyms
+from tidemark.llm.pseudonyms import QUERY_KEY as KEY, ROUNDS, feistel
+
+
+def pseudonymise(docs):
+    return pseudonyms.pseudonymise(docs, KEY)
 
 
 def plain_feistel(x, a, b, kind, tweak=0):
@@ -73,3 +79,19 @@ def test_values_without_two_neighbouring_digits_are_found(spark):
     first, second = got[1].text, got[2].text.split()[1]
     assert got[3].text.startswith(f"{first}, {second} and ") and first != "8.8.8.8" and second != "1.1.1.1"
     assert [got[i].n_values for i in (1, 2, 3, 4)] == [1, 1, 3, 0] and got[4].text == rows[3][1]
+
+
+def test_long_texts_are_searched_in_linear_time(spark):
+    labels = "x@" + "a." * 100_000 + "com"
+    rows = [(1, labels), (2, labels + " 8.8.8.8"), (3, "7" * 1_000_000), (4, "q" * 1_000_000), (5, "a@" * 500_000), (6, "a." * 500_000 + "@b"), (7, "x@" + "a." * 120 + "com"), (8, "+1 (" * 200_000)]
+    got = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].n_values for i in range(1, 9)] == [0, 1, 0, 0, 0, 0, 1, 0]
+    assert all(got[i].text == rows[i - 1][1] for i in (1, 3, 4, 5, 6, 8)) and got[7].text.endswith(rows[6][1][1:]) and got[7].text[0] != "x@"
+
+
+def test_addresses_are_found_as_by_the_plain_pattern(spark):
+    plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+    r = random.Random(2)
+    texts = ["".join(r.choice(["a", "b.", ".", "@", "@c", ".com", ".de", "-", " ", "_", "x1", ".."]) for _ in range(r.randrange(2, 25))) for _ in range(600)]
+    got = {x.doc_id: x.n_values for x in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(600)] == [len(plain.findall(t)) for t in texts]

@@ -9,7 +9,7 @@ card: 13-19 digits with a right Luhn digit: the first digit and the length stay,
 phone: +1 (aaa) eee-nnnn; those with aaa and eee in 200..999 are permuted among themselves, and so are all others.  ip: dotted quad, parts 0..255 without leading zeros.
 ssn: aaa-gg-nnnn, aaa 001..899 but 666, gg 01..99, nnnn 0001..9999.
 date: yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, mm/dd/yyyy that exist, 1900 to 2099.
-email: the letters and digits before the @, in runs of at most 11, lower-cased.
+email: the letters and digits before the @, in runs of at most 11, lower-cased. A domain has at most 127 labels, the most that names allow.
 """
 from __future__ import annotations
 
@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 
-KEY = "corpus-key-1"
 ROUNDS = 8
 # fixed formats
 FORMS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # a name starts where its characters start or where the last match ended; possessive runs and bounded labels keep the search linear
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,125}\.[A-Za-z]{2,}",
     "phone": r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])",
     "date": r"(?<![0-9A-Za-z./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|(?:19|20)[0-9]{2}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9A-Za-z/-]|\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
@@ -158,7 +158,7 @@ def pseudonym(v: Column, key: str) -> Column:
     return out.otherwise(date(v, key))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with `text` rewritten, plus n_values (values replaced) and n_invalid (matches left because they are no valid value).
 
     Null texts stay null, empty ones empty, with 0 and 0. Repeated rows are rewritten alike; all other columns pass through,
@@ -178,5 +178,8 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
                        (F.size("_found") - bad).cast("long").alias("n_values"), bad.cast("long").alias("n_invalid"))
 
 
+QUERY_KEY = "corpus-key-1"  # of the test tables only; callers bring their own
+
+
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_KEY)
