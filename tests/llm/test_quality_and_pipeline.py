@@ -98,3 +98,27 @@ def test_pipeline_stages(spark, tmp_path):
     empty = now.select(*columns).limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_labels_of_absent_documents_use_up_no_sample(spark):
+    rows = labelled(60, 5)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    grades = spark.createDataFrame([(i, g) for i, _, g in rows], "doc_id long, grade int")
+    absent = spark.range(1000, 20_000).selectExpr("id AS doc_id", "2 AS grade")
+    one, two = train(docs, grades, 100), train(docs, grades.union(absent), 100)
+    assert np.array_equal(one.weights, two.weights) and np.array_equal(one.slots, two.slots)
+
+
+def test_null_ids_and_repeated_rows_pass_the_stages(spark, tmp_path):
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(4000)]
+    text = [" ".join(r.choice(words) for _ in range(80)) for _ in range(6)]
+    item = " ".join(text[4].split()[20:40])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, text[0]), (None, text[0]), (2, text[1]), (2, text[1]), (None, text[2]), (None, text[2]), (3, text[3]), (None, text[4]), (None, text[5]), (4, text[4]), (None, None)]
+    docs = spark.createDataFrame([(*x, "en") for x in rows], "doc_id long, text string, lang string")
+    near = staged(corpus_pipeline.near(spark, docs, str(tmp_path)), "t")
+    assert near.columns == docs.columns
+    assert sorted(x.text or "" for x in near.collect()) == sorted(["", *text])
+    clean = corpus_pipeline.decontaminated(spark, docs, str(tmp_path))
+    assert sorted([(x.doc_id, x.text) for x in clean.collect()], key=str) == sorted([x for x in rows if x[1] != text[4]], key=str) and clean.columns == docs.columns

@@ -130,8 +130,10 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Model from at most `sample` graded documents; None without any. Their feature slots, never their texts, reach the driver."""
-    taken = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    """Model from at most `sample` graded documents, those of docs with the smallest id hashes; None if docs holds no graded one.
+    Their feature slots, never their texts, reach the driver."""
+    present = grades.join(docs.select("doc_id"), "doc_id", "left_semi")
+    taken = present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     @F.pandas_udf("binary")
     def slots(texts: pd.Series) -> pd.Series:
