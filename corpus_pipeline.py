@@ -17,9 +17,28 @@ from tidemark.llm.ordinal_quality import graded, rate, train
 from tidemark.llm.superminhash import near_duplicates
 
 
+KEY = "_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key: the doc_id, or for rows without one a hash of the text, so that equal texts without an id are one document."""
+    return docs.withColumn(KEY, F.coalesce(F.col("doc_id"), F.xxhash64(F.lit("no id"), "text")))
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but those whose doc_id is in gone(doc_id)."""
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Keyed docs but those whose _key is a doc_id of gone."""
+    return docs.join(gone.select(F.col("doc_id").alias(KEY)).distinct(), KEY, "left_anti").drop(KEY)
+
+
+def by_key(docs: DataFrame) -> DataFrame:
+    """What the operators read of keyed docs."""
+    return docs.select(F.col(KEY).alias("doc_id"), "text")
+
+
+def single(docs: DataFrame) -> DataFrame:
+    """Keyed docs with one row of each (_key, text); only rows that are repeated meet in a shuffle."""
+    again = docs.groupBy(KEY, F.xxhash64("text").alias("_text")).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select(KEY).distinct()
+    return docs.join(again, KEY, "left_anti").unionByName(docs.join(again, KEY, "left_semi").dropDuplicates([KEY, "text"]))
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -45,13 +64,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; the rest go."""
-    return without(docs, near_duplicates(docs).where("not kept"))
+    """One document of each group of near duplicates, and one of equal rows; the rest go. Documents without an id are told apart by their texts."""
+    docs = single(keyed(docs))
+    return without(docs, near_duplicates(by_key(docs)).where("not kept")).select(*[f"`{c}`" for c in docs.columns if c != KEY])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    return without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    docs = keyed(docs)
+    return without(docs, contamination(by_key(docs), table(spark, sf_dir, "benchmark")).where("contaminated")).select(*[f"`{c}`" for c in docs.columns if c != KEY])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
