@@ -22,12 +22,12 @@ from tidemark.llm.common import ascii_lower, staged, table
 WINDOW = 10
 SHINGLE = 4
 BLOCK_ROWS = 200_000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what stands between lower-cased words
 
 
 def words_of(text: Column) -> Column:
     """Words of the A-Z lower-cased text; null has none."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN, -1), "")
 
 
 def shingle_hashes(words: str, size: int) -> Column:
@@ -106,7 +106,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     Null or empty texts have no words and no hits; items without words have no windows. Rows sharing a doc_id (null included)
     give one row: the longest text's words, hits of all of them. Only doc_id and text of docs, item_id and text of items are read.
     """
-    size = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0)))
+    size = F.size(words_of(F.col("text")))
     hits = find_windows(docs, items, window, shingle, block_rows)
     rows = docs.select("doc_id", size.cast("long").alias("n_words"), F.lit(None).cast("struct<start:int,end:int>").alias("span"), F.lit(None).cast("string").alias("item"))
     rows = rows.union(hits.select("doc_id", F.lit(0).cast("long"), F.struct(F.col("start").cast("int"), F.col("end").cast("int")), F.col("item_id").cast("string")))
