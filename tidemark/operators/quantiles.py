@@ -1,8 +1,9 @@
 """Exact linear-interpolated quantiles by one route for groups of any size.
 
-Rows are first counted by (group, value), which combines before the shuffle.  A mergeable sketch cuts each group into value
-ranges; the ranges' counts give every range the number of rows below it, so running counts are taken inside
-(group, range) only and no task sorts a group.  The cuts only deal out the work: any cuts give the same result.
+Rows are first counted by (group, value), which combines before the shuffle; everything after reads those counts, so the input is
+evaluated once.  A mergeable sketch of the counted values cuts each group into value ranges; the ranges' counts give every range the
+number of rows below it, so running counts are taken inside (group, range) only and no task sorts a group.  The cuts only
+deal out the work: any cuts give the same result.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CUTS = 256
-PER_RANGE = 2_000_000  # a group gets one range for about so many rows, CUTS of them at most
+PER_RANGE = 2_000_000  # a group gets one range for about so many different values, CUTS of them at most
 
 
 def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -26,14 +27,19 @@ def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str] | None = None,
               per_range: int = PER_RANGE) -> DataFrame:
     """One row per key with a column per probability (NULL values ignored)."""
+    d = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    return counted_quantiles(d.groupBy(*keys, "_v").agg(F.count("*").alias("_c")), keys, probs, names, per_range)
+
+
+def counted_quantiles(counted: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str] | None = None,
+                      per_range: int = PER_RANGE) -> DataFrame:
+    """Quantiles of values that stand in ``_v``, each ``_c`` times; a (keys, value) has one row."""
     keys = list(keys)
     names = list(names or [f"q{i}" for i in range(len(probs))])
-    d = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    counted = d.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    sketch = d.groupBy(*keys).agg(F.percentile_approx("_v", [i / CUTS for i in range(1, CUTS)], 10_000).alias("_e"), F.count("*").alias("_n"))
-    ranges = F.least(F.lit(CUTS), F.ceil(F.col("_n") / per_range))
+    sketch = counted.groupBy(*keys).agg(F.percentile_approx("_v", [i / CUTS for i in range(1, CUTS)], 2_000).alias("_e"), F.count("*").alias("_k"), F.sum("_c").alias("_n"))
+    ranges = F.least(F.lit(CUTS), F.ceil(F.col("_k") / per_range))
     every = F.filter("_e", lambda _, i: F.floor((i + 1) * ranges / CUTS) > F.floor(i * ranges / CUTS))
-    sketch = sketch.withColumn("_e", F.array_distinct(every))
+    sketch = sketch.withColumn("_e", F.array_distinct(every)).drop("_k")
     cut = _beside(counted, sketch, keys).withColumn("_r", F.aggregate("_e", F.lit(0), lambda s, e: s + F.when(e < F.col("_v"), 1).otherwise(0))).drop("_e")
     lower = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     sums = cut.groupBy(*keys, "_r").agg(F.sum("_c").alias("_s"))
