@@ -1,0 +1,184 @@
+"""Refits from accumulated moments against naive refits per cutoff in numpy."""
+import numpy as np
+import pandas as pd
+import pytest
+
+from tidemark.operators import walkforward as W
+
+COLUMNS = ["a", "b", "c"]
+
+
+def refit(x, y, alpha, chosen=None):
+    """A plain refit: medians, means, deviations and ridge of the given rows; returns a scorer and the statistics."""
+    med = np.array([np.median(v[np.isfinite(v)]) if np.isfinite(v).any() else 0.0 for v in x.T])
+    lo, hi = (np.array([np.quantile(v[np.isfinite(v)], q) if np.isfinite(v).any() else 0.0 for v in x.T]) for q in (0.005, 0.995))
+    filled = np.where(np.isfinite(x), x, med)
+    mean, sd = filled.mean(0), filled.std(0)
+    sd = np.where(sd > 0, sd, 1.0)
+    z = ((filled - mean) / sd)[:, chosen if chosen is not None else slice(None)]
+    d = np.column_stack([np.ones(len(z)), z])
+    reg = np.eye(d.shape[1]) * alpha
+    reg[0, 0] = 0
+    b = np.linalg.solve(d.T @ d + reg, d.T @ y)
+    room = 0.1 * np.maximum(hi - lo, sd)
+
+    def score(q):
+        zq = (np.where(np.isfinite(q), q, med) - mean) / sd
+        used = zq[:, chosen if chosen is not None else slice(None)]
+        outside = (np.isfinite(q) & ((q < lo - room) | (q > hi + room))).sum(1)
+        return np.column_stack([np.ones(len(used)), used]) @ b, outside, np.abs(zq).max(1)
+
+    return score
+
+
+def frame(seed, n=400):
+    rng = np.random.default_rng(seed)
+    t = np.sort(rng.integers(0, 1000, n))
+    x = rng.normal(size=(n, 3)) * [1, 20, 0.01] + [0, 350, 5] + np.outer(t / 500, [1, 5, 0])
+    y = 0.5 * x[:, 0] + 0.02 * (x[:, 1] - 350) + 30 * (x[:, 2] - 5) + rng.normal(size=n) * (0.2 + t / 2000)
+    x[rng.random((n, 3)) < 0.08] = np.nan
+    x[rng.integers(0, n, 25)] = np.nan
+    x[rng.integers(0, n, 4), 0] += 60
+    p = pd.DataFrame(x, columns=COLUMNS).assign(row=np.arange(n), y=y, origin=t, available=t + rng.integers(10, 60, n), previous=np.r_[np.nan, y[:-1]])
+    p.loc[rng.random(n) < 0.05, "y"] = np.nan
+    return p
+
+
+def table(spark, p):
+    d = spark.createDataFrame(p.replace({np.nan: None}).astype({"row": "int64", "origin": "int64", "available": "int64"}),
+                              "a double, b double, c double, row long, y double, origin long, available long, previous double")
+    return d.repartition(3)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_window_models_equal_refits(spark, seed):
+    p = frame(seed)
+    windows = [(W.BEGIN, 300), (100, 300), (250, 700), (W.BEGIN, 900), (5000, 6000)]
+    families = {"all": COLUMNS, "two": ["a", "c"], "one": ["b"]}
+    got = {(r.window, r.family, r.alpha): r for r in W.fit_windows(table(spark, p), COLUMNS, "y", "available", windows, [1.0, 300.0], families).collect()}
+    assert {k[0] for k in got} == {0, 1, 2, 3}
+    for (k, family, alpha), r in got.items():
+        own = p[(p.available >= windows[k][0]) & (p.available < windows[k][1]) & p.y.notna()]
+        x = own[COLUMNS].to_numpy(float)
+        want, outside, _ = refit(x, own.y.to_numpy(), alpha, [COLUMNS.index(c) for c in families[family]])(p[COLUMNS].to_numpy(float))
+        q = p[COLUMNS].to_numpy(float)
+        z = (np.where(np.isfinite(q), q, r.median) - np.array(r.mean)) / np.array(r.scale)
+        assert r.n == len(own) and np.allclose(r.intercept + z @ np.array(r.slopes), want, atol=1e-7)
+        assert np.array_equal((np.isfinite(q) & ((q < r.lower) | (q > r.upper))).sum(1), outside)
+
+
+def naive_nested(p, cutoffs, end, alphas, preregistered):
+    """The procedure as told, one cutoff after the other, refitting everything."""
+    closing, out, errors, residuals = [*cutoffs[1:], end], {}, {}, []
+    for k, cut in enumerate(cutoffs):
+        train = p[(p.available < cut) & p.y.notna()]
+        score = p[(p.origin >= cut) & (p.origin < closing[k])]
+        x = score[COLUMNS].to_numpy(float)
+        models = {a: refit(train[COLUMNS].to_numpy(float), train.y.to_numpy(), a)(x) for a in alphas} if len(train) else None
+        means = {a: np.mean([errors[j][a] for j in range(k) if errors[j]]) for a in alphas} if any(errors[j] for j in range(k)) else None
+        alpha = min(alphas, key=lambda a: (means[a], a)) if means else preregistered
+        base = (train.y - train.previous).dropna()
+        served = (np.isfinite(x).mean(1) >= 1 - 0.34) & (models is not None)
+        closed = (score.y.notna() & (score.available < closing[k])).to_numpy()
+        y = score.y.to_numpy()
+        mask = served & closed
+        errors[k] = {a: np.abs(y[mask] - models[a][0][mask]).mean() for a in alphas} if mask.any() else None
+        held = {path: [v for j, path_, v in residuals if path_ == path and j < k] for path in ("model", "persistence")}
+        for i in range(len(score)):
+            path = "model" if served[i] else "persistence"
+            if served[i]:
+                value, outside, far = (v[i] for v in models[alpha])
+                if outside / max(1, np.isfinite(x[i]).sum()) > 0.2 or far > 8:
+                    value = np.nan
+            else:
+                value = score.previous.iloc[i] + (np.median(base) if len(base) else 0.0)
+            q = np.quantile(held[path], [0.1, 0.5, 0.9]) if held[path] else None
+            out[int(score.row.iloc[i])] = (cut, alpha, "earlier_folds" if means else "preregistered", path, value, q)
+            if closed[i] and np.isfinite(value):
+                residuals.append((k, path, y[i] - value))
+    return out
+
+
+@pytest.mark.parametrize("seed,cutoffs", [(3, [200, 400, 600, 800]), (4, [5, 300, 310, 700])])
+def test_nested_walk_forward_equals_naive_refits(spark, seed, cutoffs):
+    p = frame(seed)
+    alphas = [1.0, 30.0, 1000.0]
+    got = W.nested_walk_forward(table(spark, p), COLUMNS, "y", "origin", "available", "previous", cutoffs, 950, alphas, 30.0, levels=[0.1, 0.5, 0.9]).collect()
+    want = naive_nested(p, cutoffs, 950, alphas, 30.0)
+    assert sorted(r.row for r in got) == sorted(want)
+    for r in got:
+        cut, alpha, basis, path, value, q = want[r.row]
+        assert (r.cutoff, r.alpha, r.basis, r.path, r.status) == (cut, alpha, basis, path, "ok" if np.isfinite(value) else "abstain")
+        assert r.prediction is None and not np.isfinite(value) or r.prediction == pytest.approx(value, abs=1e-7)
+        assert (r.quants is None) == (q is None) and (q is None or np.allclose(r.quants, q, atol=1e-7))
+    assert {r.path for r in got} == {"model", "persistence"} and {r.status for r in got} == {"ok", "abstain"} and len({r.alpha for r in got}) > 1
+
+
+def test_later_labels_change_nothing_before_them(spark):
+    p = frame(5)
+    run = lambda d: {r.row: (r.cutoff, r.alpha, r.prediction, r.quants) for r in W.nested_walk_forward(
+        table(spark, d), COLUMNS, "y", "origin", "available", "previous", [300, 600], 900, [1.0, 1000.0], 30.0, levels=[0.5]).collect()}
+    spoiled = p.copy()
+    spoiled.loc[spoiled.available >= 600, "y"] += 1000.0
+    one, two = run(p), run(spoiled)
+    for row, (cut, alpha, value, q) in one.items():
+        assert two[row][:2] == (cut, alpha) and two[row][2] == (None if value is None else pytest.approx(value, abs=1e-7)) and (q is None or np.allclose(two[row][3], q))
+
+
+def test_prequential_equals_refits(spark):
+    p, cutoffs, spans = frame(6), [300, 420, 555, 800], {"all": None, "150": 150}
+    got = W.prequential(table(spark, p), COLUMNS, "y", "origin", "available", cutoffs, 950, spans, 10.0).collect()
+    assert len(got) == 2 * len(p[(p.origin >= 300) & (p.origin < 950) & p.y.notna()])
+    for label, span in spans.items():
+        for cut in cutoffs:
+            train = p[(p.available < cut) & (p.available >= (cut - span if span else -1)) & p.y.notna()]
+            score = refit(train[COLUMNS].to_numpy(float), train.y.to_numpy(), 10.0)
+            for r in [r for r in got if r.span == label and r.cutoff == cut]:
+                want = score(np.array([[np.nan if r[c] is None else r[c] for c in COLUMNS]]))[0][0]
+                assert r.prediction == pytest.approx(want, abs=1e-7) and r.median == pytest.approx(np.median(train.y)) and r.train_rows == len(train)
+
+
+def test_family_ablation_equals_refits(spark):
+    p, families = frame(7), {"core": ["a", "b"], "more": ["a", "b", "c"]}
+    got = {r.family: r for r in W.family_ablation(table(spark, p), families, "y", "origin", "available", 500, 900, 3.0, ["a", "b"], "previous").collect()}
+    train = p[(p.available < 500) & p.y.notna()]
+    val = p[(p.origin >= 500) & (p.available < 900) & p.y.notna()]
+    common = (np.isfinite(val[["a", "b"]]).mean(axis=1) >= 0.8) & val.previous.notna()
+    for family, own in families.items():
+        pred = refit(train[own].to_numpy(float), train.y.to_numpy(), 3.0)(val[own].to_numpy(float))[0]
+        e = np.abs(val.y - pred)
+        r = got[family]
+        assert (r.n, r.common_n, r.features) == (len(val), common.sum(), len(own))
+        assert r.mae == pytest.approx(e.mean()) and r.common_mae == pytest.approx(e[common].mean()) and r.previous_mae == pytest.approx(np.abs(val.y - val.previous)[common].mean())
+
+
+@pytest.mark.parametrize("seed,least,tolerance", [(8, 0.2, 1.03), (9, 0.2, 5.0), (9, 0.9, 5.0), (10, 0.0, 1.0)])
+def test_filter_selection_equals_refits(spark, seed, least, tolerance):
+    rng = np.random.default_rng(seed)
+    p = frame(seed)
+    p["y"], p["base"], p["quiet"] = p.y / 10, 2 + rng.normal(size=len(p)) / 5, rng.random(len(p)) < 0.5
+    p.loc[~p.quiet, "y"] += rng.normal(size=(~p.quiet).sum())
+    folds, cutoff, alphas = [(300, 500), (500, 800)], 850, [1.0, 30.0, 3000.0]
+    d = table(spark, p.drop(columns="quiet").rename(columns={"base": "_base"}).drop(columns="_base")).join(
+        spark.createDataFrame(p[["row", "base", "quiet"]]), "row")
+    got = {(r.training_filter, r.alpha): r for r in W.select_filter(d, COLUMNS, "y", "base", "origin", "available", "quiet", folds, cutoff, alphas, least, tolerance).collect()}
+    known, want = p[p.y.notna()], {}
+    for name in ("all", "quiet"):
+        for alpha in alphas:
+            per = []
+            for a, b in folds:
+                train = known[(known.available < a) & (known.quiet | (name == "all"))]
+                val = known[(known.origin >= a) & (known.origin < b) & (known.available < b)]
+                e = np.abs(np.exp(val.base + val.y) - np.exp(val.base + refit(train[COLUMNS].to_numpy(float), train.y.to_numpy(), alpha)(val[COLUMNS].to_numpy(float))[0]))
+                per.append((e.mean(), e[val.quiet].mean()))
+            want[name, alpha] = np.mean(per, axis=0)
+    best = {"all": min(alphas, key=lambda a: want["all", a][0]), "quiet": min(alphas, key=lambda a: want["quiet", a][1])}
+    a, q = want["all", best["all"]], want["quiet", best["quiet"]]
+    fraction = known[known.available < cutoff].quiet.mean()
+    pick = "quiet" if fraction >= least and q[1] <= a[1] and q[0] <= tolerance * a[0] else "all"
+    for key, r in got.items():
+        assert np.allclose([r.mean_mae_all, r.mean_mae_quiet], want[key], atol=1e-8) and r.quiet_fraction == pytest.approx(fraction)
+        assert r.best == (best[key[0]] == key[1]) and r.chosen == (r.best and key[0] == pick)
+    assert len(got) == 6
+    with pytest.raises(ValueError):
+        W.select_filter(d, COLUMNS, "y", "base", "origin", "available", "quiet", folds, 700, alphas)
