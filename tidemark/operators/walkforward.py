@@ -300,3 +300,104 @@ def select_filter(frame: DataFrame, columns: Sequence[str], y: str, base: str, o
     out = scores.join(F.broadcast(both))
     best = F.coalesce(F.col("alpha") == F.when(F.col("training_filter") == "all", F.col("_a")).otherwise(F.col("_q")), F.lit(False))
     return out.withColumn("best", best).withColumn("chosen", F.col("best") & (F.col("training_filter") == F.col("_pick"))).drop("_own", "_a", "_q", "_pick")
+
+
+def challenge(frame: DataFrame, families: Mapping[str, Sequence[str]], alphas: Sequence[float], incumbents: Sequence[tuple[str, float]], y: str, origin: str, available: str,
+              periods: Sequence[tuple[int, int]], max_missing: float = 0.34, max_outside: float = 0.20, max_far: float = 8.0, gain: float = 0.98, rmse_room: float = 1.05,
+              per_range: int = PER_RANGE) -> DataFrame:
+    """A frozen choice carried through three disjoint periods; y is a log value, errors are of its exp.
+
+    Candidates are (family, alpha). Each period is predicted by models of the labels out before its start, on rows whose label was out before
+    its end. The first period selects: the winner has the least error on accepted rows, the incumbent the least log error among
+    `incumbents`. The second confirms: the winner is promoted if its error is at most `gain` and its root mean square
+    at most `rmse_room` times the incumbent's there; residual quantiles are taken there, too. The third is only reported.
+    One row per (period, candidate): n, accepted, mae, rmse, log_mae, winner, incumbent, selected, and for the
+    selected one in the third period coverage_80 of its interval.
+    """
+    from .quantiles import quantiles
+
+    (a0, b0), (a1, b1), (a2, b2) = [(int(a), int(b)) for a, b in periods]
+    if not a0 < b0 <= a1 < b1 <= a2 < b2:
+        raise ValueError("periods overlap or are out of order")
+    columns = list(dict.fromkeys(x for own in families.values() for x in own))
+    models = staged(fit_windows(frame, columns, y, available, [(BEGIN, a) for a, _ in periods], alphas, families, per_range=per_range))
+    spans = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.lit(k).cast("long").alias("k")) for k, (a, b) in enumerate(periods)])
+    inside = F.filter(spans, lambda s: (F.col(origin) >= s["a"]) & (F.col(origin) < s["b"]) & (F.col(available) < s["b"]))
+    d = frame.filter(C.finite(F.col(y).cast("double")).isNotNull()).withColumn("period", F.get(inside, F.lit(0))["k"]).filter("period IS NOT NULL")
+    d = with_models(d, models, "period", columns)
+    known = F.size(F.filter("_x", lambda v: v.isNotNull()))
+    d = d.withColumn("_enough", known_share(columns) >= 1 - max_missing).withColumn("_known", F.greatest(F.lit(1), known))
+    e = staged(d.select("period", F.col(y).alias("_y"), "_enough", "_known", F.inline("_models")))
+    fine = F.col("_enough") & (F.col("outside") / F.col("_known") <= max_outside) & (F.col("far") <= max_far)
+    error = F.when(fine, F.exp("_y") - F.exp("prediction"))
+    stats = staged(e.groupBy("period", "family", "alpha").agg(
+        F.count("*").alias("n"), F.count_if(fine).alias("accepted"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"),
+        F.avg(F.when(fine, F.abs(F.col("_y") - F.col("prediction")))).alias("log_mae")))
+    # 2 x candidates rows; the third period's are not read before the choice is made
+    seen = {(r.period, r.family, r.alpha): r for r in stats.filter("period < 2 AND mae IS NOT NULL").collect()}
+    first = [k for k in seen if k[0] == 0]
+    if not first:
+        raise ValueError("no candidate can be scored in the first period")
+    order = {name: k for k, name in enumerate(families)}
+    winner = min(first, key=lambda k: (seen[k].mae, order[k[1]], k[2]))[1:]
+    held = [k for k in first if (k[1], k[2]) in {(f, float(a)) for f, a in incumbents}]
+    incumbent = min(held, key=lambda k: (seen[k].log_mae, order[k[1]], k[2]))[1:] if held else winner
+    w, b = seen.get((1, *winner)), seen.get((1, *incumbent))
+    promoted = w is not None and b is not None and w.mae <= gain * b.mae and w.rmse <= rmse_room * b.rmse
+    chosen = winner if promoted else incumbent
+    is_one = lambda c: (F.col("family") == c[0]) & (F.col("alpha") == c[1])
+    own = e.filter(is_one(chosen) & fine)
+    q = quantiles(own.filter("period = 1").select("period", (F.col("_y") - F.col("prediction")).alias("r")), ["period"], "r", [0.1, 0.9], ["lo", "hi"], per_range).select("lo", "hi")
+    gap = F.col("_y") - F.col("prediction")
+    coverage = own.filter("period = 2").join(F.broadcast(q)).agg(F.avg(gap.between(F.col("lo"), F.col("hi")).cast("double")).alias("coverage_80"))  # one row each
+    out = stats.join(F.broadcast(coverage))
+    return out.withColumn("coverage_80", F.when((F.col("period") == 2) & is_one(chosen), F.col("coverage_80"))).withColumn("winner", is_one(winner)).withColumn(
+        "incumbent", is_one(incumbent)).withColumn("selected", is_one(chosen))
+
+
+def anomaly_model(df: DataFrame, keys: Sequence[str], columns: Sequence[str], when: str, folds: Sequence[tuple[int, int]], end: int, least_fit: int = 200,
+                  least_score: int = 50, per_range: int = PER_RANGE) -> tuple[DataFrame, DataFrame]:
+    """(models, evidence) of a robust distance whose thresholds come from rows that were not fitted.
+
+    models, per key with at least least_fit complete rows before ``end``: location, precision and scale of the trimmed core of those rows,
+    train_rows, attention and high (the 95 % and 99 % quantiles of the squared distance), basis. For each fold ending by
+    ``end`` with enough rows, a model of the complete rows before its start scores the fold's rows; the thresholds are
+    quantiles of all these distances together, or of the training rows' own where no fold serves. evidence holds (fold, rows, q95, q99).
+    """
+    from .fit import mahalanobis, robust_model
+    from .quantiles import quantiles
+
+    keys, columns = list(keys), list(columns)
+    complete = staged(df.select(*keys, F.col(when).alias("_t"), *[C.finite(F.col(x).cast("double")).alias(x) for x in columns]).dropna(subset=columns).filter(F.col("_t") < int(end)))
+    spans = [(k, int(a), int(b)) for k, (a, b) in enumerate(folds) if b <= end]
+    whole = len(folds)  # the number of the model of all rows
+    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).cast("long").alias("a")) for k, a, _ in [*spans, (whole, int(end), None)]])
+    fit = complete.withColumn("fold", F.explode(F.transform(F.filter(table, lambda s: F.col("_t") < s["a"]), lambda s: s["k"])))
+    sizes = fit.groupBy(*keys, "fold").agg(F.count("*").alias("train_rows")).filter(F.col("train_rows") >= least_fit)
+    models = staged(robust_model(fit, [*keys, "fold"], columns).drop("rows").join(sizes, [*keys, "fold"]))
+    held = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for k, a, b in spans or [(-1, 0, 0)]])
+    scored = complete.withColumn("fold", F.explode(F.transform(F.filter(held, lambda s: (F.col("_t") >= s["a"]) & (F.col("_t") < s["b"])), lambda s: s["k"])))
+    d2 = mahalanobis(columns)[0]
+    out = staged(scored.join(models, [*keys, "fold"]).select(*keys, "fold", d2.alias("d2")))
+    served = out.groupBy(*keys, "fold").agg(F.count("*").alias("rows")).filter(F.col("rows") >= least_score)
+    out = out.join(served.drop("rows"), [*keys, "fold"])
+    evidence = served.join(quantiles(out, [*keys, "fold"], "d2", [0.95, 0.99], ["q95", "q99"], per_range), [*keys, "fold"])
+    final = models.filter(F.col("fold") == whole).drop("fold")
+    own = complete.join(final, keys).select(*keys, d2.alias("d2"))
+    levels = quantiles(out, keys, "d2", [0.95, 0.99], ["attention", "high"], per_range)
+    inside = quantiles(own, keys, "d2", [0.95, 0.99], ["_attention", "_high"], per_range)
+    final = final.join(levels, keys, "left").join(inside, keys)
+    basis = F.when(F.col("high").isNull(), "in_sample").otherwise("out_of_sample")
+    return final.withColumn("basis", basis).withColumn("attention", F.coalesce("attention", "_attention")).withColumn("high", F.coalesce("high", "_high")).drop("_attention", "_high"), evidence
+
+
+def anomaly_class(df: DataFrame, models: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """df with d2, part_x (each column's share of it) and anomaly: normal, attention or high; null where a column is unknown."""
+    from .fit import mahalanobis
+
+    d = df.join(models.select(*keys, "location", "precision", "attention", "high"), list(keys), "left")
+    total, parts = mahalanobis([f"_c_{x}" for x in columns])
+    d = d.withColumns({f"_c_{x}": C.finite(F.col(x).cast("double")) for x in columns}).withColumn("d2", total)
+    d = d.withColumns({f"part_{x}": p for x, p in zip(columns, parts)})
+    kind = F.when(F.col("d2") > F.col("high"), "high").when(F.col("d2") > F.col("attention"), "attention").when(F.col("d2").isNotNull(), "normal")
+    return d.withColumn("anomaly", kind).drop("location", "precision", "attention", "high", *[f"_c_{x}" for x in columns])

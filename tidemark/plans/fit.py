@@ -86,7 +86,7 @@ def dated(spark, sf):
     return d.withColumn("origin", C.micros("l_shipdate")).withColumn("available", F.col("origin") + 30 * D)
 
 
-@query("alpha_selection", "M7 M15")
+@query("alpha_selection", "M7")
 def _(spark, sf):
     d = dated(spark, sf)
     cuts = [us(x) for x in CUTS]
@@ -97,13 +97,13 @@ def _(spark, sf):
     return round_all(M_.select_alpha(p, ["model"], "fold", F.abs(F.col("y") - F.col("prediction"))), 6)
 
 
-@query("walk_forward", "M16 M20")
+@query("walk_forward", "M8")
 def _(spark, sf):
     p = M_.walk_forward(dated(spark, sf), XS, "y", "origin", "available", [us(x) for x in CUTS], us("2002-01-01 00:00:00"), preregistered=100.0)
     return round_all(p.groupBy("cutoff", "alpha", "basis").agg(F.count("*").alias("rows"), F.avg(F.abs(F.col("y") - F.col("prediction"))).alias("mae")), 6)
 
 
-@query("lab_walk_forward", "M16 M1 M22")
+@query("lab_walk_forward", "M1")
 def _(spark, sf):
     s, l = staged_series(spark, sf)
     o = l.select((F.col("t") - 60 * M).alias("origin"))
@@ -254,7 +254,7 @@ def _(spark, sf):
     return round_all(out.withColumn("promoted", F.col("brier") <= 0.98 * F.col("base") * (1 - F.col("base"))), 4)
 
 
-@query("challenger_models", "M19 M31")
+@query("challenger_models", "M19")
 def _(spark, sf):
     d = lines(spark, sf).select(*[F.coalesce(x, F.lit(0.0)).alias(x) for x in XS], "y", C.micros("l_shipdate").alias("t"))
     train, test = d.filter(F.col("t") < us("1999-01-01 00:00:00")), d.filter(F.col("t") >= us("1999-01-01 00:00:00"))

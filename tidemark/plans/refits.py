@@ -12,7 +12,7 @@ from ..operators.fit import ALPHAS
 from ..operators.stage import staged
 from .adapter import ANALYSER
 from .features import ANALYSERS, CONTROL_MAP, DYN_COLUMNS, FEATURE_COLUMNS, staged_series
-from .fit import dated
+from .fit import XS, dated
 from .registry import query
 from .series import round_all, us
 
@@ -80,3 +80,24 @@ def _(spark, sf):
     folds = list(zip(WEEKS[:-1], WEEKS[1:]))
     out = W.select_filter(d, DYN_COLUMNS, "y", "ln_pa_raw", "origin", "available", "quiet", folds, WEEKS[-1], ALPHAS[:8])
     return round_all(out, 4)
+
+
+CHALLENGERS = {"core": CORE, "analysers": FAMILIES["analysers"], "everything": FEATURE_COLUMNS}
+
+
+@query("challenger_protocol", "M22")
+def _(spark, sf):
+    periods = [(WEEKS[0], WEEKS[1]), (WEEKS[1], WEEKS[2]), (WEEKS[2], CLOSE)]
+    alphas = [30.0, 300.0, 3000.0, 30000.0]  # 12 candidates; the four core ones are incumbents
+    d = W.challenge(lab_frame(spark, sf), CHALLENGERS, alphas, [("core", a) for a in alphas], "y", "origin", "available", periods)
+    return round_all(d, 4)
+
+
+@query("anomaly_out_of_sample", "M17")
+def _(spark, sf):
+    d = dated(spark, sf).select("model", "quantity", "discount", F.coalesce("tax", F.lit(0.04)).alias("tax"), "origin")
+    folds = [(us(f"{y}-01-01 00:00:00"), us(f"{y + 1}-01-01 00:00:00")) for y in (1996, 1997, 1998, 1999)]
+    models, evidence = W.anomaly_model(d, ["model"], XS, "origin", folds, us("2000-01-01 00:00:00"))
+    c = W.anomaly_class(d, models, ["model"], XS).groupBy("model").agg(F.count("*").alias("rows"), *[F.count_if(F.col("anomaly") == k).alias(k + "_rows") for k in ("normal", "attention", "high")])
+    folds = evidence.groupBy("model").agg(F.count("*").alias("folds"), F.sum("rows").alias("scored"), F.max("q99").alias("largest_q99"))
+    return round_all(models.select("model", "train_rows", "attention", "high", "basis").join(folds, "model").join(c, "model"), 4)

@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import columns as C
 from ..operators.stage import run_folder
@@ -67,26 +67,64 @@ def lab_analyser_join(labs: DataFrame, analyser: DataFrame, back: int = 10 * C.M
     return l.join(a, (l["slot"] == a["slot"]) & near).drop("slot")
 
 
-def flatline_alarm(obs: DataFrame, hold: int = 6 * C.HOUR, gap: int = 20 * C.MINUTE) -> DataFrame:
-    """Rows on a run of equal values already ``hold`` long; the state per metric is the run start and the last reading.
+class FlatRuns(StatefulProcessor):
+    """Per metric: rows the watermark hasn't passed yet, and the run that the passed rows end in.
 
-    A micro-batch is bounded by the source's trigger limits; the state is four numbers per metric.
+    Rows wait until they are final, so neither their order of arrival nor the cut into micro-batches matters. The buffer holds one
+    delay's rows of a metric; an event-time timer stands at the earliest of them.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, last_t, last_v = state.get if state.exists else (None, None, None)
-        rows = pd.concat(list(batches)).sort_values(["t", "source_row"])
-        new = rows["value"].ne(rows["value"].shift()) | rows["t"].diff().gt(gap)
-        first = rows.iloc[0]
-        new.iloc[0] = start is None or first["value"] != last_v or first["t"] - last_t > gap
-        run = rows["t"].where(new).ffill()
-        run = run.fillna(start) if start is not None else run
-        state.update((int(run.iloc[-1]), int(rows["t"].iloc[-1]), float(rows["value"].iloc[-1])))
-        hit = rows[(rows["t"] - run >= hold) & ~new]
-        yield pd.DataFrame({"metric_id": key[0], "t": hit["t"], "source_row": hit["source_row"], "run_start": run[hit.index].astype("int64")})
-
-    return obs.select("metric_id", "t", "source_row", "value").groupBy("metric_id").applyInPandasWithState(
-        step, "metric_id string, t long, source_row long, run_start long", "run_start long, last_t long, last_v double", "append", GroupStateTimeout.NoTimeout)
+    def __init__(self, hold: int, gap: int):
+        self.hold, self.gap = hold, gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ms long, t long, source_row long, value double")
+        self.run = handle.getValueState("run", "run_start long, last_t long, last_v double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for pdf in rows:
+            new = pdf[["ms", "t", "source_row", "value"]].dropna(subset=["value"])
+            if len(new):
+                self.waiting.appendList([(int(r.ms), int(r.t), int(r.source_row), float(r.value)) for r in new.itertuples(index=False)])
+                self.handle.registerTimer(int(new["ms"].min()))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(self.waiting.get(), key=lambda r: (r[1], r[2]))
+        later = [r for r in rows if r[0] > mark]
+        start, last_t, last_v = self.run.get() if self.run.exists() else (None, None, None)
+        hits = []
+        for ms, t, row, v in rows:
+            if ms > mark:
+                continue
+            if start is None or v != last_v or t - last_t > self.gap:
+                start = t
+            elif t - start >= self.hold:
+                hits.append((key[0], t, row, start))
+            last_t, last_v = t, v
+        if start is not None:
+            self.run.update((start, last_t, last_v))
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(min(r[0] for r in later))
+        else:
+            self.waiting.clear()
+        yield pd.DataFrame(hits, columns=["metric_id", "t", "source_row", "run_start"])
+
+    def close(self) -> None:
+        pass
+
+
+def flatline_alarm(obs: DataFrame, hold: int = 6 * C.HOUR, gap: int = 20 * C.MINUTE, delay: str = "1 hour") -> DataFrame:
+    """Rows on a run of equal values already ``hold`` long, each once the watermark has passed it; rows up to ``delay`` late count.
+
+    Runs in append mode with the RocksDB state store (see :func:`drain`). Rows without a value are no readings.
+    """
+    rows = clocked(obs, delay).select("metric_id", "timestamp", F.unix_millis("timestamp").alias("ms"), "t", "source_row", F.col("value").cast("double").alias("value"))
+    return rows.groupBy("metric_id").transformWithStateInPandas(
+        FlatRuns(hold, gap), "metric_id string, t long, source_row long, run_start long", "append", "eventTime")
 
 
 def idempotent_append(path: str, keys: Sequence[str], time: str = "timestamp"):
@@ -111,16 +149,31 @@ def idempotent_append(path: str, keys: Sequence[str], time: str = "timestamp"):
     return write
 
 
-def drain(df: DataFrame, mode: str = "append", writer=None) -> str:
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drain(df: DataFrame, mode: str = "append", writer=None, store: str | None = None) -> str:
     """Run the stream over everything available and return the folder of its output table.
 
-    The default writer keeps one folder per micro-batch, so a retried batch replaces its own output.
+    The default writer keeps one folder per micro-batch, so a retried batch replaces its own output. ``store`` names the
+    state store for this query (ROCKSDB for arbitrary state); the session's own setting comes back.
     """
-    folder = run_folder(df.sparkSession, "stream")
+    spark = df.sparkSession
+    folder = run_folder(spark, "stream")
     out = f"{folder}/table"
     write = writer(out) if writer else (lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{out}/batch={epoch}"))
-    query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
+    before = spark.conf.get(STORE, None)
+    if store:
+        spark.conf.set(STORE, store)
+    try:
+        query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).foreachBatch(write).start()
+        query.awaitTermination()
+    finally:
+        if store and before:
+            spark.conf.set(STORE, before)
+        elif store:
+            spark.conf.unset(STORE)
     return out
 
 
