@@ -238,7 +238,7 @@ def _(spark, sf):
     return d.groupBy("model").agg(F.count("*").alias("n"), rounded(F.avg(M_.mahalanobis(["a", "b"])[0]), 9).alias("mean_d2"))
 
 
-@query("logistic_risk", "M18")
+@query("logistic_risk", "M8")
 def _(spark, sf):
     d = lines(spark, sf).select("model", *[F.coalesce(x, F.lit(0.0)).alias(x) for x in XS], (F.col("y") > 10.5).cast("double").alias("event"), (C.micros("l_shipdate") < us("1999-01-01 00:00:00")).alias("fit"))
     wide = M_.support_wide(M_.support(d.withColumn("k", F.lit(0)), ["k"], XS), ["k"], XS)

@@ -101,3 +101,10 @@ def _(spark, sf):
     c = W.anomaly_class(d, models, ["model"], XS).groupBy("model").agg(F.count("*").alias("rows"), *[F.count_if(F.col("anomaly") == k).alias(k + "_rows") for k in ("normal", "attention", "high")])
     folds = evidence.groupBy("model").agg(F.count("*").alias("folds"), F.sum("rows").alias("scored"), F.max("q99").alias("largest_q99"))
     return round_all(models.select("model", "train_rows", "attention", "high", "basis").join(folds, "model").join(c, "model"), 4)
+
+
+@query("logistic_protocol", "M18")
+def _(spark, sf):
+    from ..operators.logistic import risk_protocol
+    d = risk_protocol(lab_frame(spark, sf), FEATURE_COLUMNS, "y", 4.605170185988092, "origin", "available", [(WEEKS[0], WEEKS[1]), (WEEKS[1], WEEKS[2])])
+    return round_all(d, 4)
