@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import columns as C
 from tidemark.operators import features as X
 from tidemark.operators import process as P
+from tidemark.operators import history as H
 from tidemark.sources import formulas as FM
 
 AN, CT = {"q": "q21", "pk": "pak"}, {"T": "T6", "F": "F9", "P": "P13"}
@@ -101,3 +102,57 @@ def test_step_response_recovers_sign_and_lag(spark):
         e = P.step_events(d, "s", {"T": (3.0, False), "F": (8.0, True), "P": (0.15, False)}, X.in_regime({"T": (320, 500)}), merged=merged)
         r = P.response_summary(e).filter("control = 'T'").first()
         assert r.events == (4 if merged else 24) and r.coefficient == pytest.approx(-0.02, abs=2e-3)
+
+
+def history_case():
+    rng = np.random.default_rng(3)
+    o = np.unique(rng.choice(60 * 24, 25)) * C.HOUR
+    rows = pd.DataFrame({"metric_id": rng.choice(["a", "c", "lab", "other"], 900), "t": rng.integers(-200, 60 * 24 + 50, 900) * C.HOUR, "value": rng.normal(1, 1, 900)})
+    rows["flags"], rows["source_row"] = np.where(rng.random(900) < 0.1, "invalid", ""), np.arange(900)
+    sources = {"analysers": H.Source(["a"], 20 * C.HOUR), "controls": H.Source(["c"], 3 * C.HOUR), "labs": H.Source(["lab"], 30 * C.HOUR, 4 * C.HOUR, True, 0.0)}
+    return o, rows, sources
+
+
+@pytest.mark.parametrize("pieces", [1, 3, 64])
+def test_bounded_history_equals_a_load_per_origin(spark, pieces):
+    o, rows, sources = history_case()
+    d = spark.createDataFrame(rows)
+    asked = []
+
+    def read(ranges):
+        asked.append(ranges)
+        assert len(ranges) <= pieces and all(b < c for (_, b), (c, _) in zip(ranges, ranges[1:]))
+        return d.filter(" OR ".join(f"t BETWEEN {a} AND {b}" for a, b in ranges))
+
+    batch = spark.createDataFrame([(int(x),) for x in [*o, *o[:3]]] + [(None,)], "origin long")
+    got = {(r.source, r.metric_id, r.t): (r.value, r.first_origin) for r in H.bounded_history(read, batch, sources, pieces=pieces).collect()}
+    want = {}
+    for name, s in sources.items():
+        ok = rows[rows.metric_id.isin(s.metrics) & (rows["flags"] == "") & (rows.value >= (-9 if s.lowest is None else s.lowest))]
+        for r in ok.sort_values("source_row").itertuples():
+            seen = [x for x in o if r.t + s.delay <= x and (x - r.t <= s.age if s.closed else x - r.t < s.age)]
+            if seen:
+                want[name, r.metric_id, r.t] = (r.value, min(seen))
+    assert got == want and len(want) > 50
+    exact = H.read_ranges(batch, "origin", 3 * C.HOUR)
+    covered = sum(b - a for a, b in exact)
+    assert covered < sum(b - a for a, b in H.read_ranges(batch, "origin", 3 * C.HOUR, pieces=2))
+
+
+def test_bounded_history_without_origins(spark):
+    _, rows, sources = history_case()
+    empty = spark.createDataFrame([], "origin long")
+    assert H.read_ranges(empty, "origin", C.DAY) == []
+    d = spark.createDataFrame(rows)
+    assert H.bounded_history(lambda ranges: d.filter(H.in_ranges("x", ranges)), empty, sources).count() == 0
+
+
+def test_history_ranges_reach_the_files(spark, tmp_path):
+    path = str(tmp_path / "events")
+    spark.sql("SELECT timestamp_add(HOUR, id, TIMESTAMP_NTZ'2024-01-01') AS ts, id FROM range(1000)").write.parquet(path)
+    at = lambda h: 1704067200 * C.SECOND + h * C.HOUR
+    d = spark.read.parquet(path).filter(H.in_ranges("ts", [(at(3), at(5)), (at(100), at(101))]))
+    plan = d._jdf.queryExecution().toString()
+    pushed = plan[plan.index("PushedFilters"):].split("ReadSchema")[0]
+    assert pushed.count("GreaterThanOrEqual") == 2 and pushed.count("LessThanOrEqual") == 2
+    assert sorted(r.id for r in d.collect()) == [3, 4, 5, 100, 101]

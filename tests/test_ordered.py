@@ -82,6 +82,25 @@ def test_range_frame(spark):
         assert r["n"] == len(part) and (r["m"] == part.value.max() if len(part) else r["m"] is None)
 
 
+@pytest.mark.parametrize("width", [7 * MIN, 40 * MIN, 50 * MIN + 1, 10_000 * MIN])
+@pytest.mark.parametrize("lo,hi", [(-90 * MIN, 30 * MIN), (0, 60 * MIN), (-MIN, 0), (-500 * MIN, -100 * MIN)])
+def test_window_merge_equals_brute_force(spark, width, lo, hi):
+    s = skewed(17, 500)
+    s.loc[s.index % 9 == 0, "value"] = np.nan
+    s["value"] = s["value"].astype(object).where(s["value"].notna(), None)
+    rows = spark.createDataFrame([tuple(r) for r in s[["k", "t", "value"]].itertuples(index=False)], "k long, t long, value double")
+    o = pd.DataFrame({"k": [i % 4 for i in range(60)], "o": (np.arange(60) * 53 + 3) * MIN})
+    o = pd.concat([o, pd.DataFrame({"k": s.k[:20], "o": s.t[:20] - hi})]).drop_duplicates()
+    got = T.window_merge(spark.createDataFrame(o), rows, ["k"], "o", "t", lo, hi, {
+        "top": ("max", "value"), "low": ("min", "value"), "n": ("count", "value"), "total": ("sum", "value"), "last": ("max", "t")}, width).collect()
+    assert len(got) == len(o)
+    for r in got:
+        part = s[(s.k == r["k"]) & (s.t > r["o"] + lo) & (s.t <= r["o"] + hi)]
+        known = part.value.dropna().astype(float)
+        assert r["n"] == len(known) and r["last"] == (part.t.max() if len(part) else None)
+        assert (r["top"], r["low"], r["total"]) == ((known.max(), known.min(), known.sum()) if len(known) else (None, None, None))
+
+
 @pytest.mark.parametrize("per_range", [20, 10**9])
 def test_quantiles_exact_for_any_ranges(spark, per_range):
     rng = np.random.default_rng(0)

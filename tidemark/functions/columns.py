@@ -6,6 +6,7 @@ it stays inside whole-stage code generation.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, SparkSession
@@ -57,6 +58,11 @@ def from_micros(t: Column | str) -> Column:
     return F.timestamp_add("MICROSECOND", c(t), F.expr(EPOCH))
 
 
+def ntz_literal(micros: int) -> Column:
+    """The TIMESTAMP_NTZ at that clock, folded to a constant: a comparison with it reaches the files."""
+    return F.expr(f"TIMESTAMP_NTZ'{datetime(1970, 1, 1) + timedelta(microseconds=micros)}'")
+
+
 def drawn(n: Column, *keys: str) -> Column:
     """A number in 0..n-1 drawn independently for each combination of keys: 60 bits of an MD5 modulo n."""
     text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])

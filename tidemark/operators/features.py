@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from .ordered import islands, trailing
-from .timejoin import asof, published_asof, range_frame, window_means
+from .timejoin import asof, published_asof, range_frame, window_means, window_merge
 
 FRESH = 30 * C.MINUTE
 
@@ -176,8 +176,8 @@ def quiet_path(origins: DataFrame, series: DataFrame, metric: str, horizon: int,
     rows = neighbour(rows, ["_k"], "t", [], [], width, "prev").withColumn("gap", F.col("t") - F.col("prev.t")).drop("_chunk", "prev")
     o = origins.select("origin").distinct().withColumn("_k", F.lit(0))
     ref = asof(o, rows, ["_k"], "origin", "t", ["x"], [], max_gap, width, "ref")
-    path = range_frame(o, rows, ["_k"], "origin", "t", ["x", "gap"], 0, horizon, {
-        "hi": F.max("x"), "lo": F.min("x"), "n": F.count("x"), "gap_max": F.max("gap"), "last_t": F.max(F.when(F.col("x").isNotNull(), F.col("_t")))}, width)
+    path = window_merge(o, rows, ["_k"], "origin", "t", 0, horizon, {
+        "hi": ("max", "x"), "lo": ("min", "x"), "n": ("count", "x"), "gap_max": ("max", "gap"), "last_t": ("max", "t")}, width)
     d = ref.join(path, ["_k", "origin"])
     quiet = (
         F.col("ref").isNotNull() & (F.col("n") > 0) & (F.greatest(F.col("hi") - F.col("ref.x"), F.col("ref.x") - F.col("lo")) < limit)

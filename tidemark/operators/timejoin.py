@@ -142,3 +142,59 @@ def range_frame(origins: DataFrame, series: DataFrame, keys: Sequence[str], on:
     for name, e in aggs.items():
         u = u.withColumn(name, e.over(w))
     return u.filter(F.col(on).isNotNull()).select(*keys, on, *aggs)
+
+
+MERGE = {"max": (F.max, F.greatest), "min": (F.min, F.least), "sum": (F.sum, None), "count": (F.count, None)}
+
+
+def window_merge(origins: DataFrame, series: DataFrame, keys: Sequence[str], on: str, t: str, lo: int, hi: int,
+                 aggs: Mapping[str, tuple[str, Column | str]], width: int = DAY) -> DataFrame:
+    """``aggs[name] = (max | min | sum | count, column)`` over series rows in ``(on + lo, on + hi]`` per distinct (keys, on).
+
+    Chunks are no longer than the window, so a window is the rest of one chunk after its lower edge, whole chunks, and
+    the start of another up to its upper edge.  Each part is a running aggregate read at an edge, or comes from one
+    summary row per chunk; no row is copied or aggregated per origin.  Empty windows give NULL, counts 0.
+    """
+    if hi <= lo:
+        raise ValueError("an empty window")
+    pieces = -(-(hi - lo) // width)
+    width = (hi - lo) // pieces
+    names = list(aggs)
+    rows = series.select(*keys, F.col(t).alias("_t"), F.lit(0).alias("_side"), *[(F.col(x) if isinstance(x, str) else x).alias(n) for n, (_, x) in aggs.items()])
+    edges = origins.select(*keys, on).distinct().withColumn("_low", F.explode(F.array(F.lit(True), F.lit(False))))
+    edges = edges.withColumn("_t", F.col(on) + F.when(F.col("_low"), lo).otherwise(hi)).withColumn("_side", F.lit(1))
+    u = edges.unionByName(rows, allowMissingColumns=True).withColumn(CHUNK, bucket("_t", width))
+    upto = local(keys, "_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    # Descending, because a frame that ends with the partition is aggregated anew for every row.
+    after = local(keys, F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    run = {n: MERGE[kind][0] for n, (kind, _) in aggs.items()}
+    u = u.select("*", *[run[n](n).over(upto).alias(f"_u_{n}") for n in names])
+    u = u.select("*", *[run[n](n).over(after).alias(f"_a_{n}") for n in names]).filter("_side = 1")
+    g = u.groupBy(*keys, on).agg(
+        *[F.max(F.when(F.col("_low"), F.col(f"_a_{n}"))).alias(f"_a_{n}") for n in names],
+        *[F.max(F.when(~F.col("_low"), F.col(f"_u_{n}"))).alias(f"_u_{n}") for n in names])
+    a, b = bucket(F.col(on) + lo, width), bucket(F.col(on) + hi, width)
+    parts = ["_a_", "_u_"]
+    if pieces > 1:
+        # Between the edges' chunks lie pieces - 1 or pieces whole chunks.
+        again = {n: (F.sum if kind == "count" else MERGE[kind][0]) for n, (kind, _) in aggs.items()}
+        whole = rows.withColumn(CHUNK, bucket("_t", width)).groupBy(*keys, CHUNK).agg(*[run[n](n).alias(n) for n in names])
+        seen = g.select(*keys, a.alias(CHUNK)).distinct()
+        along = Window.partitionBy(*keys).orderBy(CHUNK)
+        m = whole.unionByName(seen.withColumn("_want", F.lit(True)), allowMissingColumns=True)
+        spans = {f"_m{p}_": along.rangeBetween(1, p) for p in (pieces - 1, pieces) if p}
+        m = m.select(*keys, CHUNK, "_want", *[again[n](n).over(w).alias(f"{p}{n}") for p, w in spans.items() for n in names]).filter("_want").drop("_want")
+        g = g.withColumn(CHUNK, a).join(m, [*keys, CHUNK], "left")
+        for n in names:
+            g = g.withColumn(f"_m_{n}", F.when(b - a > pieces, F.col(f"_m{pieces}_{n}")).otherwise(F.col(f"_m{pieces - 1}_{n}")))
+        parts.append("_m_")
+    out = []
+    for n, (kind, _) in aggs.items():
+        cells = [F.col(f"{p}{n}") for p in parts]
+        if MERGE[kind][1] is not None:
+            value = MERGE[kind][1](*cells)
+        else:
+            total = sum((F.coalesce(c, F.lit(0)) for c in cells[1:]), F.coalesce(cells[0], F.lit(0)))
+            value = total if kind == "count" else F.when(F.coalesce(*cells).isNotNull(), total)
+        out.append(value.alias(n))
+    return g.select(*keys, on, *out)

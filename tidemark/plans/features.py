@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import features as X
 from ..operators import timejoin as TJ
+from ..operators.history import bounded_history, in_ranges, runtime_sources
 from ..operators.stage import staged
-from .adapter import ANALYSER, LAB, OBS, SECOND_ANALYSER, obs, one_per_time, ts_text
+from .adapter import ANALYSER, LAB, OBS, SECOND_ANALYSER, from_events, obs, one_per_time, table, ts_text
 from .registry import query, rounded
 from .series import round_all
 
@@ -74,7 +75,7 @@ def _(spark, sf):
     return j.filter("hit is not null").select(C.from_micros("origin").alias("origin"), rounded(F.col("hit.value")).alias("value"), F.col("hit.t").alias("t"))
 
 
-@query("published_lab_asof", "J2 S17", OBS + f""", lab AS (SELECT t, value FROM clean WHERE metric_id = '{LAB}'),
+@query("published_lab_asof", "J2", OBS + f""", lab AS (SELECT t, value FROM clean WHERE metric_id = '{LAB}'),
    g AS (SELECT t AS origin FROM clean WHERE metric_id = 'ev.view'),
    j AS (SELECT origin, max(l.t) AS st, arg_max(l.value, l.t) AS v FROM g LEFT JOIN lab l ON l.t + {240 * M} <= origin GROUP BY 1)
    SELECT {ts_text('make_timestamp(origin)')} AS origin, {ts_text(f'CASE WHEN origin - st <= {5 * H} THEN make_timestamp(st) END')} AS sampled,
@@ -86,6 +87,22 @@ def _(spark, sf):
                     C.from_micros("lab_available_t").alias("available"), rounded(F.col("previous_lab")).alias("value"))
 
 
+HISTORY_LEVEL = 220  # the batch: samples far above the limit, whose inputs are to be looked into
+HISTORY = runtime_sources([ANALYSER], ["ev.click", "ev.error", "ev.signup"], LAB)
+
+
+@query("bounded_history", "S17", OBS + f""", o AS (SELECT DISTINCT t AS origin FROM clean WHERE metric_id = '{LAB}' AND value > {HISTORY_LEVEL}),
+   w AS (""" + " UNION ALL ".join(f"""SELECT '{n}' AS source, metric_id, t, value, (SELECT min(origin) FROM o WHERE origin >= t + {s.delay} AND origin - t {'<=' if s.closed else '<'} {s.age}) AS first_origin
+     FROM clean WHERE metric_id IN ({', '.join(f"'{m}'" for m in s.metrics)})""" + (f" AND value >= {s.lowest}" if s.lowest is not None else "") for n, s in HISTORY.items()) + f""")
+   SELECT source, metric_id, {ts_text('make_timestamp(t)')} AS timestamp, round(value, 6) AS value, {ts_text('make_timestamp(first_origin)')} AS first_origin FROM w WHERE first_origin IS NOT NULL""")
+def _(spark, sf):
+    batch = labs(spark, sf).filter(F.col("value") > HISTORY_LEVEL).select(F.col("t").alias("origin"))
+    # Observation times are whole minutes, stored ones are not.
+    read = lambda ranges: from_events(table(spark, sf, "events").filter(in_ranges("ts", ranges, M - 1)))
+    d = bounded_history(read, batch, HISTORY)
+    return d.select("source", "metric_id", C.from_micros("t").alias("timestamp"), rounded(F.col("value")).alias("value"), C.from_micros("first_origin").alias("first_origin"))
+
+
 @query("order_ship_publication", "J2", """WITH ship AS (SELECT l_suppkey, o_orderdate, max(l_shipdate) AS shipped, max(o_totalprice) AS price
      FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2)
    SELECT l_suppkey AS supplier, count(*) AS samples, round(sum(price), 2) AS total, CAST(sum(date_diff('day', o_orderdate, shipped)) AS BIGINT) AS delay_days FROM ship GROUP BY 1""")
@@ -155,11 +172,11 @@ def _(spark, sf):
     return X.origin_grid(clean(spark, sf)).select(C.from_micros("origin").alias("origin"))
 
 
-@query("lab_anchor", "J6", GRID + anchor_sql(6 * H) + f""" SELECT {ts_text('make_timestamp(origin)')} AS origin, round(level, 6) AS level, round(offset_qa, 6) AS offset_qa,
+@query("lab_anchor", "J6", GRID + anchor_sql(45 * D) + f""" SELECT {ts_text('make_timestamp(origin)')} AS origin, round(level, 6) AS level, round(offset_qa, 6) AS offset_qa,
    round(offset_pa, 6) AS offset_pa, pairs_qa, pairs_pa FROM anchor""")
 def _(spark, sf):
     s, l = staged_series(spark, sf)
-    d = X.lab_anchor(X.origin_grid(s), l, s, ANALYSERS, max_age=6 * H)
+    d = X.lab_anchor(X.origin_grid(s), l, s, ANALYSERS)
     return round_all(d.withColumn("origin", C.from_micros("origin")).withColumn("pairs_qa", F.col("pairs_qa").cast("long")).withColumn("pairs_pa", F.col("pairs_pa").cast("long")))
 
 
@@ -244,11 +261,11 @@ def _(spark, sf):
 
 
 @query("lab_history_window", "W12 W11", GRID + f""", pub AS (SELECT t + {240 * M} AS p, value FROM lab), x AS (SELECT o.origin, pub.*, row_number() OVER (PARTITION BY o.origin ORDER BY p DESC) AS rn
-     FROM o LEFT JOIN pub ON p <= o.origin AND p > o.origin - {D})
+     FROM o LEFT JOIN pub ON p <= o.origin AND p > o.origin - {7 * D})
    SELECT {ts_text('make_timestamp(origin)')} AS origin, round(quantile_cont(value, 0.5) FILTER (WHERE rn <= 3), 6) AS lab_median3, round(quantile_cont(value, 0.5), 6) AS lab_median_window,
    count(value) AS lab_count_window, round(max(value) FILTER (WHERE rn = 1) - max(value) FILTER (WHERE rn = 2), 6) AS lab_delta FROM x GROUP BY origin""")
 def _(spark, sf):
-    d = X.lab_window(X.origin_grid(clean(spark, sf)), labs(spark, sf), days=1)
+    d = X.lab_window(X.origin_grid(clean(spark, sf)), labs(spark, sf))
     return round_all(d.withColumn("origin", C.from_micros("origin")))
 
 

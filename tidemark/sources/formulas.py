@@ -1,7 +1,7 @@
 """Soft-sensor formula texts and their translation to Spark expressions.
 
-Formulas hold only numbers, tags, parentheses and + - x /.  A text is read into columns operator by operator, so
-anything else is refused before Spark sees it, and every division, at any depth, has its denominator checked.
+Formulas hold only numbers, tags, parentheses and + - x /.  Anything else is refused before Spark's own parser
+reads the text, and every division, at any depth, gets a denominator that is NULL near zero.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import re
 from collections.abc import Mapping
 from functools import reduce
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,60 +65,40 @@ def tags(text: str) -> list[str]:
     return list(dict.fromkeys(x for kind, x in tokens(text) if kind == "tag"))
 
 
-class _Reader:
-    """Sum of products of signed atoms, left to right; collects a check for every denominator that holds a tag."""
-
-    def __init__(self, text: str, inputs: Mapping[str, str]):
-        self.rest, self.inputs, self.checks = tokens(text)[::-1], inputs, []
-
-    def peek(self) -> str | None:
-        return self.rest[-1][1] if self.rest and self.rest[-1][0] == "sign" else None
-
-    def whole(self) -> Column:
-        value, _ = self.sum()
-        if self.rest:
-            raise ValueError(f"an operator is missing before {self.rest[-1][1]!r}")
-        return value
-
-    def sum(self) -> tuple[Column, bool]:
-        value, varies = self.product()
-        while self.peek() in ("+", "-"):
-            plus = self.rest.pop()[1] == "+"
-            other, more = self.product()
-            value, varies = (value + other if plus else value - other), varies or more
-        return value, varies
-
-    def product(self) -> tuple[Column, bool]:
-        value, varies = self.atom()
-        while self.peek() in ("*", "/"):
-            times = self.rest.pop()[1] == "*"
-            other, more = self.atom()
-            if not times:
-                ok = F.coalesce(F.abs(other) >= NEAR_ZERO, F.lit(False))
-                if more:
-                    self.checks.append(ok)
-                other = F.when(ok, other)
-            value, varies = (value * other if times else value / other), varies or more
-        return value, varies
-
-    def atom(self) -> tuple[Column, bool]:
-        if not self.rest:
-            raise ValueError("the formula ends too early")
-        kind, x = self.rest.pop()
-        if kind == "number":
-            return F.lit(float(x)), False
-        if kind == "tag":
-            return F.col(f"`{self.inputs[x]}`"), True
-        if x in "+-":
-            value, varies = self.atom()
-            return (value if x == "+" else -value), varies
-        if x == "(":
-            value = self.sum()
-            if self.peek() != ")":
-                raise ValueError("a parenthesis is not closed")
-            self.rest.pop()
-            return value
-        raise ValueError(f"a number, a tag or a parenthesis is missing before {x!r}")
+ATOM = rf"(?:[-+]\s*)*(?:\d[\w.]*(?:e[+-]?\d+)?D|`[^`]+`|(?P<group>\((?:[^()]++|(?&group))*+\)))"
+DIVISION = regex.compile(rf"/\s*(?P<below>{ATOM})")
+
+
+def guarded(text: str) -> str:
+    """Spark text in which every denominator, at any depth, is NULL where it is nearly zero."""
+    def one(m) -> str:
+        below = guarded(m["below"])
+        return f"/ if(abs({below}) >= {NEAR_ZERO}D, {below}, NULL)"
+    return DIVISION.sub(one, text)
+
+
+def check_order(parts: list[tuple[str, str]]) -> None:
+    """Operands and operators take turns and parentheses are closed, so that Spark takes nothing for an alias, a call or a comment."""
+    depth, operand = 0, True
+    for kind, x in parts:
+        if operand and kind == "sign" and x in ")*/":
+            raise ValueError(f"a number, a tag or a parenthesis is missing before {x!r}")
+        if not operand and (kind != "sign" or x == "("):
+            raise ValueError(f"an operator is missing before {x!r}")
+        depth += (x == "(") - (x == ")")
+        if depth < 0:
+            raise ValueError("a parenthesis is closed twice")
+        operand = kind == "sign" and x != ")"
+    if operand or depth:
+        raise ValueError("the formula ends too early")
+
+
+def as_expression(text: str, inputs: Mapping[str, str]) -> Column:
+    """The formula read by Spark: numbers as doubles, tags as quoted columns, denominators guarded."""
+    parts = tokens(text)
+    check_order(parts)
+    spark = {"number": lambda x: f"{x}D", "tag": lambda x: f"`{inputs[x]}`", "sign": lambda x: x}
+    return F.expr(guarded(" ".join(spark[kind](x) for kind, x in parts)))
 
 
 def evaluate(text: str, inputs: Mapping[str, str] | None = None) -> tuple[Column, Column]:
@@ -127,10 +108,9 @@ def evaluate(text: str, inputs: Mapping[str, str] | None = None) -> tuple[Column
     """
     names = tags(text)
     inputs = {t: t for t in names} | dict(inputs or {})
-    reader = _Reader(text, inputs)
-    value = reader.whole()
-    both = lambda checks: reduce(lambda a, b: a & b, checks, F.lit(True))
-    have, safe = both([F.col(f"`{inputs[t]}`").isNotNull() for t in names]), both(reader.checks)
-    raw = C.finite(F.when(have & safe, value))
-    status = F.when(~have, "missing_input").when(~safe, "zero_denominator").when(raw.isNull(), "not_finite").otherwise("ok")
+    value = as_expression(text, inputs)
+    have = reduce(lambda a, b: a & b, [F.col(f"`{inputs[t]}`").isNotNull() for t in names], F.lit(True))
+    raw = C.finite(F.when(have, value))
+    # With all inputs there, only a guarded denominator gives NULL.
+    status = F.when(~have, "missing_input").when(value.isNull(), "zero_denominator").when(raw.isNull(), "not_finite").otherwise("ok")
     return raw, status
