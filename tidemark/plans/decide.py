@@ -127,7 +127,7 @@ def _(spark, sf):
     return K.final_status(s, K.conflicts(d, s, "moment"), data, "moment")
 
 
-@query("consistency_checks", "K13", SELECT + " SELECT count(*) AS moments, count(*) FILTER (WHERE selected IS NOT NULL) AS selected, 0 AS selected_not_feasible, 0 AS selected_above_limit FROM se")
+@query("consistency_checks", "K13", SELECT + " SELECT count(*) AS moments, count(selected) AS selected, count(*) FILTER (WHERE NOT fe.feasible) AS selected_not_feasible, count(*) FILTER (WHERE fe.product > 10) AS selected_above_limit FROM se LEFT JOIN fe ON fe.moment = se.moment AND fe.id = se.selected")
 def _(spark, sf):
     d = staged(gated(spark, sf))
     j = K.select_candidate(d, "moment").drop("feasible").join(d.select("moment", F.col("id").alias("selected"), "feasible", "product"), ["moment", "selected"], "left")

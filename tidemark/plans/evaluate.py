@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import evaluate as E
 from ..operators import features as X
-from .adapter import AT, LAB, OBS, table, ts_text, obs
-from .features import ANALYSERS, CONTROL_MAP, FEATURE_COLUMNS, GRID, ORIGINS, clean, labs, staged_series
+from .adapter import AFTER_AT, AT, LAB, OBS, table, ts_text, obs
+from .features import ANALYSERS, CONTROL_MAP, FEATURE_COLUMNS, FEATURES, GRID, ORIGINS, asof_sql, clean, labs, staged_series
 from .registry import query, rounded
 from .series import round_all, us
 
@@ -365,7 +365,7 @@ def _(spark, sf):
     return asof(o, v, ["_k"], "origin", "fit_end", ["version"], width=30 * D).groupBy(F.col("hit.version").alias("version")).agg(F.count("*").alias("origins"))
 
 
-@query("leakage_checks", "M26", GRID + f""", j AS (SELECT origin, (SELECT max(l.t) FROM lab l WHERE l.t + {240 * M} <= origin) AS st FROM o) SELECT count(*) AS rows, count(*) FILTER (WHERE st + {240 * M} > origin) AS published_after_origin, count(*) FILTER (WHERE st > origin) AS sampled_after_origin, 0 AS future_reading FROM j""")
+@query("leakage_checks", "M26", GRID + f""", j AS (SELECT origin, (SELECT max(l.t) FROM lab l WHERE l.t + {240 * M} <= origin) AS st, {asof_sql(ANALYSERS['qa'], 'o.origin', 30 * M, 't')} AS seen FROM o) SELECT count(*) AS rows, count(*) FILTER (WHERE st + {240 * M} > origin) AS published_after_origin, count(*) FILTER (WHERE st > origin) AS sampled_after_origin, count(*) FILTER (WHERE seen > origin) AS future_reading FROM j""")
 def _(spark, sf):
     s = clean(spark, sf)
     o = X.origin_grid(s)
@@ -375,7 +375,12 @@ def _(spark, sf):
     return E.leakage_checks(d, {"published_after_origin": F.col("lab_available_t") > F.col("origin"), "sampled_after_origin": F.col("lab_sample_t") > F.col("origin"), "future_reading": F.col("a_t") > F.col("origin")})
 
 
-@query("prefix_parity", "M27", GRID + f" SELECT count(*) AS rows, 0 AS differing FROM o WHERE origin <= epoch_us(TIMESTAMP '{AT}')")
+# The features again, from nothing but the events before the cut.
+PREFIX = FEATURES.replace("FROM events)", f"FROM events WHERE ts < TIMESTAMP '{AFTER_AT}')").replace("max(t) AS hi FROM clean", f"epoch_us(TIMESTAMP '{AT}') AS hi FROM clean")
+
+
+@query("prefix_parity", "M27", f"""SELECT count(*) AS rows, count(*) FILTER (WHERE {' OR '.join(f"(a.{x} IS NULL) <> (b.{x} IS NULL) OR coalesce(abs(a.{x} - b.{x}) > 1e-9, FALSE)" for x in FEATURE_COLUMNS)}) AS differing
+   FROM ({FEATURES} SELECT * FROM feat WHERE origin <= epoch_us(TIMESTAMP '{AT}')) a FULL JOIN ({PREFIX} SELECT * FROM feat) b USING (origin)""")
 def _(spark, sf):
     cut = us(AT)
     s, l = staged_series(spark, sf)
