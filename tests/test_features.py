@@ -149,7 +149,7 @@ def test_bounded_history_without_origins(spark):
 
 def test_history_ranges_reach_the_files(spark, tmp_path):
     path = str(tmp_path / "events")
-    spark.sql("SELECT timestamp_add(HOUR, id, TIMESTAMP_NTZ'2024-01-01') AS ts, id FROM range(1000)").write.parquet(path)
+    spark.sql("SELECT timestampadd(HOUR, id, TIMESTAMP_NTZ'2024-01-01') AS ts, id FROM range(1000)").write.parquet(path)
     at = lambda h: 1704067200 * C.SECOND + h * C.HOUR
     d = spark.read.parquet(path).filter(H.in_ranges("ts", [(at(3), at(5)), (at(100), at(101))]))
     plan = d._jdf.queryExecution().toString()
