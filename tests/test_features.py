@@ -152,7 +152,9 @@ def test_history_ranges_reach_the_files(spark, tmp_path):
     spark.sql("SELECT timestampadd(HOUR, id, TIMESTAMP_NTZ'2024-01-01') AS ts, id FROM range(1000)").write.parquet(path)
     at = lambda h: 1704067200 * C.SECOND + h * C.HOUR
     d = spark.read.parquet(path).filter(H.in_ranges("ts", [(at(3), at(5)), (at(100), at(101))]))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = d._jdf.queryExecution().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     pushed = plan[plan.index("PushedFilters"):].split("ReadSchema")[0]
     assert pushed.count("GreaterThanOrEqual") == 2 and pushed.count("LessThanOrEqual") == 2
     assert sorted(r.id for r in d.collect()) == [3, 4, 5, 100, 101]

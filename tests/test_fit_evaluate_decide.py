@@ -202,3 +202,35 @@ def test_queries_without_sql_run_the_operators_full_job(spark, monkeypatch, quer
     with pytest.raises(Called) as call:
         plan(spark, "/root/testdata/sf0.001")
     assert call.value.args[0] == {n: signature.parameters[n].default for n in names}
+
+
+def test_risk_policy_levels_and_point_margin(spark):
+    probs = [k / 100 for k in range(5, 100, 5)]
+    pol = K.Policy(probs, list(np.linspace(-0.4, 0.5, len(probs)) ** 3))
+    assert pol.level(0.2) == pytest.approx(10 * np.exp(-np.interp(0.8, probs, pol.quants))) and pol.level(0.001) == pytest.approx(10 * np.exp(-pol.quants[-1]))
+    d = spark.createDataFrame([(x, u, m) for x in np.linspace(0, 14, 60).tolist() + [10.0, 9.0, 8.5] for u in (True, False, None) for m in (1.0, 0.0, 2.5)], "product double, usable boolean, margin double")
+    for r in K.risk_policy(d, pol, F.col("usable"), F.col("margin")).collect():
+        if r.usable:
+            p = 1 - np.interp(np.log(10) - np.log(max(r["product"], 1e-3)), pol.quants, probs)
+            assert r.basis == "residual_quantiles" and r.probability == pytest.approx(p, abs=1e-9)
+            assert r.safe_level == pytest.approx(pol.level(0.2)) and r.design_level == pytest.approx(pol.level(0.1))
+            if abs(p - 0.2) > 1e-6 and abs(p - 0.1) > 1e-6:
+                assert (r.risk_passed, r.within_design) == (p <= 0.2, p <= 0.1)
+        else:
+            assert r.basis == "point_margin" and r.probability is None and (r.safe_level, r.design_level) == (10 - r.margin, 10 - 1.5 * r.margin)
+            assert (r.risk_passed, r.within_design) == (r["product"] <= r.safe_level + 1e-9, r["product"] <= r.design_level + 1e-9)
+
+
+def test_audit_skips_moments_without_data(spark):
+    decided = spark.createDataFrame([(1, "hold", 0.5, []), (2, None, None, []), (3, "hold", 0.1, ["stale"]), (4, "hold", 0.2, [])], "moment long, selected string, selected_loss double, data_reasons array<string>")
+    best = spark.createDataFrame([(1, 7, 0.4, 0.3), (2, 1, 0.9, None), (3, 5, 0.0, 0.0)], "moment long, admissible long, corrective_loss double, economic_loss double")
+    got = {r.moment: (r.admissible, r.oracle_loss, r.oracle_kind, r.given_away) for r in K.audit(decided, best, "moment").collect()}
+    assert got == {1: (7, 0.3, "economic", pytest.approx(0.2)), 2: (1, 0.9, "corrective", None), 3: (None, None, None, None), 4: (None, None, None, None)}
+
+
+def test_leakage_and_prefix_checks_find_planted_rows(spark):
+    d = spark.createDataFrame([(1, 5, 4), (2, 5, 6), (3, 5, None)], "id long, origin long, seen long")
+    assert tuple(E.leakage_checks(d, {"future": F.col("seen") > F.col("origin")}).first()) == (3, 1)
+    a = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, None)], "origin long, x double")
+    b = spark.createDataFrame([(1, 1.0), (2, 2.1), (3, 3.0)], "origin long, x double")
+    assert tuple(E.frame_difference(a, b, "origin", ["x"]).first()) == (3, 2)

@@ -7,6 +7,7 @@ aggregation run on hashed primitive buffers.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -42,6 +43,14 @@ class Policy:
     severity_cap: float = 12.0
 
 
+    def level(self, p: float) -> float:
+        """The product level at which the exceedance probability is ``p``."""
+        at, q = list(self.probs), list(self.quants)
+        i = max(1, min(len(at) - 1, bisect.bisect_left(at, 1 - p - 1e-12)))
+        share = max(0.0, min(1.0, (1 - p - at[i - 1]) / (at[i] - at[i - 1])))
+        return HARD_LIMIT * math.exp(-(q[i - 1] + share * (q[i] - q[i - 1])))
+
+
 # --- evidence -------------------------------------------------------------------------
 
 
@@ -120,6 +129,25 @@ def probability_above(gap: str, policy: Policy) -> Column:
     return out.when(g.isNotNull(), 1 - p[-1])
 
 
+def risk_policy(df: DataFrame, policy: Policy, usable: Column, margin: Column | float) -> DataFrame:
+    """Adds basis, safe_level, design_level and, for rows with ``product``, probability, risk_passed and within_design.
+
+    Where the residual quantiles are ``usable`` the admissible level is the one whose exceedance probability is p_max and the design
+    level that of half of it; elsewhere the levels lie one and one and a half ``margin`` below the limit and no probability is known.
+    """
+    margin = margin if isinstance(margin, Column) else F.lit(float(margin))
+    yes = F.coalesce(usable, F.lit(False))
+    d = df.withColumn("basis", F.when(yes, "residual_quantiles").otherwise("point_margin"))
+    d = d.withColumn("safe_level", F.when(yes, policy.level(policy.p_max)).otherwise(HARD_LIMIT - margin))
+    d = d.withColumn("design_level", F.when(yes, policy.level(policy.p_max / 2)).otherwise(HARD_LIMIT - 1.5 * margin))
+    if "product" not in df.columns:
+        return d
+    d = d.withColumn("_gap", F.lit(math.log(HARD_LIMIT)) - F.ln(F.greatest(F.col("product"), F.lit(1e-3))))
+    d = d.withColumn("probability", F.when(yes, probability_above("_gap", policy)))
+    rule = lambda p, level: F.when(yes, F.col("probability") <= p + 1e-9).otherwise(F.col("product") <= F.col(level) + 1e-9)
+    return d.withColumn("risk_passed", rule(policy.p_max, "safe_level")).withColumn("within_design", rule(policy.p_max / 2, "design_level")).drop("_gap")
+
+
 def scored(df: DataFrame, policy: Policy, round_effort: bool = True) -> DataFrame:
     """Adds product, probability, severity, throughput, energy, effort and ranking loss to rows with dT, dF, dP.
 
@@ -161,9 +189,11 @@ def _plain_effort(i: int, grid: Mapping[str, tuple[int, float, int]]) -> float:
 
 
 def grid_optima(moments: DataFrame, policy: Policy, grid: Mapping[str, tuple[int, float, int]] = SEARCH_GRID, key: str = "moment",
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None, hold: bool = False) -> DataFrame:
     """Cheapest admissible corrective and economic move per moment (loss, then effort, then grid order).
 
+    ``hold`` counts staying put among the corrective moves.
+
     Moments are spread by key before the grid unfolds, so the reduction needs no further shuffle.  Moves are numbered
     by (effort, grid order) beforehand, so the argmin is a single long: the loss in units of 1e-12, then that number.
     A move inside the grid that passes the checks has a loss far inside +-500, so nothing overflows.
@@ -177,7 +207,9 @@ def grid_optima(moments: DataFrame, policy: Policy, grid: Mapping[str, tuple[int
     need = [key, "base", "T", "F", "P", *[f"{s}_{x}" for x in "TFP" for s in ("mean", "std")]]
     d = moments.select(*need).repartition(partitions, key).select("*", F.posexplode(F.array(*[F.lit(i) for i in order])).alias("_rank", "i"))
     move = move_at(F.col("i"), grid)
-    d = d.select("*", *[move[k].alias(k) for k in ("dT", "dF", "dP")]).filter("dT != 0 OR dF != 0 OR dP != 0")
+    d = d.select("*", *[move[k].alias(k) for k in ("dT", "dF", "dP")])
+    if not hold:
+        d = d.filter("dT != 0 OR dF != 0 OR dP != 0")
     d = scored(d, policy, round_effort=False)
     ok = F.col("loss").isNotNull() & F.col("risk_passed") & (F.col("product") <= min(policy.target, HARD_LIMIT)) & (F.col("severity") <= 1)
     fix = is_corrective(F.col("dT"), F.col("dF"), F.col("dP"))
@@ -285,6 +317,19 @@ def final_status(selection: DataFrame, found: DataFrame, data: DataFrame, key: s
     return d.select(key, F.when(cause.isNull(), "recommendation").otherwise("abstain").alias("status"), cause.alias("cause"), F.when(cause.isNull(), F.col("selected")).alias("selected"))
 
 
+def audit(decisions: DataFrame, optima: DataFrame, key: str) -> DataFrame:
+    """Decisions beside the best admissible move of a dense grid: its loss and what the decision gives away.
+
+    Moments whose data already forbid a decision are not audited.
+    """
+    best = F.least("corrective_loss", "economic_loss")
+    found = optima.select(key, "admissible", best.alias("oracle_loss"), F.when(best == F.col("corrective_loss"), "corrective").when(best.isNotNull(), "economic").alias("oracle_kind"))
+    d = decisions.join(found, key, "left")
+    asked = F.size("data_reasons") == 0
+    return d.select(*decisions.columns, *[F.when(asked, F.col(x)).alias(x) for x in ("admissible", "oracle_loss", "oracle_kind")],
+                    F.when(asked, F.col("selected_loss") - F.col("oracle_loss")).alias("given_away"))
+
+
 # --- additive, recipes, batches --------------------------------------------------------------
 
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import decide as K
 from ..operators import evaluate as E
+from ..operators import features as X
 from ..operators import quality as Q
 from ..operators.stage import staged
-from .adapter import table
+from .adapter import LAB, table, ts_text
 from .evaluate import reg
+from .features import GRID, asof_sql, clean
 from .registry import query, rounded
 from .series import round_all
 
@@ -47,20 +49,28 @@ def move_sql(src, dt="dT", df="dF", dp="dP"):
 
 
 LOSS = "0.5 * (1 - throughput) / 0.10 + (energy - 1) + 0.25 * severity + 0.05 * effort + 0.25 * probability / 0.2"
-GRID_SQL = MOM + f""", gr AS (SELECT row_number() OVER (ORDER BY dT, dF, dP) - 1 AS i, dT, dF, dP FROM (SELECT a.range::DOUBLE AS dT, b.range::DOUBLE AS dF, c.p AS dP FROM range(-6, 7) a, range(-10, 11) b, (VALUES (-0.2::DOUBLE), (-0.1), (0.0), (0.1), (0.2)) c(p)) WHERE NOT (dT = 0 AND dF = 0 AND dP = 0)),
+DENSE = """SELECT a.range / 2::DOUBLE AS dT, b.range::DOUBLE AS dF, c.range * 0.05::DOUBLE AS dP FROM range(-12, 13) a, range(-10, 11) b, range(-4, 5) c"""
+COARSE = """SELECT a.range::DOUBLE AS dT, b.range::DOUBLE AS dF, c.p AS dP FROM range(-6, 7) a, range(-10, 11) b, (VALUES (-0.2::DOUBLE), (-0.1), (0.0), (0.1), (0.2)) c(p)"""
+
+
+def grid_sql(moves, skip="dT = 0 AND dF = 0 AND dP = 0"):
+    return f""", gr AS (SELECT row_number() OVER (ORDER BY dT, dF, dP) - 1 AS i, dT, dF, dP FROM ({moves}) WHERE NOT ({skip})),
   mg AS (SELECT m.*, gr.* FROM m, gr), sc AS ({move_sql('mg')}), l AS (SELECT *, {LOSS} AS loss, dT >= 0 AND dF <= 0 AND dP >= 0 AS fix FROM sc),
   ok AS (SELECT *, CAST(floor((loss + 500) * 1e12 + 0.5) AS BIGINT) AS lk FROM l WHERE probability <= 0.2 + 1e-9 AND product <= 10 AND severity <= 1 AND (fix OR probability <= 0.1 + 1e-9)),
   rk AS (SELECT *, row_number() OVER (PARTITION BY moment, fix ORDER BY lk, effort, i) AS rn FROM ok), ad AS (SELECT moment, count(*) AS admissible FROM ok GROUP BY 1)
 """
 
 
+GRID_SQL = MOM + grid_sql(COARSE)
+
+
 @query("grid_search", "K6 K17", GRID_SQL + """SELECT m.moment, coalesce(admissible, 0) AS admissible, c.dT AS "corrective_dT", c.dF AS "corrective_dF", c.dP AS "corrective_dP", round(c.loss, 9) AS corrective_loss, e.dT AS "economic_dT", e.dF AS "economic_dF", e.dP AS "economic_dP", round(e.loss, 9) AS economic_loss
    FROM mo m LEFT JOIN ad USING (moment) LEFT JOIN rk c ON c.moment = m.moment AND c.fix AND c.rn = 1 LEFT JOIN rk e ON e.moment = m.moment AND NOT e.fix AND e.rn = 1""")
 def _(spark, sf):
     return round_all(K.grid_optima(moments(spark, sf), policy(spark, sf)), 9)
 
 
-CANDS = MOM + """, a1 AS (SELECT *, least(6.0, greatest(base - 8.5, 0) / 0.08) AS xt FROM m), a2 AS (SELECT *, greatest(0, greatest(base - 8.5, 0) - 0.08 * xt) AS r1 FROM a1), a3 AS (SELECT *, least(0.2, r1 / 0.15) AS xp FROM a2), a4 AS (SELECT *, -least(10.0, greatest(0, r1 - 0.15 * xp) / 0.05) AS xf FROM a3),
+CANDS = MOM + """, a1 AS (SELECT *, least(6.0, greatest(base - 10 * exp(-q17), 0) / 0.08) AS xt FROM m), a2 AS (SELECT *, greatest(0, greatest(base - 10 * exp(-q17), 0) - 0.08 * xt) AS r1 FROM a1), a3 AS (SELECT *, least(0.2, r1 / 0.15) AS xp FROM a2), a4 AS (SELECT *, -least(10.0, greatest(0, r1 - 0.15 * xp) / 0.05) AS xf FROM a3),
   cd AS (SELECT *, 'hold' AS id, 0.0::DOUBLE AS dT, 0.0::DOUBLE AS dF, 0.0::DOUBLE AS dP FROM a4 UNION ALL SELECT *, 'conservative', xt * 0.5, xf * 0.5, xp * 0.5 FROM a4 UNION ALL SELECT *, 'automatic', xt, xf, xp FROM a4 UNION ALL SELECT *, 'lower_heat', -2, 0, 0 FROM a4 UNION ALL SELECT *, 'more_feed', 0, 2, 0 FROM a4 UNION ALL SELECT *, 'lower_pressure', 0, 0, -0.1 FROM a4),
   sc AS (""" + move_sql("cd") + f"""), l AS (SELECT *, {LOSS} AS loss, probability <= 0.2 + 1e-9 AS risk_passed, probability <= 0.1 + 1e-9 AS within_design, CASE WHEN u = 3 THEN 'stale' ELSE '' END AS dr, u = 5 AS ac FROM sc),
   gt AS (SELECT *, concat_ws('|', nullif(dr, ''), CASE WHEN product > 10 THEN 'sulfur_hard_limit' END, CASE WHEN product > 10 THEN 'sulfur_target' END, CASE WHEN NOT risk_passed THEN 'sulfur_risk_margin' END, CASE WHEN id IN ('lower_heat', 'more_feed', 'lower_pressure') AND NOT within_design THEN 'economic_risk_budget' END,
@@ -71,7 +81,7 @@ CANDS = MOM + """, a1 AS (SELECT *, least(6.0, greatest(base - 8.5, 0) / 0.08) A
 def gated(spark, sf):
     m = moments(spark, sf)
     rule = policy(spark, sf)
-    d = K.scored(K.candidates(m, rule, F.lit(8.5)), rule)
+    d = K.scored(K.candidates(m, rule, F.lit(rule.level(rule.p_max / 2))), rule)
     d = d.withColumn("data_reasons", F.when(F.col("u") == 3, F.array(F.lit("stale"))).otherwise(F.array().cast("array<string>"))).withColumn("analyser_conflict", F.col("u") == 5)
     return K.gate(d, rule, [(F.col("q") != 1, F.col("q") != 2, "t95")])
 
@@ -134,6 +144,49 @@ def _(spark, sf):
     return j.agg(F.count("*").alias("moments"), F.count("selected").alias("selected"), F.count_if(F.col("selected").isNotNull() & ~F.col("feasible")).alias("selected_not_feasible"), F.count_if(F.col("product") > K.HARD_LIMIT).alias("selected_above_limit"))
 
 
+@query("risk_policy", "K7 K2", MOM + f""", x AS (SELECT moment, base, q <> 3 AS usable, 1 + (u % 3) / 2.0 AS margin, q15, q17, ln(10.0) - ln(greatest(base, 0.001)) AS g, {', '.join(f'q{i}' for i in range(19) if i not in (15, 17))} FROM m),
+   y AS (SELECT *, CASE WHEN usable THEN 10 * exp(-q15) ELSE 10 - margin END AS safe, CASE WHEN usable THEN 10 * exp(-q17) ELSE 10 - 1.5 * margin END AS design, CASE WHEN usable THEN {PROB} END AS p FROM x)
+   SELECT moment, CASE WHEN usable THEN 'residual_quantiles' ELSE 'point_margin' END AS basis, round(safe, 6) AS safe_level, round(design, 6) AS design_level, round(p, 6) AS probability,
+     CASE WHEN usable THEN p <= 0.2 + 1e-9 ELSE base <= safe + 1e-9 END AS risk_passed, CASE WHEN usable THEN p <= 0.1 + 1e-9 ELSE base <= design + 1e-9 END AS within_design FROM y""")
+def _(spark, sf):
+    m = moments(spark, sf).withColumn("product", F.col("base"))
+    d = K.risk_policy(m, policy(spark, sf), F.col("q") != 3, 1 + (F.col("u") % 3) / 2.0)
+    return round_all(d.select("moment", "basis", "safe_level", "design_level", "probability", "risk_passed", "within_design"))
+
+
+# Decisions replayed on the regular grid of origins and held against the dense audit grid; levels are the latest published laboratory value.
+REPLAY = GRID + f""", mo AS (SELECT origin AS moment, (SELECT arg_max(lab.value, lab.t) FROM lab WHERE lab.t + {240 * C.MINUTE} <= origin AND lab.t >= origin - {48 * C.HOUR}) / 6 AS base, 330 + {asof_sql('ev.click', 'o.origin', 30 * C.MINUTE)} / 5 AS T,
+     150 + {asof_sql('ev.error', 'o.origin', 30 * C.MINUTE)} / 2 AS F, 4 + {asof_sql('ev.signup', 'o.origin', 30 * C.MINUTE)} / 400 AS P FROM o),
+  ref AS (SELECT avg(T) AS mt, stddev_pop(T) AS st, avg(F) AS mf, stddev_pop(F) AS sf, avg(P) AS mp, stddev_pop(P) AS sp FROM mo),
+  qf AS """ + MOM.split("qf AS ", 1)[1].split("\n")[0] + """
+  m AS (SELECT mo.*, 0 AS q, CASE WHEN base IS NULL OR T IS NULL OR F IS NULL OR P IS NULL THEN 3 ELSE 0 END AS u, ref.*, qf.* FROM mo, ref, qf)"""
+
+
+def replay_moments(spark, sf):
+    s = staged(clean(spark, sf))
+    o = X.origin_grid(s)
+    t = X.lookup(o, s, {"click": ("ev.click", 0), "error": ("ev.error", 0), "signup": ("ev.signup", 0)})
+    b = X.previous_lab(o, s.filter(F.col("metric_id") == LAB).select("t", "value")).select("origin", (F.col("previous_lab") / 6).alias("base"))
+    m = staged(t.join(b, "origin").select(F.col("origin").alias("moment"), "base", (330 + F.col("click") / 5).alias("T"), (150 + F.col("error") / 2).alias("F"), (4 + F.col("signup") / 400).alias("P")))
+    ref = m.agg(*[x for k in "TFP" for x in (F.avg(k).alias(f"mean_{k}"), F.stddev_pop(k).alias(f"std_{k}"))])
+    return m.join(F.broadcast(ref))  # one row
+
+
+@query("audit_replay", "K6 K17", REPLAY + grid_sql(DENSE, "FALSE") + SELECT[len(MOM):].replace("sc AS (", "sk AS (").replace("FROM sc)", "FROM sk)").replace(", l AS (", ", lk AS (").replace("FROM l)", "FROM lk)") + f"""
+   SELECT {ts_text('make_timestamp(se.moment)')} AS moment, selected, round(CASE WHEN selected = 'hold' THEN hold_loss ELSE best_loss END, 6) AS selected_loss, round(hold_loss, 6) AS hold_loss, CASE WHEN u = 0 THEN coalesce(ad.admissible, 0) END AS admissible,
+     round(r.loss, 6) AS oracle_loss, CASE WHEN r.fix THEN 'corrective' WHEN NOT r.fix THEN 'economic' END AS oracle_kind, round(CASE WHEN selected = 'hold' THEN hold_loss ELSE best_loss END - r.loss, 6) AS given_away
+   FROM se JOIN m ON m.moment = se.moment LEFT JOIN ad ON ad.moment = se.moment AND u = 0 LEFT JOIN (SELECT moment, fix, loss FROM rk WHERE rn = 1 QUALIFY row_number() OVER (PARTITION BY moment ORDER BY lk, fix DESC) = 1) r ON r.moment = se.moment AND u = 0""")
+def _(spark, sf):
+    m, rule = replay_moments(spark, sf), policy(spark, sf)
+    known = F.col("base").isNotNull() & F.col("T").isNotNull() & F.col("F").isNotNull() & F.col("P").isNotNull()
+    d = K.scored(K.candidates(m, rule, F.lit(rule.level(rule.p_max / 2))), rule)
+    d = d.withColumn("data_reasons", F.when(~known, F.array(F.lit("stale"))).otherwise(F.array().cast("array<string>")))
+    data = m.select("moment", F.when(~known, F.array(F.lit("stale"))).otherwise(F.array().cast("array<string>")).alias("data_reasons"))
+    decided = K.select_candidate(K.gate(d, rule), "moment").drop("feasible", "best_loss").join(data, "moment")
+    out = K.audit(decided, K.grid_optima(m, rule, K.AUDIT_GRID, hold=True), "moment").drop("data_reasons")
+    return round_all(out.withColumn("moment", C.from_micros("moment")))
+
+
 EVID = """WITH e AS (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE value END AS v, CASE WHEN user_id % 4 = 0 THEN 'stale' ELSE 'fresh' END AS fr, CASE WHEN value > 250 THEN 'suspect' WHEN value < 1 THEN 'invalid' ELSE '' END AS fl, event_id + (user_id % 3) - 1 AS av, event_type, value, user_id FROM events)"""
 
 

@@ -169,12 +169,12 @@ def _(spark, sf):
     return g.groupBy("model", "abstain_reasons", "status").agg(F.count("*").alias("rows"), F.sum(ood).alias("ood"))
 
 
-RISK = REG + """, e AS (SELECT model, ln(y) - ln(p) AS r FROM r WHERE p > 0 AND y > 0), q AS (""" + " UNION ALL ".join(f"SELECT model, {k / 100} AS probability, quantile_cont(r, {k / 100}) AS quantile FROM e GROUP BY 1" for k in range(5, 100, 5)) + """),
+RISK = REG + """, e AS (SELECT model, ln(y) - ln(p) AS r FROM r WHERE p > 0 AND y > 0), q AS (""" + " UNION ALL ".join(f"SELECT model, {k / 100} AS probability, quantile_cont(r, {k / 100}) AS quantile FROM e GROUP BY 1" for k in range(1, 100)) + """),
    nx AS (SELECT *, lead(probability) OVER (PARTITION BY model ORDER BY probability) AS np, lead(quantile) OVER (PARTITION BY model ORDER BY probability) AS nq, min(quantile) OVER (PARTITION BY model) AS qmin, max(quantile) OVER (PARTITION BY model) AS qmax FROM q),
    m AS (SELECT DISTINCT model, ln(l_quantity) AS pr, ln(30.0) - ln(l_quantity) AS gap FROM (SELECT l_returnflag AS model, l_quantity FROM lineitem)),
-   x AS (SELECT m.model, m.pr, CASE WHEN gap <= qmin THEN 0.95 WHEN gap >= qmax THEN 0.05 ELSE 1 - (probability + (np - probability) * (gap - quantile) / (nq - quantile)) END AS prob FROM m JOIN nx ON nx.model = m.model AND ((gap <= qmin AND probability = 0.05) OR (gap >= qmax AND probability = 0.95) OR (gap > qmin AND gap < qmax AND quantile <= gap AND gap < nq))),
+   x AS (SELECT m.model, m.pr, CASE WHEN gap <= qmin THEN 0.99 WHEN gap >= qmax THEN 0.01 ELSE 1 - (probability + (np - probability) * (gap - quantile) / (nq - quantile)) END AS prob FROM m JOIN nx ON nx.model = m.model AND ((gap <= qmin AND probability = 0.01) OR (gap >= qmax AND probability = 0.99) OR (gap > qmin AND gap < qmax AND quantile <= gap AND gap < nq))),
    iv AS (SELECT model, max(quantile) FILTER (WHERE probability = 0.1) AS lo, max(quantile) FILTER (WHERE probability = 0.9) AS hi, max(quantile) FILTER (WHERE probability = 0.8) AS q80, max(quantile) FILTER (WHERE probability = 0.5) AS mid FROM q GROUP BY 1)"""
-LEVELS = [k / 100 for k in range(5, 100, 5)]
+LEVELS = [k / 100 for k in range(1, 100)]
 
 
 def risk_functions(spark, sf):
