@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import bucket
 from tidemark.operators import ordered as O
 from tidemark.operators import timejoin as T
-from tidemark.operators.quantiles import quantiles
+from tidemark.operators.quantiles import quantile_rows, quantiles
 
 W = 60 * MIN
 
@@ -109,6 +109,11 @@ def test_quantiles_exact_for_any_ranges(spark, per_range):
     for r in quantiles(spark.createDataFrame(p), ["k"], "v", probs, per_range=per_range).collect():
         want = np.quantile(p[p.k == r["k"]].v, probs)
         assert np.allclose([r[f"q{i}"] for i in range(len(probs))], want, atol=1e-12)
+    many = [i / 100 for i in range(1, 100)]
+    rows = quantile_rows(spark.createDataFrame(p), ["k"], "v", many, per_range).toPandas()
+    assert len(rows) == 3 * 99
+    for k, part in rows.groupby("k"):
+        assert np.allclose(part.sort_values("probability")["quantile"], np.quantile(p[p.k == k].v, many), atol=1e-12)
 
 
 def test_bucket_floors_negative_times(spark):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from .ordered import neighbour, running, value_chunks
-from .quantiles import PER_RANGE, quantiles
+from .quantiles import PER_RANGE, quantile_rows, quantiles
 from .timejoin import asof, range_frame
 
 NEVER = float("inf")
@@ -136,10 +136,7 @@ def best_f1(df: DataFrame, keys: Sequence[str], event: Column, score: str, grid:
 def residual_quantiles(df: DataFrame, keys: Sequence[str], residual: str, levels: Sequence[float] = tuple(i / 100 for i in range(1, 100)),
                        per_range: int = PER_RANGE) -> DataFrame:
     """Empirical quantile function: one row per key and probability."""
-    names = [f"_q{i}" for i in range(len(levels))]
-    q = quantiles(df, keys, residual, levels, names, per_range)
-    cells = F.array(*[F.struct(F.lit(float(p)).alias("probability"), F.col(n).alias("quantile")) for p, n in zip(levels, names)])
-    return q.select(*keys, F.inline(cells))
+    return quantile_rows(df, keys, residual, levels, per_range)
 
 
 def residual_bound(df: DataFrame, keys: Sequence[str], residual: str, confidence: float = 0.9, min_n: int = 30) -> DataFrame:

@@ -36,16 +36,7 @@ def counted_quantiles(counted: DataFrame, keys: Sequence[str], probs: Sequence[f
     """Quantiles of values that stand in ``_v``, each ``_c`` times; a (keys, value) has one row."""
     keys = list(keys)
     names = list(names or [f"q{i}" for i in range(len(probs))])
-    sketch = counted.groupBy(*keys).agg(F.percentile_approx("_v", [i / CUTS for i in range(1, CUTS)], 2_000).alias("_e"), F.count("*").alias("_k"), F.sum("_c").alias("_n"))
-    ranges = F.least(F.lit(CUTS), F.ceil(F.col("_k") / per_range))
-    every = F.filter("_e", lambda _, i: F.floor((i + 1) * ranges / CUTS) > F.floor(i * ranges / CUTS))
-    sketch = sketch.withColumn("_e", F.array_distinct(every)).drop("_k")
-    cut = _beside(counted, sketch, keys).withColumn("_r", F.aggregate("_e", F.lit(0), lambda s, e: s + F.when(e < F.col("_v"), 1).otherwise(0))).drop("_e")
-    lower = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut.groupBy(*keys, "_r").agg(F.sum("_c").alias("_s"))
-    base = sums.select(*keys, "_r", F.coalesce(F.sum("_s").over(lower), F.lit(0)).alias("_below"))
-    inside = Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = _beside(cut, base, [*keys, "_r"]).withColumn("_hi", F.col("_below") + F.sum("_c").over(inside)).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    ranked = _ranked(counted, keys, per_range)
 
     def at(position):
         return F.max(F.when((F.col("_lo") <= position) & (position < F.col("_hi")), F.col("_v")))
@@ -55,3 +46,34 @@ def counted_quantiles(counted: DataFrame, keys: Sequence[str], probs: Sequence[f
     g = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *ends)
     part = lambda p: last * float(p) - F.floor(last * float(p))
     return g.select(*keys, *[(F.col(f"_a{k}") + (F.col(f"_z{k}") - F.col(f"_a{k}")) * part(p)).alias(n) for k, (p, n) in enumerate(zip(probs, names))])
+
+
+def quantile_rows(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], per_range: int = PER_RANGE) -> DataFrame:
+    """(keys, probability, quantile): one row per key and probability, for many probabilities.
+
+    A value hands on only the probabilities whose ranks it holds, so plan and rows do not grow with their number.
+    """
+    d = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    ranked = _ranked(d.groupBy(*keys, "_v").agg(F.count("*").alias("_c")), list(keys), per_range)
+    last = F.col("_n") - 1
+    holds = lambda rank: (F.col("_lo") <= rank) & (rank < F.col("_hi"))
+    wanted = F.filter(F.array(*[F.lit(float(p)) for p in probs]), lambda p: holds(F.floor(last * p)) | holds(F.ceil(last * p)))
+    hits = ranked.select(*keys, "_v", "_lo", "_hi", "_n", F.explode(wanted).alias("probability"))
+    at = last * F.col("probability")
+    g = hits.select(*keys, "probability", "_v", (at - F.floor(at)).alias("_part"), holds(F.floor(at)).alias("_a"), holds(F.ceil(at)).alias("_z"))
+    g = g.groupBy(*keys, "probability").agg(F.max(F.when(F.col("_a"), F.col("_v"))).alias("_a"), F.max(F.when(F.col("_z"), F.col("_v"))).alias("_z"), F.max("_part").alias("_part"))
+    return g.select(*keys, "probability", (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_part")).alias("quantile"))
+
+
+def _ranked(counted: DataFrame, keys: list[str], per_range: int) -> DataFrame:
+    """Counted values with the ranks _lo up to _hi, excluded, that they hold in their key, which has _n rows."""
+    sketch = counted.groupBy(*keys).agg(F.percentile_approx("_v", [i / CUTS for i in range(1, CUTS)], 2_000).alias("_e"), F.count("*").alias("_k"), F.sum("_c").alias("_n"))
+    ranges = F.least(F.lit(CUTS), F.ceil(F.col("_k") / per_range))
+    every = F.filter("_e", lambda _, i: F.floor((i + 1) * ranges / CUTS) > F.floor(i * ranges / CUTS))
+    sketch = sketch.withColumn("_e", F.array_distinct(every)).drop("_k")
+    cut = _beside(counted, sketch, keys).withColumn("_r", F.aggregate("_e", F.lit(0), lambda s, e: s + F.when(e < F.col("_v"), 1).otherwise(0))).drop("_e")
+    lower = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(*keys, "_r").agg(F.sum("_c").alias("_s"))
+    base = sums.select(*keys, "_r", F.coalesce(F.sum("_s").over(lower), F.lit(0)).alias("_below"))
+    inside = Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    return _beside(cut, base, [*keys, "_r"]).withColumn("_hi", F.col("_below") + F.sum("_c").over(inside)).withColumn("_lo", F.col("_hi") - F.col("_c"))
