@@ -79,7 +79,8 @@ CANDS = MOM + """, a1 AS (SELECT *, least(6.0, greatest(base - 10 * exp(-q17), 0
 
 
 def gated(spark, sf):
-    m = moments(spark, sf)
+    # Spread by moment once; whatever regroups or joins the candidates by moment then needs no shuffle.
+    m = moments(spark, sf).repartition("moment")
     rule = policy(spark, sf)
     d = K.scored(K.candidates(m, rule, F.lit(rule.level(rule.p_max / 2))), rule)
     d = d.withColumn("data_reasons", F.when(F.col("u") == 3, F.array(F.lit("stale"))).otherwise(F.array().cast("array<string>"))).withColumn("analyser_conflict", F.col("u") == 5)
@@ -124,14 +125,14 @@ CONFLICT = SELECT + """, hq AS (SELECT *, regexp_matches(reasons, 'sulfur_hard_l
 
 @query("goal_conflicts", "K13", CONFLICT + " SELECT moment, code, resolution FROM cf")
 def _(spark, sf):
-    d = staged(gated(spark, sf))
+    d = gated(spark, sf)
     return K.conflicts(d, K.select_candidate(d, "moment"), "moment")
 
 
 @query("decision_status", "K18 K17", CONFLICT + """, bl AS (SELECT moment, min(code) AS blocked FROM cf WHERE resolution = 'abstain' GROUP BY 1), f AS (SELECT mo.moment, selected, CASE WHEN u = 3 THEN 'data:stale' WHEN selected IS NULL THEN 'no_admissible_option' WHEN blocked IS NOT NULL THEN 'conflict:' || blocked END AS cause FROM mo LEFT JOIN se USING (moment) LEFT JOIN bl USING (moment))
    SELECT moment, CASE WHEN cause IS NULL THEN 'recommendation' ELSE 'abstain' END AS status, cause, CASE WHEN cause IS NULL THEN selected END AS selected FROM f""")
 def _(spark, sf):
-    d = staged(gated(spark, sf))
+    d = gated(spark, sf)
     s = K.select_candidate(d, "moment")
     data = d.filter("id = 'hold'").select("moment", "data_reasons")
     return K.final_status(s, K.conflicts(d, s, "moment"), data, "moment")
@@ -139,7 +140,7 @@ def _(spark, sf):
 
 @query("consistency_checks", "K13", SELECT + " SELECT count(*) AS moments, count(selected) AS selected, count(*) FILTER (WHERE NOT fe.feasible) AS selected_not_feasible, count(*) FILTER (WHERE fe.product > 10) AS selected_above_limit FROM se LEFT JOIN fe ON fe.moment = se.moment AND fe.id = se.selected")
 def _(spark, sf):
-    d = staged(gated(spark, sf))
+    d = gated(spark, sf)
     j = K.select_candidate(d, "moment").drop("feasible").join(d.select("moment", F.col("id").alias("selected"), "feasible", "product"), ["moment", "selected"], "left")
     return j.agg(F.count("*").alias("moments"), F.count("selected").alias("selected"), F.count_if(F.col("selected").isNotNull() & ~F.col("feasible")).alias("selected_not_feasible"), F.count_if(F.col("product") > K.HARD_LIMIT).alias("selected_above_limit"))
 

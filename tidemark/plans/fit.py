@@ -91,7 +91,7 @@ def _(spark, sf):
     d = dated(spark, sf)
     cuts = [us(x) for x in CUTS]
     train = d.withColumn("fold", F.explode(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda c: F.col("available") < c)))
-    wide, coef = M_.fit_ridge(train, ["fold"], XS, "y", [1.0, 1000.0, 100000.0])
+    wide, coef = M_.fit_ridge(train, ["fold"], XS, "y", M_.ALPHAS)
     score = d.withColumn("fold", F.array_max(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda c: c <= F.col("origin")))).filter("fold IS NOT NULL")
     p = M_.predict(score, wide, coef, ["fold"], XS)
     return round_all(M_.select_alpha(p, ["model"], "fold", F.abs(F.col("y") - F.col("prediction"))), 6)
