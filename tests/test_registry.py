@@ -12,7 +12,7 @@ from tidemark.plans import load
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["period_summary", "exceedance_minutes", "downsampled_series_with_gaps", "snapshot_at_moment", "flagged_observations", "issue_tally", "paired_to_long", "merged_telemetry",
           "column_profile", "asof_tolerance", "published_lab_asof", "rolling_means", "quiet_future_path", "probability_metrics", "cheapest_threshold", "paired_candidates", "support_bounds",
-          "exceedance_probability", "formula_evaluation", "latest_samples", "step_response_merged", "candidate_gate", "pareto_front", "decision_status", "stream_tumbling", "stream_flatline_alarm"]
+          "exceedance_probability", "formula_evaluation", "latest_samples", "step_response_merged", "candidate_gate", "pareto_front", "decision_status", "stream_tumbling", "stream_flatline_alarm", "quality_evidence", "assessed_gate"]
 
 
 @pytest.fixture(scope="module")

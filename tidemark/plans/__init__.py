@@ -6,7 +6,7 @@ import importlib
 
 from .registry import REGISTRY
 
-AREAS = ("series", "features", "ingest", "quality", "evaluate", "process", "fit", "decide", "streams", "refits")
+AREAS = ("series", "features", "ingest", "quality", "evaluate", "process", "fit", "decide", "streams", "refits", "evidence")
 
 
 def load():
