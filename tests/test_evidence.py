@@ -119,3 +119,11 @@ def test_gate_names_every_failed_and_every_unassessed_check(spark):
         assert {c.name for c in r.checks if c.passed is None} == set(unassessed) and "step_limit" in {c.name for c in r.checks}
     late = V.assessed_gate(d.filter("n = 0").withColumn("data_reasons", F.array(F.lit("state:shutdown")))).first()
     assert late.reasons == ["state:shutdown"] and not late.passed
+
+
+def test_selection_of_one_to_twenty_known_metrics(spark):
+    from tidemark.sources import catalog as G
+    known = spark.createDataFrame([(f"m{i}",) for i in range(30)], "metric_id string")
+    rows = [("twenty", i, f" m{i % 20}") for i in range(40)] + [("many", i, f"m{i}") for i in range(21)] + [("blank", 0, " "), ("blank", 1, None), ("odd", 0, "m1"), ("odd", 1, "x")]
+    got = {r.request: (r.n, r.unknown, r.refused) for r in G.selection_verdict(known, spark.createDataFrame(rows, "request string, position int, metric_id string")).collect()}
+    assert got == {"twenty": (20, 0, None), "many": (21, 0, "too_many"), "blank": (0, 0, "empty"), "odd": (2, 1, "unknown_metric")}

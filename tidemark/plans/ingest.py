@@ -252,6 +252,16 @@ def _(spark, sf):
     return K.select_metrics(obs(spark, sf).select("metric_id").distinct(), w).select("request", "metric_id", "position", "known")
 
 
+@query("selection_rule", "S12", """WITH w AS (SELECT o_custkey % 400 AS request, CASE WHEN o_orderkey % 5 = 0 THEN '  ' ELSE 'm' || (o_orderkey % 40) END AS m FROM orders), c AS (SELECT DISTINCT 'm' || p_partkey % 39 AS id FROM part),
+   f AS (SELECT request, m, m IN (SELECT id FROM c) AS known FROM (SELECT DISTINCT request, trim(m) AS m FROM w WHERE trim(m) <> '')), a AS (SELECT r.request, count(m) AS n, count(*) FILTER (WHERE m IS NOT NULL AND NOT known) AS unknown FROM (SELECT DISTINCT request FROM w) r LEFT JOIN f USING (request) GROUP BY 1)
+   SELECT request, n, unknown, CASE WHEN n = 0 THEN 'empty' WHEN n > 20 THEN 'too_many' WHEN unknown > 0 THEN 'unknown_metric' END AS refused FROM a""")
+def _(spark, sf):
+    k = F.col("o_orderkey")
+    w = table(spark, sf, "orders").select((F.col("o_custkey") % 400).alias("request"), k.alias("position"), F.when(k % 5 == 0, "  ").otherwise(F.concat(F.lit("m"), (k % 40).cast("string"))).alias("metric_id"))
+    known = table(spark, sf, "part").select(F.concat(F.lit("m"), (F.col("p_partkey") % 39).cast("string")).alias("metric_id")).distinct()
+    return K.selection_verdict(known, w)
+
+
 @query("catalog_search", "T5", CATALOG + """SELECT metric_id, label, metric_id IN ('m.5', 'm.10') AS selected FROM cat WHERE contains(lower(metric_id || ' ' || label), 'r-red')""")
 def _(spark, sf):
     return K.search(catalog_rows(spark, sf), "R-RED", ["m.5", "m.10"]).select("metric_id", "label", "selected")

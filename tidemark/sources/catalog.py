@@ -33,13 +33,23 @@ def derived_metrics(catalog: DataFrame, rules: DataFrame) -> DataFrame:
     return rules.join(have.filter("_k = _n").select("metric_id"), "metric_id", "left_semi")
 
 
-def select_metrics(catalog: DataFrame, wanted: DataFrame, limit: int = 20) -> DataFrame:
+def select_metrics(catalog: DataFrame, wanted: DataFrame) -> DataFrame:
     """Requested ids in order without repeats and whether each exists. ``wanted(request, position, metric_id)``."""
     first = wanted.filter(F.trim("metric_id") != "").groupBy("request", F.trim("metric_id").alias("metric_id")).agg(F.min("position").alias("position"))
     known = catalog.select("metric_id", F.lit(True).alias("known")).distinct()
     return first.join(known, "metric_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
+def selection_verdict(catalog: DataFrame, wanted: DataFrame, limit: int = 20) -> DataFrame:
+    """One row per request: different ids asked for, unknown ones, and why it is refused (NULL: accepted).
+
+    A selection holds 1 to ``limit`` different ids, all of them known; blank and NULL ids do not count.
+    """
+    found = select_metrics(catalog, wanted).groupBy("request").agg(F.count("*").alias("n"), F.count_if(~F.col("known")).alias("unknown"))
+    d = wanted.select("request").distinct().join(found, "request", "left").select("request", *[F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("n", "unknown")])
+    return d.withColumn("refused", F.when(F.col("n") == 0, "empty").when(F.col("n") > limit, "too_many").when(F.col("unknown") > 0, "unknown_metric"))
+
+
 def search(catalog: DataFrame, text: str, selected: Sequence[str] = (), columns: Sequence[str] = ("metric_id", "label")) -> DataFrame:
     """Case-insensitive contains over the joined columns; selected rows first."""
     hay = F.lower(F.concat_ws(" ", *columns))
