@@ -116,7 +116,7 @@ def risk_protocol(frame: DataFrame, columns: Sequence[str], y: str, limit: float
     train = d.select(*columns, available, "_event", F.posexplode(starts).alias("window", "_a")).filter(F.col(available) < F.col("_a")).withColumn("window", F.col("window").cast("long"))
     wide, coefs = logistic_path(train, ["window"], columns, "_event", penalties)
     prevalence = train.groupBy("window").agg(F.avg("_event").alias("_rate"))
-    ridge = staged(fit_windows(frame, columns, y, available, [(BEGIN, a0), (BEGIN, a1)], [alpha], per_range=per_range))
+    ridge = staged(fit_windows(frame, columns, y, available, [(BEGIN, a0), (BEGIN, a1)], [alpha]))
     inside = lambda a, b: (F.col(origin) >= a) & (F.col(origin) < b) & (F.col(available) < b)
     rows = d.withColumn("window", F.when(inside(a0, b0), 0).when(inside(a1, b1), 1).cast("long")).filter("window IS NOT NULL")
     rows = with_models(rows, ridge, "window", columns).withColumn("_r", F.get("_models", F.lit(0)))

@@ -5,6 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SENT_ROWS = 20_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,3 +35,12 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{run_folder(df.sparkSession, 'stage')}/data"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def per_key(small: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """``small``, one row per key, staged to be joined to a row table: sent to every task while it has at most ``rows`` rows, merged by key beyond.
+
+    Without it the planner compares sizes of files: rows that compress well are broadcast themselves, others are shuffled by a handful of keys.
+    """
+    table = staged(small)
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table.hint("merge")

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from .fit import ALPHAS
-from .quantiles import PER_RANGE, counted_quantiles
-from .stage import staged
+from .quantiles import BLOCK_BITS, PER_RANGE, counted_quantiles, window_counted_quantiles
+from .stage import per_key, staged
 
 BEGIN = -(2**62)  # start of a window over all history
 MODEL = "window long, family string, alpha double, n long, intercept double, slopes array<double>, median array<double>, mean array<double>, scale array<double>, lower array<double>, upper array<double>"
@@ -32,7 +32,13 @@ def cells(windows: Sequence[tuple[int, int]]) -> list[int]:
 
 def cell_of(t: Column | str, edges: Sequence[int]) -> Column:
     """How many edges lie at or before t: rows of window [a, b) have cells index(a) + 1 .. index(b)."""
-    return F.size(F.filter(F.array(*[F.lit(int(e)).cast("long") for e in edges]), lambda e: e <= C.c(t)))
+    def upto(low, high):  # halved, so that a row is compared a few times and not with every edge
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(C.c(t) >= F.lit(int(edges[middle])).cast("long"), upto(middle + 1, high)).otherwise(upto(low, middle))
+
+    return upto(0, len(edges))
 
 
 def cell_moments(rows: DataFrame, columns: Sequence[str], y: str, shifts: Mapping[str, float]) -> DataFrame:
@@ -71,14 +77,11 @@ def window_moments(moments: DataFrame, windows: Sequence[tuple[int, int]], edges
 
 
 def window_quantiles(rows: DataFrame, columns: Sequence[str], windows: Sequence[tuple[int, int]], edges: Sequence[int], probs: Sequence[float],
-                     names: Sequence[str], per_range: int = PER_RANGE) -> DataFrame:
+                     names: Sequence[str], block_bits: int = BLOCK_BITS) -> DataFrame:
     """(window, column, names...): exact quantiles per window from counts by (column, value, cell)."""
     long = rows.select("cell", F.inline(F.array(*[F.struct(F.lit(x).alias("column"), C.finite(F.col(x).cast("double")).alias("_v")) for x in columns])))
     counted = long.filter("_v IS NOT NULL").groupBy("column", "_v", "cell").agg(F.count("*").alias("_c"))
-    spans = F.array(*[F.struct(F.lit(k).cast("long").alias("window"), F.lit(edges.index(a)).alias("a"), F.lit(edges.index(b)).alias("b")) for k, (a, b) in enumerate(windows)])
-    held = F.transform(F.filter(spans, lambda w: (F.col("cell") > w["a"]) & (F.col("cell") <= w["b"])), lambda w: w["window"])
-    per = counted.select("column", "_v", "_c", F.explode(held).alias("window")).groupBy("window", "column", "_v").agg(F.sum("_c").alias("_c"))
-    return counted_quantiles(per, ["window", "column"], probs, names, per_range)
+    return window_counted_quantiles(counted, ["column"], "cell", [(edges.index(a), edges.index(b)) for a, b in windows], probs, names, block_bits)
 
 
 def solved(g: np.ndarray, median: np.ndarray, chosen: Sequence[int], alphas: Sequence[float]) -> tuple:
@@ -107,7 +110,7 @@ def solved(g: np.ndarray, median: np.ndarray, chosen: Sequence[int], alphas: Seq
 
 
 def fit_windows(frame: DataFrame, columns: Sequence[str], y: str, when: str, windows: Sequence[tuple[int, int]], alphas: Sequence[float] = ALPHAS,
-                families: Mapping[str, Sequence[str]] | None = None, margin: float = 0.10, per_range: int = PER_RANGE) -> DataFrame:
+                families: Mapping[str, Sequence[str]] | None = None, margin: float = 0.10, block_bits: int = BLOCK_BITS) -> DataFrame:
     """Ridge models (MODEL) of every window, feature family and alpha; window k is trained on rows with start <= ``when`` < end and a known y.
 
     Columns are filled with the window's medians (0 without any value) and standardised with its means and deviations. Windows
@@ -119,7 +122,7 @@ def fit_windows(frame: DataFrame, columns: Sequence[str], y: str, when: str, win
     sums = rows.agg(*[F.avg(C.finite(F.col(x).cast("double"))).alias(x) for x in [*columns, y]]).first()
     shifts = {x: float(sums[x] or 0.0) for x in [*columns, y]}
     m = window_moments(cell_moments(rows, columns, y, shifts), windows, edges)
-    q = window_quantiles(rows, columns, windows, edges, [0.005, 0.5, 0.995], ["lo", "median", "hi"], per_range)
+    q = window_quantiles(rows, columns, windows, edges, [0.005, 0.5, 0.995], ["lo", "median", "hi"], block_bits)
     q = q.groupBy("window").agg(F.map_from_entries(F.collect_list(F.struct("column", F.array("lo", "median", "hi")))).alias("q"))
     size, shift = 2 * len(columns) + 2, np.array([shifts[x] for x in columns])
     upper, levels = np.triu_indices(size), [float(a) for a in alphas]
@@ -153,6 +156,7 @@ def features_array(columns: Sequence[str]) -> Column:
 def with_models(rows: DataFrame, models: DataFrame, window: str, columns: Sequence[str]) -> DataFrame:
     """rows with _models: the sorted models (family, alpha, prediction, outside) of their window; rows without a model have null."""
     per = models.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("family", "alpha", "intercept", "slopes", "median", "mean", "scale", "lower", "upper"))).alias("_m"))
+    per = per_key(per)
     d = rows.withColumn("_x", features_array(columns)).join(per.withColumnRenamed("window", window), window, "left")
 
     def one(m):
@@ -187,11 +191,11 @@ def nested_walk_forward(frame: DataFrame, columns: Sequence[str], y: str, origin
     """
     cutoffs = sorted(int(c) for c in cutoffs)
     windows, closing = [(BEGIN, c) for c in cutoffs], [*cutoffs[1:], int(end)]
-    models = staged(fit_windows(frame, columns, y, available, windows, alphas, per_range=per_range))
+    models = staged(fit_windows(frame, columns, y, available, windows, alphas))
     # the median residual of persistence before each cutoff
     edges = cells(windows)
     labelled = frame.withColumn("cell", cell_of(available, edges)).withColumn("_r", F.col(y) - F.col(persistence))
-    bias = window_quantiles(labelled, ["_r"], windows, edges, [0.5], ["bias"], per_range).select(F.col("window").alias("fold"), "bias")
+    bias = window_quantiles(labelled, ["_r"], windows, edges, [0.5], ["bias"]).select(F.col("window").alias("fold"), "bias")
     cuts = F.array(*[F.lit(c).cast("long") for c in cutoffs])
     d = frame.filter((F.col(origin) >= cutoffs[0]) & (F.col(origin) < int(end))).withColumn("fold", (F.size(F.filter(cuts, lambda c: c <= F.col(origin))) - 1).cast("long"))
     d = with_models(d, models, "fold", columns).join(bias, "fold", "left")
@@ -226,22 +230,23 @@ def monthly_windows(cutoffs: Sequence[int], spans: Mapping[str, int | None]) ->
 
 
 def prequential(frame: DataFrame, columns: Sequence[str], y: str, origin: str, available: str, cutoffs: Sequence[int], end: int, spans: Mapping[str, int | None],
-                alpha: float, per_range: int = PER_RANGE) -> DataFrame:
+                alpha: float, block_bits: int = BLOCK_BITS) -> DataFrame:
     """Rows with an origin in [first cutoff, end) and a known label, per span: ridge and median of the rows published before the
     latest cutoff, not earlier than the span. Adds span, cutoff, train_rows, prediction, median (null without training rows)."""
     cutoffs = sorted(int(c) for c in cutoffs)
     named = monthly_windows(cutoffs, spans)
     windows = [(a, b) for *_, a, b in named]
-    models = staged(fit_windows(frame, columns, y, available, windows, [alpha], per_range=per_range))
+    models = staged(fit_windows(frame, columns, y, available, windows, [alpha], block_bits=block_bits))
     edges = cells(windows)
     labelled = frame.withColumn("cell", cell_of(available, edges))
-    medians = window_quantiles(labelled, [y], windows, edges, [0.5], ["label_median"], per_range).select("window", F.col("label_median"))
+    medians = window_quantiles(labelled, [y], windows, edges, [0.5], ["label_median"], block_bits).select("window", F.col("label_median"))
+    beside = per_key(models.select("window", F.col("n").alias("train_rows")).join(medians, "window", "full"))
     cuts = F.array(*[F.lit(c).cast("long") for c in cutoffs])
     d = frame.filter((F.col(origin) >= cutoffs[0]) & (F.col(origin) < int(end)) & F.col(y).isNotNull())
     place = F.size(F.filter(cuts, lambda c: c <= F.col(origin))) - 1
     each = F.array(*[F.struct(F.lit(label).alias("span"), (F.lit(k * len(cutoffs)) + place).cast("long").alias("window")) for k, label in enumerate(spans)])
     d = d.withColumn("cutoff", F.element_at(cuts, place + 1)).select("*", F.inline(each))
-    d = with_models(d, models, "window", columns).join(medians, "window", "left").join(models.select("window", F.col("n").alias("train_rows")), "window", "left")
+    d = with_models(d, models, "window", columns).join(beside, "window", "left")
     return d.withColumn("prediction", F.get("_models", F.lit(0))["prediction"]).withColumnRenamed("label_median", "median").drop("_models", "_x", "window")
 
 
@@ -266,7 +271,7 @@ def family_ablation(frame: DataFrame, families: Mapping[str, Sequence[str]], y:
 
 
 def select_filter(frame: DataFrame, columns: Sequence[str], y: str, base: str, origin: str, available: str, quiet: str, folds: Sequence[tuple[int, int]], cutoff: int,
-                  alphas: Sequence[float] = ALPHAS, least_quiet: float = 0.10, tolerance: float = 1.05, per_range: int = PER_RANGE) -> DataFrame:
+                  alphas: Sequence[float] = ALPHAS, least_quiet: float = 0.10, tolerance: float = 1.05, block_bits: int = BLOCK_BITS) -> DataFrame:
     """Training filter ("all" rows or only "quiet" ones) and alpha for a cutoff, from folds that end at or before it.
 
     Each (filter, alpha) is fitted before each fold's start and scored on the fold's rows (their label window wholly inside), all and quiet
@@ -280,7 +285,7 @@ def select_filter(frame: DataFrame, columns: Sequence[str], y: str, base: str, o
     d = frame.filter(C.finite(F.col(y).cast("double")).isNotNull() & C.finite(F.col(base).cast("double")).isNotNull())
     windows = [(BEGIN, int(a)) for a, _ in folds]
     by = {"all": d, "quiet": d.filter(quiet)}
-    models = reduce(DataFrame.union, [fit_windows(rows, columns, y, available, windows, alphas, {name: columns}, per_range=per_range) for name, rows in by.items()])
+    models = reduce(DataFrame.union, [fit_windows(rows, columns, y, available, windows, alphas, {name: columns}, block_bits=block_bits) for name, rows in by.items()])
     fold = F.array_max(F.filter(F.array(*[F.struct(F.lit(int(a)).cast("long").alias("a"), F.lit(int(b)).cast("long").alias("b"), F.lit(k).cast("long").alias("k")) for k, (a, b) in enumerate(folds)]),
                                 lambda f: (F.col(origin) >= f["a"]) & (F.col(origin) < f["b"]) & (F.col(available) < f["b"])))["k"]
     rows = with_models(d.withColumn("fold", fold).filter("fold IS NOT NULL"), staged(models), "fold", columns)
@@ -320,7 +325,7 @@ def challenge(frame: DataFrame, families: Mapping[str, Sequence[str]], alphas: S
     if not a0 < b0 <= a1 < b1 <= a2 < b2:
         raise ValueError("periods overlap or are out of order")
     columns = list(dict.fromkeys(x for own in families.values() for x in own))
-    models = staged(fit_windows(frame, columns, y, available, [(BEGIN, a) for a, _ in periods], alphas, families, per_range=per_range))
+    models = staged(fit_windows(frame, columns, y, available, [(BEGIN, a) for a, _ in periods], alphas, families))
     spans = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.lit(k).cast("long").alias("k")) for k, (a, b) in enumerate(periods)])
     inside = F.filter(spans, lambda s: (F.col(origin) >= s["a"]) & (F.col(origin) < s["b"]) & (F.col(available) < s["b"]))
     d = frame.filter(C.finite(F.col(y).cast("double")).isNotNull()).withColumn("period", F.get(inside, F.lit(0))["k"]).filter("period IS NOT NULL")
