@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from .quantiles import PER_RANGE, quantiles
+from .quantiles import PER_RANGE, narrowed_quantile, quantiles
+from .stage import per_key
 
 ALPHAS = (1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0, 10000.0, 100000.0)
 
@@ -182,10 +183,10 @@ def robust_core(df: DataFrame, keys: Sequence[str], columns: Sequence[str], cut:
     complete = df.dropna(subset=list(columns))
     long = unfolded(complete, keys, columns)
     key = [*keys, "column"]
-    med = quantiles(long, key, "value", [0.5], ["med"], per_range)
+    med = per_key(quantiles(long, key, "value", [0.5], ["med"], per_range))
     mad = quantiles(long.join(med, key).withColumn("dev", F.abs(F.col("value") - F.col("med"))), key, "dev", [0.5], ["mad"], per_range)
     s = med.join(mad, key).withColumn("mad", F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).otherwise(1.0))
-    wide = s.groupBy(*keys).agg(*[F.max(F.when(F.col("column") == x, F.col(f))).alias(f"{f}_{x}") for x in columns for f in ("med", "mad")])
+    wide = per_key(s.groupBy(*keys).agg(*[F.max(F.when(F.col("column") == x, F.col(f))).alias(f"{f}_{x}") for x in columns for f in ("med", "mad")]))
     d = complete.join(wide, list(keys))
     near = F.lit(True)
     for x in columns:

@@ -379,12 +379,12 @@ def anomaly_model(df: DataFrame, keys: Sequence[str], columns: Sequence[str], wh
     table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).cast("long").alias("a")) for k, a, _ in [*spans, (whole, int(end), None)]])
     fit = complete.withColumn("fold", F.explode(F.transform(F.filter(table, lambda s: F.col("_t") < s["a"]), lambda s: s["k"])))
     sizes = fit.groupBy(*keys, "fold").agg(F.count("*").alias("train_rows")).filter(F.col("train_rows") >= least_fit)
-    models = staged(robust_model(fit, [*keys, "fold"], columns).drop("rows").join(sizes, [*keys, "fold"]))
+    models = per_key(robust_model(fit, [*keys, "fold"], columns).drop("rows").join(sizes, [*keys, "fold"]))
     held = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for k, a, b in spans or [(-1, 0, 0)]])
     scored = complete.withColumn("fold", F.explode(F.transform(F.filter(held, lambda s: (F.col("_t") >= s["a"]) & (F.col("_t") < s["b"])), lambda s: s["k"])))
     d2 = mahalanobis(columns)[0]
     out = staged(scored.join(models, [*keys, "fold"]).select(*keys, "fold", d2.alias("d2")))
-    served = out.groupBy(*keys, "fold").agg(F.count("*").alias("rows")).filter(F.col("rows") >= least_score)
+    served = per_key(out.groupBy(*keys, "fold").agg(F.count("*").alias("rows")).filter(F.col("rows") >= least_score))
     out = out.join(served.drop("rows"), [*keys, "fold"])
     evidence = served.join(quantiles(out, [*keys, "fold"], "d2", [0.95, 0.99], ["q95", "q99"], per_range), [*keys, "fold"])
     final = models.filter(F.col("fold") == whole).drop("fold")
@@ -393,7 +393,8 @@ def anomaly_model(df: DataFrame, keys: Sequence[str], columns: Sequence[str], wh
     inside = quantiles(own, keys, "d2", [0.95, 0.99], ["_attention", "_high"], per_range)
     final = final.join(levels, keys, "left").join(inside, keys)
     basis = F.when(F.col("high").isNull(), "in_sample").otherwise("out_of_sample")
-    return final.withColumn("basis", basis).withColumn("attention", F.coalesce("attention", "_attention")).withColumn("high", F.coalesce("high", "_high")).drop("_attention", "_high"), evidence
+    final = final.withColumn("basis", basis).withColumn("attention", F.coalesce("attention", "_attention")).withColumn("high", F.coalesce("high", "_high")).drop("_attention", "_high")
+    return per_key(final), staged(evidence)
 
 
 def anomaly_class(df: DataFrame, models: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

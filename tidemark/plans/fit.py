@@ -9,7 +9,7 @@ from ..operators import evaluate as E
 from ..operators import features as X
 from ..operators import fit as M_
 from ..operators import risk as R
-from ..operators.stage import staged
+from ..operators.stage import per_key, staged
 from .adapter import LAB, OBS, table, ts_text
 from .evaluate import REG, reg
 from .features import ANALYSERS, CONTROL_MAP, FEATURE_COLUMNS, GRID, MODEL_COLUMNS, ORIGINS, anchor_sql, clean, labs, mean_sql, staged_series
@@ -164,7 +164,7 @@ def _(spark, sf):
     d = lines(spark, sf)
     s = M_.support(d, ["model"], XS, margin=0.0)
     s = s.withColumn("lower", F.when(F.col("column") == "quantity", F.col("lower") + 5).otherwise(F.col("lower"))).withColumn("upper", F.when(F.col("column") == "quantity", F.col("upper") - 5).otherwise(F.col("upper") - 0.005))
-    g = X.applicability(d.join(M_.support_wide(s, ["model"], XS), "model"), None, XS, ["quantity"], ["tax"])
+    g = X.applicability(d.join(per_key(M_.support_wide(s, ["model"], XS)), "model"), None, XS, ["quantity"], ["tax"])
     ood = sum((F.coalesce((F.col(x) < F.col(f"lower_{x}")) | (F.col(x) > F.col(f"upper_{x}")), F.lit(False)).cast("int") for x in XS), F.lit(0))
     return g.groupBy("model", "abstain_reasons", "status").agg(F.count("*").alias("rows"), F.sum(ood).alias("ood"))
 
@@ -221,11 +221,11 @@ def _(spark, sf):
 @query("robust_anomaly", "M17")
 def _(spark, sf):
     d = lines(spark, sf).select("model", "quantity", "discount", F.coalesce("tax", F.lit(0.04)).alias("tax"))
-    m = M_.robust_model(d, ["model"], XS)
+    m = per_key(M_.robust_model(d, ["model"], XS))
     total, parts = M_.mahalanobis(XS)
     s = d.dropna(subset=XS).join(m, "model").select("model", total.alias("d2"), *[p.alias(f"part_{x}") for x, p in zip(XS, parts)])
     from ..operators.quantiles import quantiles
-    t = quantiles(s, ["model"], "d2", [0.95, 0.99], ["attention", "high"])
+    t = per_key(quantiles(s, ["model"], "d2", [0.95, 0.99], ["attention", "high"]))
     g = s.join(t, "model").groupBy("model").agg(F.count("*").alias("rows"), F.max("attention").alias("attention"), F.max("high").alias("high"), F.count_if(F.col("d2") > F.col("high")).alias("n_high"),
                                               F.avg("d2").alias("mean_d2"), *[F.avg(f"part_{x}").alias(f"mean_{x}") for x in XS])
     return round_all(g, 4)
@@ -241,7 +241,7 @@ def _(spark, sf):
 @query("logistic_risk", "M8")
 def _(spark, sf):
     d = lines(spark, sf).select("model", *[F.coalesce(x, F.lit(0.0)).alias(x) for x in XS], (F.col("y") > 10.5).cast("double").alias("event"), (C.micros("l_shipdate") < us("1999-01-01 00:00:00")).alias("fit"))
-    wide = M_.support_wide(M_.support(d.withColumn("k", F.lit(0)), ["k"], XS), ["k"], XS)
+    wide = per_key(M_.support_wide(M_.support(d.withColumn("k", F.lit(0)), ["k"], XS), ["k"], XS))
     z = M_.standardized(d.withColumn("k", F.lit(0)), wide, ["k"], XS)
     zs = [f"z_{x}" for x in XS]
     train, test = z.filter("fit"), z.filter("not fit")
