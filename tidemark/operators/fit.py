@@ -97,9 +97,9 @@ def linear(zs: Sequence[str], coef: str = "coef") -> Column:
 
 def fit_ridge(train: DataFrame, keys: Sequence[str], columns: Sequence[str], y: str, alphas: Sequence[float]) -> tuple[DataFrame, DataFrame]:
     """(wide support, coefficients) for every key of the training rows."""
-    wide = support_wide(support(train, keys, columns), keys, columns)
+    wide = per_key(support_wide(support(train, keys, columns), keys, columns))
     z = [f"z_{x}" for x in columns]
-    return wide, ridge(gram(standardized(train, wide, keys, columns), keys, z, y), keys, len(columns), alphas)
+    return wide, per_key(ridge(gram(standardized(train, wide, keys, columns), keys, z, y), keys, len(columns), alphas))
 
 
 def predict(df: DataFrame, wide: DataFrame, coefs: DataFrame, keys: Sequence[str], columns: Sequence[str], out: str = "prediction") -> DataFrame:
