@@ -126,8 +126,9 @@ def huber_ridge(train: DataFrame, keys: Sequence[str], columns: Sequence[str], y
     try:
         now = {tuple(r[k] for k in keys): list(r["coef"]) for r in coefs.collect()}
         for _ in range(iterations):
+            # as many rows as the driver holds already; unhinted, every pass would shuffle the rows by key
             table = spark.createDataFrame([(*k, float(alpha), v) for k, v in now.items()], schema)
-            d = rows.join(table, list(keys)).withColumn("_r", F.abs(F.col("_y") - linear(zs)))
+            d = rows.join(F.broadcast(table), list(keys)).withColumn("_r", F.abs(F.col("_y") - linear(zs)))
             weight = F.when(F.col("_r") <= delta, 1.0).otherwise(delta / F.greatest(F.col("_r"), F.lit(1e-12)))
             new = {tuple(r[k] for k in keys): list(r["coef"]) for r in ridge(gram(d, keys, zs, "_y", weight), keys, len(columns), [alpha]).collect()}
             moved = max(abs(a - b) for k in new for a, b in zip(new[k], now[k]))
