@@ -162,13 +162,21 @@ def convex_value(inputs: Sequence[str], weights: Sequence[Column]) -> Column:
 def fit_convex(df: DataFrame, keys: Sequence[str], inputs: Sequence[str], y: str, step: float = 0.05, per_range: int = PER_RANGE) -> DataFrame:
     """Weights on the simplex grid with the least mean absolute error after removing the median residual.
 
-    Residuals for all grid weights come out of one expression per row; only (weight, residual) pairs are shuffled.
+    Residuals for all grid weights come out of one expression per row, evaluated again by each of four passes; only those close to a
+    median are shuffled. Rows with a NULL key are left out.
     """
     grid = simplex(len(inputs), step)
-    d = df.select(*keys, F.col(y).alias("_y"), *inputs)
-    cells = F.array(*[(F.col("_y") - convex_value(inputs, [F.lit(float(w)) for w in ws])) for ws in grid])
+    # Filled inputs and marks once a row: a weight then costs a few products, and the whole grid compiles.
+    xs, marks = [f"_x{i}" for i in range(len(inputs))], [f"_k{i}" for i in range(len(inputs))]
+    known = [C.finite(x) for x in inputs]
+    d = df.select(*keys, F.col(y).alias("_y"), *[F.coalesce(k.cast("double"), F.lit(0.0)).alias(x) for k, x in zip(known, xs)], *[k.isNotNull().cast("double").alias(m) for k, m in zip(known, marks)])
+    added = lambda parts: sum(parts, F.lit(0.0))
+    count = added(F.col(m) for m in marks)
+    d = d.withColumn("_plain", F.when(count > 0, added(F.col(x) for x in xs) / count))
+    cells = F.array(*[F.col("_y") - F.when(mass > 0, added(F.col(x) * float(w) for x, w in zip(xs, ws)) / mass).otherwise(F.col("_plain"))
+                      for ws in grid for mass in [added(F.col(m) * float(w) for m, w in zip(marks, ws))]])
     long = d.select(*keys, F.posexplode(cells).alias("w", "r")).filter("r IS NOT NULL")
-    bias = quantiles(long, [*keys, "w"], "r", [0.5], ["bias"], per_range)
+    bias = per_key(narrowed_quantile(long, [*keys, "w"], "r", 0.5, "bias", per_range))
     score = long.join(bias, [*keys, "w"]).groupBy(*keys, "w").agg(F.avg(F.abs(F.col("r") - F.col("bias"))).alias("mae"), F.first("bias").alias("bias"))
     # Scores equal to within rounding count as ties and go to the earlier weight vector.
     best = score.groupBy(*keys).agg(F.min(F.struct(F.round("mae", 12).alias("m"), "w", "bias", "mae")).alias("b"))
