@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .digests import long_files_sha256, resumable
 
 LONG_SCHEMA = "metric_id string, timestamp timestamp_ntz, value double, source string, unit string, flags string, source_file string, source_row bigint"
 LONG_COLUMNS = [x.split()[0] for x in LONG_SCHEMA.split(", ")]
@@ -75,6 +76,18 @@ def newest(records: DataFrame, by: str, n: int) -> DataFrame:
     return records.orderBy(F.col(by).desc(), "record_id").limit(n)
 
 
-def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
-        "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def file_inventory(spark: SparkSession, path: str, whole: int = 256 << 20) -> DataFrame:
+    """Path, bytes and SHA-256 of every file; a task reads no more than ``whole`` bytes of a file.
+
+    A longer file is hashed in ranges, each by a task that goes on from the state the last one left. Hadoop skips or
+    decompresses some names when it reads ranges: those files are read whole (up to 2 GB), as all are without the C library.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    columns = ["path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")]
+    # The files' metadata is looked at before a file is opened.
+    ranged = (F.col("_metadata.file_size") > whole) & ~F.col("_metadata.file_name").rlike(r"^[_.]|\.(gz|bz2|deflate|snappy|lz4|lzo|zst)$")
+    long = [tuple(r) for r in files.filter(ranged).select("path", "length").collect()] if resumable() else []
+    if not long:
+        return files.select(*columns)
+    digests = spark.createDataFrame(long_files_sha256(spark, long, whole), "path string, bytes long, sha256 string")
+    return files.filter(~ranged).select(*columns).unionByName(digests)
