@@ -58,6 +58,44 @@ def test_convex_matches_brute_force(spark):
     assert tuple(r.weights) == best[1] and r.fit_mae == pytest.approx(best[0])
 
 
+@pytest.mark.parametrize("most", [M.GRID_CELLS, 0])  # the driver holds the scores, or rows are exploded
+def test_convex_over_the_whole_grid_matches_brute_force(spark, most):
+    rng = np.random.default_rng(6)
+    n = 700
+    x = rng.normal(size=(n, 3)).round(1)
+    y = 0.15 * x[:, 0] + 0.35 * x[:, 1] + 0.5 * x[:, 2] + np.where(rng.random(n) < 0.1, 1e6, 0.05) * rng.normal(size=n)
+    x[rng.random((n, 3)) < 0.15] = np.nan
+    x[0] = np.nan
+    g = np.where(np.arange(n) < 660, "big", "small")
+    rows = [(None if i == 1 else str(g[i]), *[None if np.isnan(v) else float(v) for v in x[i]], None if i == 2 else float(y[i])) for i in range(n)]
+    want = {}
+    for k in ("big", "small"):
+        at = (g == k) & np.isfinite(x).any(1) & ~np.isin(np.arange(n), [1, 2])
+        ok, best = np.isfinite(x[at]), None
+        for w in map(np.array, M.simplex(3, 0.05)):
+            mass = (ok * w).sum(1)
+            r = y[at] - np.where(mass > 0, np.where(ok, x[at], 0) @ w / np.where(mass > 0, mass, 1), np.where(ok, x[at], 0).sum(1) / ok.sum(1))
+            score = np.abs(r - np.median(r)).mean()
+            if best is None or score < best[0] - 1e-9:
+                best = (score, w, np.median(r))
+        want[k] = best
+    got = {r.g: r for r in M.fit_convex(spark.createDataFrame(rows, "g string, a double, b double, c double, y double"), ["g"], list("abc"), "y", most=most).collect()}
+    assert set(got) == set(want)
+    for k, (score, w, bias) in want.items():
+        assert got[k].weights == pytest.approx(list(w)) and got[k].fit_mae == pytest.approx(score) and got[k].bias == pytest.approx(bias, abs=1e-9)
+
+
+def test_convex_query_finds_weights_between_quarters(spark, tmp_path):
+    from tidemark.plans import load
+    rng = np.random.default_rng(2)
+    n = 90
+    p = pd.DataFrame({"l_returnflag": "A", "l_linenumber": (np.arange(n) % 7 + 1).astype("int32"), "l_quantity": rng.integers(1, 51, n).astype(float),
+                      "l_extendedprice": rng.uniform(1e4, 1e5, n), "l_discount": rng.integers(0, 11, n) / 100})
+    spark.createDataFrame(p).write.parquet(str(tmp_path / "lineitem.parquet"))
+    r = load()["convex_combination"].plan(spark, str(tmp_path)).first()
+    assert (r.wa, r.wb, r.wc) == (0.6, 0.4, 0.0)
+
+
 def test_walk_forward_uses_only_the_past(spark):
     rng = np.random.default_rng(1)
     t = np.arange(400)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from .quantiles import PER_RANGE, narrowed_quantile, quantiles
-from .stage import per_key
+from .quantiles import PER_RANGE, bracketed_quantile, narrowed_quantile, quantiles
+from .stage import per_key, staged
 
 ALPHAS = (1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0, 10000.0, 100000.0)
 
@@ -142,6 +143,11 @@ def huber_ridge(train: DataFrame, keys: Sequence[str], columns: Sequence[str], y
 
 # --- convex combination ------------------------------------------------------------------
 
+GRID_CELLS = 200_000  # keys x weight vectors whose numbers the driver holds
+BLOCK_ROWS, BLOCK_WEIGHTS = 2_048, 32  # residuals worked on at a time
+RUN = 256  # sorted residuals of a block that hand on their middle one
+SHARES = (0.04, 0.008, 0.0015)  # of the rows, aimed at between the median and its cuts
+
 
 def simplex(k: int, step: float) -> list[tuple[float, ...]]:
     n = round(1 / step)
@@ -159,29 +165,163 @@ def convex_value(inputs: Sequence[str], weights: Sequence[Column]) -> Column:
     return F.when(mass > 0, total / mass).when(count > 0, plain / count)
 
 
-def fit_convex(df: DataFrame, keys: Sequence[str], inputs: Sequence[str], y: str, step: float = 0.05, per_range: int = PER_RANGE) -> DataFrame:
+def fit_convex(df: DataFrame, keys: Sequence[str], inputs: Sequence[str], y: str, step: float = 0.05, per_range: int = PER_RANGE, most: int = GRID_CELLS) -> DataFrame:
     """Weights on the simplex grid with the least mean absolute error after removing the median residual.
 
-    Residuals for all grid weights come out of one expression per row, evaluated again by each of four passes; only those close to a
-    median are shuffled. Rows with a NULL key are left out.
+    Every row meets every weight vector in each of four passes; a row goes to Python once a pass, its residuals stay there, and only counts,
+    sums and the residuals close to a median come back. Rows with a NULL key are left out.
     """
-    grid = simplex(len(inputs), step)
+    keys, grid = list(keys), simplex(len(inputs), step)
+    xs = [f"_x{i}" for i in range(len(inputs))]
+    d = df.select(*keys, F.col(y).cast("double").alias("_y"), *[C.finite(F.col(c).cast("double")).alias(x) for c, x in zip(inputs, xs)])
+    d = d.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in [*keys, "_y"]]) & F.coalesce(*xs).isNotNull())
+    groups = staged(d.groupBy(*keys).agg(F.count("*").alias("_rows")))
+    many = groups.limit(most // len(grid) + 1).count() * len(grid) > most
+    score = exploded_scores(d, keys, xs, grid, per_range) if many else grid_scores(d, groups, keys, xs, grid, per_range)
+    # Scores equal to within rounding count as ties and go to the earlier weight vector.
+    best = score.groupBy(*keys).agg(F.min(F.struct(F.round("mae", 12).alias("m"), "w", "bias", "mae")).alias("b"))
+    weights = F.element_at(F.array(*[F.array(*[F.lit(float(x)) for x in ws]) for ws in grid]), F.col("b.w") + 1)
+    return best.select(*keys, weights.alias("weights"), F.col("b.bias").alias("bias"), F.col("b.mae").alias("fit_mae"))
+
+
+def exploded_scores(d: DataFrame, keys: Sequence[str], xs: Sequence[str], grid: Sequence[Sequence[float]], per_range: int) -> DataFrame:
+    """(keys, w, mae, bias) for any number of keys: residuals for all grid weights come out of one expression per row."""
     # Filled inputs and marks once a row: a weight then costs a few products, and the whole grid compiles.
-    xs, marks = [f"_x{i}" for i in range(len(inputs))], [f"_k{i}" for i in range(len(inputs))]
-    known = [C.finite(x) for x in inputs]
-    d = df.select(*keys, F.col(y).alias("_y"), *[F.coalesce(k.cast("double"), F.lit(0.0)).alias(x) for k, x in zip(known, xs)], *[k.isNotNull().cast("double").alias(m) for k, m in zip(known, marks)])
+    marks = [f"_k{i}" for i in range(len(xs))]
+    d = d.select(*keys, "_y", *[F.coalesce(x, F.lit(0.0)).alias(x) for x in xs], *[F.col(x).isNotNull().cast("double").alias(m) for x, m in zip(xs, marks)])
     added = lambda parts: sum(parts, F.lit(0.0))
-    count = added(F.col(m) for m in marks)
-    d = d.withColumn("_plain", F.when(count > 0, added(F.col(x) for x in xs) / count))
+    d = d.withColumn("_plain", added(F.col(x) for x in xs) / added(F.col(m) for m in marks))
     cells = F.array(*[F.col("_y") - F.when(mass > 0, added(F.col(x) * float(w) for x, w in zip(xs, ws)) / mass).otherwise(F.col("_plain"))
                       for ws in grid for mass in [added(F.col(m) * float(w) for m, w in zip(marks, ws))]])
-    long = d.select(*keys, F.posexplode(cells).alias("w", "r")).filter("r IS NOT NULL")
+    long = d.select(*keys, F.posexplode(cells).alias("w", "r"))
     bias = per_key(narrowed_quantile(long, [*keys, "w"], "r", 0.5, "bias", per_range))
-    score = long.join(bias, [*keys, "w"]).groupBy(*keys, "w").agg(F.avg(F.abs(F.col("r") - F.col("bias"))).alias("mae"), F.first("bias").alias("bias"))
-    # Scores equal to within rounding count as ties and go to the earlier weight vector.
-    best = score.groupBy(*keys).agg(F.min(F.struct(F.round("mae", 12).alias("m"), "w", "bias", "mae")).alias("b"))
-    weights = F.element_at(F.array(*[F.array(*[F.lit(float(x)) for x in ws]) for ws in grid]), F.col("b.w") + 1)
-    return best.select(*keys, weights.alias("weights"), F.col("b.bias").alias("bias"), F.col("b.mae").alias("fit_mae"))
+    return long.join(bias, [*keys, "w"]).groupBy(*keys, "w").agg(F.avg(F.abs(F.col("r") - F.col("bias"))).alias("mae"), F.first("bias").alias("bias"))
+
+
+def residual_blocks(pdf: pd.DataFrame, xs: Sequence[str], grid: np.ndarray):
+    """(group, first weight vector, residuals by weight vector and row) in blocks that stay in a core's cache; the next block overwrites the last.
+
+    The rows of a block know the same inputs, so a weight vector has one mass there.
+    """
+    ids, y = pdf["_id"].to_numpy(), pdf["_y"].to_numpy(dtype=float)
+    x = np.stack([pdf[c].to_numpy(dtype=float) for c in xs])
+    kind = (~np.isnan(x)).T @ (1 << np.arange(len(xs)))
+    order = np.lexsort((kind, ids))
+    ids, kind, x, y = ids[order], kind[order], x[:, order], y[order]
+    cuts = [0, *(np.flatnonzero((np.diff(ids) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(ids)]
+    one, two = np.empty((2, BLOCK_WEIGHTS * BLOCK_ROWS))
+    for w in range(0, len(grid), BLOCK_WEIGHTS):
+        for start, end in zip(cuts, cuts[1:]):
+            known = [i for i in range(len(xs)) if start < end and kind[start] >> i & 1]
+            ws = grid[w:w + BLOCK_WEIGHTS, known]
+            mass = sum(ws.T)
+            for lo in range(start, end, BLOCK_ROWS):
+                part = slice(lo, min(end, lo + BLOCK_ROWS))
+                total, more = (b[:len(ws) * (part.stop - lo)].reshape(len(ws), -1) for b in (one, two))
+                np.multiply(ws[:, :1], x[known[0], part], out=total)
+                for i in range(1, len(known)):
+                    total += np.multiply(ws[:, i, None], x[known[i], part], out=more)
+                np.divide(total, np.where(mass > 0, mass, 1.0)[:, None], out=total)
+                np.subtract(y[part], total, out=total)
+                if (mass <= 0).any():
+                    total[mass <= 0] = y[part] - sum(x[i, part] for i in known) / len(known)
+                yield int(ids[start]), w, total
+
+
+def up_to(r: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Where the residuals of each weight vector are at most its cut; NaN is the largest value, as in Spark."""
+    return (r <= cut[:, None]) | np.isnan(cut)[:, None]
+
+
+def grid_scores(d: DataFrame, groups: DataFrame, keys: Sequence[str], xs: Sequence[str], grid: Sequence[Sequence[float]], per_range: int) -> DataFrame:
+    """(keys, w, mae, bias). The driver holds a few numbers per key and weight vector: cuts around the median, counts, medians.
+
+    Cuts come from the middles of short runs of each batch's sorted residuals. All rows are then counted against the cuts, and the closest pair
+    that holds the median's ranks is taken; where none does, that side is left open. So the cuts never change a result.
+    """
+    table = np.asarray(grid, dtype=float)
+    named = staged(groups.coalesce(1).withColumn("_id", F.monotonically_increasing_id()))
+    sizes = np.array([r["_rows"] for r in named.select("_id", "_rows").orderBy("_id").collect()], dtype="int64")
+    rows = d.join(F.broadcast(named.select(*keys, "_id")), list(keys)).select("_id", "_y", *xs)
+    shape = (len(sizes), len(table))
+
+    def middles(batches):
+        for pdf in batches:
+            out = []
+            for (k, w), parts in itertools.groupby(residual_blocks(pdf, xs, table), key=lambda b: b[:2]):
+                r = np.concatenate([b[2].copy() for b in parts], axis=1)
+                r.sort(axis=1)
+                runs = max(1, round(r.shape[1] / RUN))
+                m = r[:, (2 * np.arange(runs) + 1) * r.shape[1] // (2 * runs)]
+                out.append(pd.DataFrame({"_id": k, "w": np.repeat(np.arange(w, w + len(m)), m.shape[1]), "v": m.ravel()}))
+            if out:
+                yield pd.concat(out)
+
+    probs = [*[0.5 - x for x in SHARES], *[0.5 + x for x in reversed(SHARES)]]
+    found = rows.mapInPandas(middles, "_id long, w int, v double").groupBy("_id", "w").agg(F.percentile_approx("v", probs, 5_000).alias("e")).collect()
+    cuts = np.empty((*shape, len(probs)))
+    for r in found:
+        cuts[r["_id"], r["w"]] = r["e"]
+
+    def counted(batches):
+        held = {}
+        for pdf in batches:
+            for k, w, r in residual_blocks(pdf, xs, table):
+                n = held.setdefault(k, np.zeros((len(probs), len(table)), dtype="int64"))
+                for i in range(len(probs)):
+                    n[i, w:w + len(r)] += np.count_nonzero(up_to(r, cuts[k, w:w + len(r), i]), axis=1)
+        for k, n in held.items():
+            yield pd.DataFrame({"_id": k, "w": np.arange(len(table)), **{f"n{i}": n[i] for i in range(len(probs))}})
+
+    ns = [f"n{i}" for i in range(len(probs))]
+    upto = np.empty((*shape, len(probs)), dtype="int64")
+    for r in rows.mapInPandas(counted, f"_id long, w int, {', '.join(f'{n} long' for n in ns)}").groupBy("_id", "w").agg(*[F.sum(n).alias(n) for n in ns]).collect():
+        upto[r["_id"], r["w"]] = [r[n] for n in ns]
+
+    last = (sizes - 1)[:, None]
+    low, high = np.full(shape, np.nan), np.full(shape, np.nan)  # NaN: that side is open
+    skip = np.zeros(shape, dtype="int64")
+    for i in range(len(probs)):
+        fits = (upto[:, :, i] <= last // 2) & (upto[:, :, i] >= skip)
+        low, skip = np.where(fits, cuts[:, :, i], low), np.where(fits, upto[:, :, i], skip)
+        j = len(probs) - 1 - i
+        high = np.where(upto[:, :, j] > (last + 1) // 2, cuts[:, :, j], high)
+    closed = skip > 0
+
+    def inside(batches):
+        for pdf in batches:
+            out = []
+            for k, w, r in residual_blocks(pdf, xs, table):
+                at = slice(w, w + len(r))
+                keep = up_to(r, high[k, at]) & ~(up_to(r, low[k, at]) & closed[k, at][:, None])
+                n = np.count_nonzero(keep, axis=1)
+                v, c, i = r[keep], np.ones(n.sum(), dtype="int64"), np.repeat(np.arange(len(r)), n)
+                if len(v) > r.size // 20:  # many rows may share few values
+                    some = np.flatnonzero(n)
+                    u = [np.unique(r[j][keep[j]], return_counts=True) for j in some]
+                    v, c, i = np.concatenate([a for a, _ in u]), np.concatenate([b for _, b in u]), np.repeat(some, [len(a) for a, _ in u])
+                out.append(pd.DataFrame({"_id": k, "w": w + i, "_rows": sizes[k], "_skip": skip[k, w + i], "_v": v, "_c": c}))
+            if out:
+                yield pd.concat(out)
+
+    own = ["_id", "w", "_rows", "_skip"]
+    near = staged(rows.mapInPandas(inside, "_id long, w int, _rows long, _skip long, _v double, _c long").groupBy(*own, "_v").agg(F.sum("_c").alias("_c")))
+    bias = staged(bracketed_quantile(near, ["_id", "w"], 0.5, "bias", per_range))
+    mid = np.empty(shape)
+    for r in bias.collect():
+        mid[r["_id"], r["w"]] = r["bias"]
+
+    def distances(batches):
+        held = {}
+        for pdf in batches:
+            for k, w, r in residual_blocks(pdf, xs, table):
+                s = held.setdefault(k, np.zeros(len(table)))
+                s[w:w + len(r)] += np.abs(r - mid[k, w:w + len(r)][:, None]).sum(axis=1)
+        for k, s in held.items():
+            yield pd.DataFrame({"_id": k, "w": np.arange(len(table)), "s": s})
+
+    sums = rows.mapInPandas(distances, "_id long, w int, s double").groupBy("_id", "w").agg(F.sum("s").alias("s"))
+    return sums.join(bias, ["_id", "w"]).join(F.broadcast(named), "_id").select(*keys, "w", (F.col("s") / F.col("_rows")).alias("mae"), "bias")
 
 
 # --- robust anomaly distance ----------------------------------------------------------------

@@ -136,7 +136,7 @@ def _(spark, sf):
 
 
 CONVEX = """WITH r AS (SELECT l_returnflag AS model, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity END AS a, l_extendedprice / 4000 AS b, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_discount * 250 END AS c, l_quantity * 0.6 + l_extendedprice / 10000 AS y FROM lineitem),
-   g AS (SELECT i.range AS i, j.range AS j, 4 - i.range - j.range AS k FROM range(5) i, range(5) j WHERE i.range + j.range <= 4), w AS (SELECT i / 4.0 AS wa, j / 4.0 AS wb, k / 4.0 AS wc, row_number() OVER (ORDER BY i, j) - 1 AS id FROM g),
+   g AS (SELECT i.range AS i, j.range AS j, 20 - i.range - j.range AS k FROM range(21) i, range(21) j WHERE i.range + j.range <= 20), w AS (SELECT i / 20.0 AS wa, j / 20.0 AS wb, k / 20.0 AS wc, row_number() OVER (ORDER BY i, j) - 1 AS id FROM g),
    p AS (SELECT model, id, y - CASE WHEN (CASE WHEN a IS NULL THEN 0 ELSE wa END) + wb + (CASE WHEN c IS NULL THEN 0 ELSE wc END) > 0 THEN (coalesce(a, 0) * wa + b * wb + coalesce(c, 0) * wc) / ((CASE WHEN a IS NULL THEN 0 ELSE wa END) + wb + (CASE WHEN c IS NULL THEN 0 ELSE wc END))
       ELSE (coalesce(a, 0) + b + coalesce(c, 0)) / (1 + (a IS NOT NULL)::INT + (c IS NOT NULL)::INT) END AS res FROM r, w), m AS (SELECT model, id, quantile_cont(res, 0.5) AS bias FROM p GROUP BY 1, 2),
    s AS (SELECT p.model, p.id, any_value(bias) AS bias, avg(abs(res - bias)) AS mae FROM p JOIN m ON m.model = p.model AND m.id = p.id GROUP BY 1, 2), best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY model ORDER BY round(mae, 12), id) = 1)
@@ -148,7 +148,7 @@ def _(spark, sf):
     l = table(spark, sf, "lineitem")
     d = l.select(F.col("l_returnflag").alias("model"), F.when(F.col("l_linenumber") != 7, F.col("l_quantity")).alias("a"), (F.col("l_extendedprice") / 4000).alias("b"),
                  F.when(F.col("l_linenumber") != 2, F.col("l_discount") * 250).alias("c"), (F.col("l_quantity") * 0.6 + F.col("l_extendedprice") / 10000).alias("y"))
-    f = M_.fit_convex(d, ["model"], ["a", "b", "c"], "y", 0.25)
+    f = M_.fit_convex(d, ["model"], ["a", "b", "c"], "y")
     return round_all(f.select("model", *[F.col("weights")[i].alias(n) for i, n in enumerate(["wa", "wb", "wc"])], "bias", "fit_mae"))
 
 
